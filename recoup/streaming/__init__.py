@@ -1,0 +1 @@
+"""Intentionally empty: every operator here is a batch operator over stored tables."""
