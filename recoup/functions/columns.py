@@ -46,3 +46,7 @@ def step(x: Column) -> Column:
 
 def relu(x: Column) -> Column:
     return F.greatest(x, F.lit(0.0))
+
+
+def n_rows(name: str = "n") -> Column:
+    return F.count(F.lit(1)).alias(name)

@@ -182,9 +182,10 @@ def stability(a: DataFrame, b: DataFrame, columns: Sequence[str], distinct_limit
     """
     both = a.select(*columns, F.lit(1).alias("_a")).unionByName(b.select(*columns, F.lit(0).alias("_a")))
     numeric = {f.name for f in both.schema if f.dataType.simpleString() in ("int", "bigint", "double", "float")}
-    counts = both.agg(*[F.approx_count_distinct(c, 0.01).alias(c) for c in columns],
+    counts = both.agg(*[F.approx_count_distinct(c).alias(c) for c in columns],
                       F.sum("_a").alias("_na"), F.count(F.lit(1)).alias("_n")).first()
-    near = [c for c in columns if abs(counts[c] - distinct_limit) <= 5]
+    # The sketch is within a few per cent; only columns near the limit are counted exactly.
+    near = [c for c in columns if 0.7 * distinct_limit <= counts[c] <= 1.4 * distinct_limit]
     exact = both.agg(*[F.count_distinct(c).alias(c) for c in near]).first() if near else {}
     many = [c for c in columns if c in numeric and (exact[c] if c in near else counts[c]) > distinct_limit]
     probs = [round(i * step, 10) for i in range(int(round(1 / step)) + 1)]

@@ -47,21 +47,22 @@ def bucket_bounds(df: DataFrame, order: str, rows_per_bucket: int = IN_TASK_ROWS
 
 
 def cumulate(df: DataFrame, order: str, sums: dict[str, str], by: Sequence[str] = (),
-             descending: bool = False, rows_per_bucket: int = IN_TASK_ROWS) -> DataFrame:
-    """Running totals of one row per (``by``, ``order``).
+             descending: bool = False, rows_per_bucket: int = IN_TASK_ROWS,
+             tie: str | None = None) -> DataFrame:
+    """Running totals of one row per (``by``, ``order``), or per (``by``, ``order``, ``tie``).
 
     ``sums`` maps new column -> summed column; each total includes the current row.
     """
     by = list(by)
     bounds = bucket_bounds(df, order, rows_per_bucket)
-    sort = F.col(order).desc() if descending else F.col(order).asc()
+    sort = [F.col(order).desc() if descending else F.col(order).asc()] + ([F.col(tie)] if tie else [])
     if not bounds:
         # The whole input was counted and fits one task.
-        w = W.partitionBy(*by).orderBy(sort).rowsBetween(W.unboundedPreceding, W.currentRow)
+        w = W.partitionBy(*by).orderBy(*sort).rowsBetween(W.unboundedPreceding, W.currentRow)
         return df.withColumns({new: F.sum(c).over(w) for new, c in sums.items()})
     b = bucket_of(F.col(order).cast("double"), bounds)
     cut = df.withColumn("_bucket", -b if descending else b)
-    w = (W.partitionBy(*by, "_bucket").orderBy(sort)
+    w = (W.partitionBy(*by, "_bucket").orderBy(*sort)
          .rowsBetween(W.unboundedPreceding, W.currentRow))
     inside = cut.withColumns({new: F.sum(c).over(w) for new, c in sums.items()})
     totals = cut.groupBy(*by, "_bucket").agg(
@@ -139,49 +140,72 @@ def quantile_list(df: DataFrame, column: str, probs: Sequence[float]) -> list[fl
     return [found[round(float(p), 12)] for p in probs]
 
 
+def digest_threshold(df: DataFrame, key: str, seed: str, quota: int,
+                     in_task: int = 20_000) -> str | None:
+    """The largest digest among the ``quota`` smallest ones; None when that takes no row.
+
+    A radix search: counts by the next three hex digits (at most 4096 numbers) find the slice
+    in which the quota is reached, until the slice is small enough to order in one task.
+    """
+    d = df.select(digest(key, seed).alias("_digest"))
+    n, room, prefix = df.count(), int(quota), ""
+    if room <= 0:
+        return None
+    if room >= n:
+        return "g"  # after every hex digit
+    while n > in_task and len(prefix) < 30:
+        rows = (d.groupBy(F.substring("_digest", 1, len(prefix) + 3).alias("p"))
+                .agg(F.count(F.lit(1)).alias("n")).collect())
+        for r in sorted(rows):
+            if r["n"] >= room:
+                prefix, n = r["p"], r["n"]
+                break
+            room -= r["n"]
+        d = d.filter(F.col("_digest").startswith(prefix))
+    return d.orderBy("_digest").limit(room).agg(F.max("_digest")).first()[0]
+
+
 def smallest(df: DataFrame, key: str, seed: str, quota: int | DataFrame, by: Sequence[str] = (),
              rows_per_bucket: int = 20_000) -> DataFrame:
-    """The rows with the ``quota`` smallest digests of ``key`` within each group, exactly.
+    """The rows with the ``quota`` smallest digests of a unique ``key`` within each group, exactly.
 
-    ``quota`` is a number, or one row per group with columns ``by`` and ``quota``. Counts by
-    digest prefix find the one prefix per group in which the quota is reached; only that
-    slice of a group is ranked, so a very large group stays spread over many tasks.
+    ``quota`` is a number for the whole set, or one row per group with columns ``by`` and
+    ``quota``. Only a threshold is searched for; taking the rows is then a plain filter, so no
+    row moves and a very large group stays spread over many tasks.
     """
     by = list(by)
-    d = df.withColumn("_digest", digest(key, seed))
     if not by:
-        d = d.withColumn("_all", F.lit(1))
-        keys = ["_all"]
-        quotas = None
-    else:
-        keys = by
-        quotas = quota
+        top = digest_threshold(df, key, seed, quota, rows_per_bucket)
+        return df.filter(F.lit(False) if top is None else digest(key, seed) <= F.lit(top))
+    limits = group_thresholds(df, key, seed, quota, by, rows_per_bucket)
+    on = reduce(lambda a, c: a & c, [df[c].eqNullSafe(limits[f"_t_{c}"]) for c in by])
+    return (df.join(limits, on).filter(digest(key, seed) <= F.col("_top")).select(*df.columns))
+
+
+def group_thresholds(df: DataFrame, key: str, seed: str, quotas: DataFrame, by: Sequence[str],
+                     rows_per_bucket: int = 20_000) -> DataFrame:
+    """One digest threshold per group: counts by digest prefix locate the slice of each group
+    in which its quota is reached, and only that slice is ranked."""
     n = df.count()
     digits = 1
-    while n / 16 ** digits > rows_per_bucket and digits < 8:
+    while n / 16 ** digits > rows_per_bucket and digits < 5:
         digits += 1
-    d = d.withColumn("_prefix", F.substring("_digest", 1, digits))
-    counts = d.groupBy(*keys, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
-    w = W.partitionBy(*keys).orderBy("_prefix").rowsBetween(W.unboundedPreceding, W.currentRow)
-    counts = counts.withColumn("_upto", F.sum("_n").over(w))
-    if quotas is None:
-        counts = counts.withColumn("_quota", F.lit(int(quota)))
-    else:
-        q = quotas.select(*[F.col(c).alias(f"_q_{c}") for c in by], F.col("quota").alias("_quota"))
-        on = reduce(lambda a, c: a & c, [counts[c].eqNullSafe(q[f"_q_{c}"]) for c in by])
-        counts = counts.join(q, on).drop(*[f"_q_{c}" for c in by])
-    edge = counts.select(
-        *[F.col(c).alias(f"_e_{c}") for c in keys], F.col("_prefix").alias("_e_prefix"),
-        (F.col("_quota") - (F.col("_upto") - F.col("_n"))).alias("_room"), F.col("_n").alias("_size"),
-    ).filter(F.col("_room") > 0)
-    on = [d[c].eqNullSafe(edge[f"_e_{c}"]) for c in keys] + [d["_prefix"] == edge["_e_prefix"]]
-    near = d.join(edge, reduce(lambda a, c: a & c, on))
-    whole = near.filter(F.col("_size") <= F.col("_room")).select(*df.columns)
-    rank = W.partitionBy(*keys, "_prefix").orderBy("_digest", key)
-    part = (near.filter(F.col("_size") > F.col("_room"))
-            .withColumn("_rank", F.row_number().over(rank))
-            .filter(F.col("_rank") <= F.col("_room")).select(*df.columns))
-    return whole.unionByName(part)
+    d = df.select(*by, digest(key, seed).alias("_digest")).withColumn("_prefix", F.substring("_digest", 1, digits))
+    counts = d.groupBy(*by, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
+    w = W.partitionBy(*by).orderBy("_prefix").rowsBetween(W.unboundedPreceding, W.currentRow)
+    size = W.partitionBy(*by)  # at most 16 ** digits rows of counts per group
+    counts = counts.withColumns({"_upto": F.sum("_n").over(w), "_size": F.sum("_n").over(size)})
+    q = quotas.select(*[F.col(c).alias(f"_q_{c}") for c in by], F.col("quota").alias("_quota"))
+    on = reduce(lambda a, c: a & c, [counts[c].eqNullSafe(q[f"_q_{c}"]) for c in by])
+    counts = counts.join(q, on).withColumn("_want", F.least("_quota", "_size"))
+    room = F.col("_want") - (F.col("_upto") - F.col("_n"))
+    edge = counts.filter((room > 0) & (room <= F.col("_n"))).select(
+        *[F.col(c).alias(f"_t_{c}") for c in by], F.col("_prefix").alias("_t_prefix"), room.alias("_room"))
+    on = reduce(lambda a, c: a & c, [d[c].eqNullSafe(edge[f"_t_{c}"]) for c in by])
+    near = d.join(edge, on & (d["_prefix"] == edge["_t_prefix"]))
+    rank = W.partitionBy(*[f"_t_{c}" for c in by]).orderBy("_digest")
+    return (near.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") == F.col("_room"))
+            .select(*[f"_t_{c}" for c in by], F.col("_digest").alias("_top")))
 
 
 def shuffled_position(df: DataFrame, key: str, seed: str, name: str = "position",

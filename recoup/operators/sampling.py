@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recoup.functions.keys import digest, hex_number, uniform
-from recoup.operators.ranks import shuffled_position, smallest
+from recoup.operators.ranks import digest_threshold, shuffled_position, smallest
 
 # Cumulative Poisson(1) probabilities P(X <= k), k = 0..12.
 POISSON1 = [math.exp(-1.0) * sum(1.0 / math.factorial(i) for i in range(k + 1)) for k in range(13)]
@@ -23,10 +23,15 @@ def sample_n(df: DataFrame, key: str, seed: str, n: int) -> DataFrame:
 
 
 def split(df: DataFrame, key: str, seed: str, share: float) -> tuple[DataFrame, DataFrame]:
-    """A part of floor(share * n) rows and its complement."""
-    n = df.count()
-    part = smallest(df, key, seed, int(math.floor(share * n + 1e-9)))
-    return part, df.join(part.select(key), key, "left_anti")
+    """A part of floor(share * n) rows and its complement, both as filters on the digest."""
+    return split_n(df, key, seed, int(math.floor(share * df.count() + 1e-9)))
+
+
+def split_n(df: DataFrame, key: str, seed: str, n: int) -> tuple[DataFrame, DataFrame]:
+    top = digest_threshold(df, key, seed, n)
+    if top is None:
+        return df.filter(F.lit(False)), df
+    return df.filter(digest(key, seed) <= F.lit(top)), df.filter(digest(key, seed) > F.lit(top))
 
 
 def draws(n: int, seed: str, spark, count: int | None = None) -> DataFrame:
@@ -98,3 +103,37 @@ def blocks(series: DataFrame, group: str, t: str, length: int, replicate_count:
             digest(F.concat_ws("_", F.col(group), F.col("rep"), F.col("slot")), seed), 1, 8), F.col("m")))
         .drop("m"))
     return drawn.join(cut, [group, "block"])
+
+
+def autocorrelation(series: DataFrame, group: str, t: str, value: str, lags: int) -> DataFrame:
+    """Autocorrelations of lags 1..L per series.
+
+    A value meets its later neighbours by an equi join on (series, position).
+    """
+    mean = series.groupBy(F.col(group).alias("_g")).agg(F.avg(value).alias("_m"))
+    z = series.join(mean, F.col(group) == F.col("_g")).select(
+        group, F.col(t).alias("t"), (F.col(value) - F.col("_m")).alias("z"))
+    var = z.groupBy(F.col(group).alias("_g")).agg(F.sum(F.col("z") * F.col("z")).alias("_v"))
+    ahead = z.select(group, F.col("z").alias("_z0"), F.explode(F.sequence(F.lit(1), F.lit(lags))).alias("lag"), "t")
+    ahead = ahead.select(group, "lag", "_z0", (F.col("t") + F.col("lag")).alias("t"))
+    c = z.join(ahead, [group, "t"]).groupBy(group, "lag").agg(F.sum(F.col("z") * F.col("_z0")).alias("_c"))
+    return c.join(var, F.col(group) == F.col("_g")).select(group, "lag", (F.col("_c") / F.col("_v")).alias("acf"))
+
+
+def partial_autocorrelation(acf: DataFrame, group: str) -> DataFrame:
+    """Partial autocorrelations by the Durbin-Levinson recursion, one small task per series."""
+    import pandas as pd
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        rho = pdf.sort_values("lag")["acf"].to_numpy()  # one number per lag
+        prev, out = [], []
+        for k in range(1, len(rho) + 1):
+            num = rho[k - 1] - sum(p * rho[k - 2 - i] for i, p in enumerate(prev))
+            den = 1.0 - sum(p * rho[i] for i, p in enumerate(prev))
+            last = num / den
+            prev = [p - last * q for p, q in zip(prev, reversed(prev))] + [last]
+            out.append(last)
+        return pd.DataFrame({group: pdf[group].iloc[0], "lag": range(1, len(rho) + 1), "pacf": out})
+
+    kind = acf.schema[group].dataType.simpleString()
+    return acf.groupBy(group).applyInPandas(solve, f"{group} {kind}, lag int, pacf double")

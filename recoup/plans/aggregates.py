@@ -3,14 +3,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recoup.functions.columns import ratio, rnd
+from recoup.functions.columns import n_rows, ratio, rnd
 from recoup.functions.keys import fold
 from recoup.operators import bands, features, profile, ranks
 from recoup.plans.fixture_sql import un
 from recoup.plans.registry import query
 from recoup.plans.verbs import verbs
 
-N = F.count(F.lit(1)).alias("n")
 
 BAND9 = """CASE WHEN TOA > 0 AND TOA <= 1000 THEN 1 WHEN TOA <= 2000 THEN 2 WHEN TOA <= 4000 THEN 3
  WHEN TOA <= 6000 THEN 4 WHEN TOA <= 10000 THEN 5 WHEN TOA <= 20000 THEN 6 WHEN TOA <= 40000 THEN 7
@@ -29,18 +28,18 @@ def monthly_recovery(t):
 
 @query("a1_row_count", "SELECT count(*) AS n FROM verbs")
 def a1(t):
-    return verbs(t).agg(N)
+    return verbs(t).agg(n_rows())
 
 
 @query("a2_count_by_keys", "SELECT species, Cube, count(*) AS n FROM verbs GROUP BY 1,2 ORDER BY 1,2")
 def a2(t):
-    return verbs(t).groupBy("species", "Cube").agg(N).orderBy("species", "Cube")
+    return verbs(t).groupBy("species", "Cube").agg(n_rows()).orderBy("species", "Cube")
 
 
 @query("a3_named_aggregates", """
 SELECT Coin, count(*) AS n, cast(sum(Cube) as bigint) AS SumCube, round(avg(p_size),6) AS AvgSize FROM verbs GROUP BY 1""")
 def a3(t):
-    return verbs(t).groupBy("Coin").agg(N, F.sum("Cube").alias("SumCube"), rnd(F.avg("p_size")).alias("AvgSize"))
+    return verbs(t).groupBy("Coin").agg(n_rows(), F.sum("Cube").alias("SumCube"), rnd(F.avg("p_size")).alias("AvgSize"))
 
 
 @query("a4_null_aware", """
@@ -66,7 +65,7 @@ def a5(t):
 SELECT Suc, count(*) AS n, round(count(*)/cast(sum(count(*)) OVER () as double),6) AS share FROM success6 GROUP BY 1""")
 def a6(t):
     s = features.success6(t.case_events, t.cases)
-    g = s.groupBy("Suc").agg(N)
+    g = s.groupBy("Suc").agg(n_rows())
     total = s.count()
     return g.withColumn("share", rnd(F.col("n") / F.lit(float(total))))
 
@@ -74,7 +73,7 @@ def a6(t):
 @query("a7_having", """
 SELECT CaseId, count(*) AS n FROM case_events WHERE NumberOfPayment > 0 GROUP BY 1 HAVING count(*) >= 3""")
 def a7(t):
-    return t.case_events.filter("NumberOfPayment > 0").groupBy("CaseId").agg(N).filter("n >= 3")
+    return t.case_events.filter("NumberOfPayment > 0").groupBy("CaseId").agg(n_rows()).filter("n >= 3")
 
 
 @query("a8_distinct_count", """

@@ -3,12 +3,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recoup.functions.columns import rnd
+from recoup.functions.columns import n_rows, rnd
 from recoup.operators import bands, features
 from recoup.plans.aggregates import BAND9
 from recoup.plans.registry import query
 
-N = F.count(F.lit(1)).alias("n")
 
 
 def edges_sql(table, col, k, where="true"):
@@ -19,14 +18,14 @@ def edges_sql(table, col, k, where="true"):
 
 @query("b1_fixed_bands", f"SELECT {BAND9} AS TOAband, count(*) AS n, round(avg(TOA),4) AS AvgTOA FROM cases GROUP BY 1")
 def b1(t):
-    return t.cases.groupBy(bands.cut("TOA", bands.TOA_BREAKS).alias("TOAband")).agg(N, rnd(F.avg("TOA"), 4).alias("AvgTOA"))
+    return t.cases.groupBy(bands.cut("TOA", bands.TOA_BREAKS).alias("TOAband")).agg(n_rows(), rnd(F.avg("TOA"), 4).alias("AvgTOA"))
 
 
 @query("b1_payment_bands", """
 SELECT CASE WHEN LastPaymentAmount > 0 AND LastPaymentAmount <= 50 THEN 1 WHEN LastPaymentAmount > 50 AND LastPaymentAmount <= 300 THEN 2
  WHEN LastPaymentAmount > 300 AND LastPaymentAmount <= 60000 THEN 3 END AS band, count(*) AS n FROM cases GROUP BY 1""")
 def b1b(t):
-    return t.cases.groupBy(bands.cut("LastPaymentAmount", bands.PAYMENT_BREAKS).alias("band")).agg(N)
+    return t.cases.groupBy(bands.cut("LastPaymentAmount", bands.PAYMENT_BREAKS).alias("band")).agg(n_rows())
 
 
 @query("b2_quantile_bands", f"""
@@ -36,34 +35,34 @@ SELECT cast(CASE WHEN M_LastPaymentToImportDate IS NOT NULL THEN greatest(len(li
 def b2(t):
     c = bands.quantile_band(t.cases, "M_LastPaymentToImportDate", 10, "band")
     m = "M_LastPaymentToImportDate"
-    return c.groupBy("band").agg(N, F.min(m).alias("lo"), F.max(m).alias("hi"))
+    return c.groupBy("band").agg(n_rows(), F.min(m).alias("lo"), F.max(m).alias("hi"))
 
 
 @query("b3_quantile_bands_open", f"""
 WITH e AS ({edges_sql('cases', 'TOA', 10)})
 SELECT cast(nullif(len(list_filter(b, lambda x: x < TOA)),0) as int) AS band, count(*) AS n FROM cases, e GROUP BY 1""")
 def b3(t):
-    return bands.quantile_band(t.cases, "TOA", 10, "band", include_lowest=False).groupBy("band").agg(N)
+    return bands.quantile_band(t.cases, "TOA", 10, "band", include_lowest=False).groupBy("band").agg(n_rows())
 
 
 @query("b4_labelled_bands", """
 SELECT CASE WHEN TOA <= 1000 THEN '1. 1k' WHEN TOA <= 5000 THEN '2. 5k' WHEN TOA <= 10000 THEN '3. 10k' WHEN TOA <= 20000 THEN '4. 20k'
  WHEN TOA <= 30000 THEN '5. 30k' ELSE '6. 30k+' END AS TOAband, count(*) AS n FROM cases GROUP BY 1""")
 def b4(t):
-    return t.cases.groupBy(bands.labelled("TOA", bands.TOA_LABEL_BREAKS, bands.TOA_LABELS).alias("TOAband")).agg(N)
+    return t.cases.groupBy(bands.labelled("TOA", bands.TOA_LABEL_BREAKS, bands.TOA_LABELS).alias("TOAband")).agg(n_rows())
 
 
 @query("b5_equal_width", """
 SELECT cast(CASE WHEN score >= 0 AND greatest(ceil(score/0.05e0),1) <= 20 THEN greatest(ceil(score/0.05e0),1) END as int) AS band, count(*) AS n FROM scored GROUP BY 1""")
 def b5(t):
     s = features.scored(t.case_events, t.cases)
-    return s.groupBy(bands.equal_width("score", 0.0, 0.05, 20).alias("band")).agg(N)
+    return s.groupBy(bands.equal_width("score", 0.0, 0.05, 20).alias("band")).agg(n_rows())
 
 
 @query("b6_supplied_edges", """
 SELECT CASE WHEN TOA >= 500 AND TOA <= 2000 THEN 'TOA1' WHEN TOA <= 5000 THEN 'TOA2' WHEN TOA <= 20000 THEN 'TOA3' END AS TOA_band, count(*) AS n FROM cases GROUP BY 1""")
 def b6(t):
-    return t.cases.groupBy(bands.supplied("TOA", [500, 2000, 5000, 20000], "TOA").alias("TOA_band")).agg(N)
+    return t.cases.groupBy(bands.supplied("TOA", [500, 2000, 5000, 20000], "TOA").alias("TOA_band")).agg(n_rows())
 
 
 @query("b7_bands_learned_elsewhere", f"""
@@ -72,7 +71,7 @@ SELECT Product, cast(CASE WHEN TOA >= b[1] AND TOA <= b[len(b)] THEN greatest(le
 FROM cases, e GROUP BY 1,2""")
 def b7(t):
     e = bands.edges(t.cases.filter("Product = 'Credit card'"), "TOA", 5)
-    return t.cases.groupBy("Product", bands.cut("TOA", e, include_lowest=True).alias("band")).agg(N)
+    return t.cases.groupBy("Product", bands.cut("TOA", e, include_lowest=True).alias("band")).agg(n_rows())
 
 
 @query("c1_z_score", """

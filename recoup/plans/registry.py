@@ -54,6 +54,8 @@ def with_fixtures(sql: str) -> str:
     head = ",\n".join(f"{n} AS ({FIXTURES[n].strip()})" for n in needed)
     if not head:
         return sql
+    if re.match(r"(?i)with\s+recursive\s", sql):
+        return f"WITH RECURSIVE {head},\n{sql[14:].strip()}"
     if re.match(r"(?i)with\s", sql):
         return f"WITH {head},\n{sql[4:].strip()}"
     return f"WITH {head}\n{sql}"
