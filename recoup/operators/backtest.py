@@ -1,10 +1,79 @@
-"""Portfolio back-test: recovery curves, bootstrap, packages, matching, deviations."""
+"""Portfolio back-test: recovery curves, bootstrap, packages, matching, deviations.
+
+A payments frame has CaseId, Month, Payment with every case present in every month; package,
+band and replicate are columns, so all packages and replicates run in the same jobs.
+"""
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
+import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recoup.operators import ranks
+from recoup.operators import components, ranks, sampling
+from recoup.operators.joins import sized
+
+MONTHS = 12
+# Quantiles reported for bootstrap curves.
+QUANTILES = {"Q05": 0.05, "Q10": 0.10, "Q25": 0.25, "Q50": 0.50, "Q75": 0.75, "Q90": 0.90, "Q95": 0.95}
+
+
+def monthly(pay: DataFrame, cases: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Recovery per month: a ratio of sums."""
+    return (pay.join(cases.select("CaseId", "TOA", *by), "CaseId").groupBy(*by, "Month")
+            .agg((F.sum("Payment") / F.sum("TOA")).alias("SR")))
+
+
+def cumulative(sr: DataFrame, by: Sequence[str] = (), name: str = "SR") -> DataFrame:
+    """Running sum over the twelve months of each group."""
+    w = W.partitionBy(*by).orderBy("Month").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return sr.withColumn(name, F.sum("SR").over(w))
+
+
+def curve(pay: DataFrame, cases: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Cumulative recovery curve."""
+    return cumulative(monthly(pay, cases, by), by)
+
+
+def wide_payments(pay: DataFrame) -> DataFrame:
+    """One row per case with its payments by month, so replicates need not repeat the months."""
+    return pay.groupBy("CaseId").agg(*[
+        F.sum(F.when(F.col("Month") == m, F.col("Payment")).otherwise(0.0)).alias(f"p{m}")
+        for m in range(1, MONTHS + 1)])
+
+
+def replicate_curves(pay: DataFrame, cases: DataFrame, b: int, by: Sequence[str] = (),
+                     prefix: str = "b") -> DataFrame:
+    """Cumulative curves (by..., rep, Month, SR) of B bootstrap replicates.
+
+    Weights instead of copied rows: every case carries its multiplicity in each replicate and
+    the sums combine before the shuffle, which moves one row per (group, replicate).
+    """
+    base = cases.select("CaseId", "TOA", *by).join(wide_payments(pay), "CaseId")
+    rep = sampling.replicates(base, "CaseId", b, prefix).filter("w > 0")
+    sums = rep.groupBy(*by, "rep").agg(
+        F.sum(F.col("w") * F.col("TOA")).alias("T"),
+        *[F.sum(F.col("w") * F.col(f"p{m}")).alias(f"s{m}") for m in range(1, MONTHS + 1)])
+    running = F.lit(0.0)
+    points = []
+    for m in range(1, MONTHS + 1):
+        running = running + F.col(f"s{m}")
+        points.append(F.struct(F.lit(m).alias("Month"), (running / F.col("T")).alias("SR")))
+    return sums.select(*by, "rep", F.explode(F.array(*points)).alias("x")).select(*by, "rep", "x.*")
+
+
+def curve_statistics(reps: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Mean, deviation and quantiles over the replicates (at most B values per group)."""
+    return reps.groupBy(*by, "Month").agg(
+        F.avg("SR").alias("SR"), F.stddev_samp("SR").alias("StdSR"),
+        *[F.percentile("SR", F.lit(q)).alias(k) for k, q in QUANTILES.items()])
+
+
+def bootstrap(pay: DataFrame, cases: DataFrame, b: int = 101, by: Sequence[str] = ()) -> DataFrame:
+    return curve_statistics(replicate_curves(pay, cases, b, by), by)
 
 
 def packages(df: DataFrame, k: int, key: str = "CaseId", order: str | None = None,
@@ -16,9 +85,207 @@ def packages(df: DataFrame, k: int, key: str = "CaseId", order: str | None = Non
     return placed.withColumn("Pckg", F.ceil(F.col("_pos") * k / F.lit(float(n))).cast("int")).drop("_pos")
 
 
+def random_split(cases: DataFrame, n: int, k: int, seed: str = "val") -> tuple[DataFrame, DataFrame]:
+    """Valued cases in K random packages, and the rest as benchmark."""
+    val, ben = sampling.split_n(cases, "CaseId", seed, n)
+    return packages(val, k), ben
+
+
+def age_split(cases: DataFrame, n: int, k: int, order: str = "D_ContractDateToImportDate") -> tuple[DataFrame, DataFrame]:
+    """The n last cases in age order as valued cases in K consecutive packages."""
+    placed = ranks.ordered_position(cases, order, "CaseId", "_pos")
+    total = cases.count()
+    val = placed.filter(F.col("_pos") > total - n).withColumn(
+        "Pckg", F.ceil((F.col("_pos") - (total - n)) * k / F.lit(float(n))).cast("int")).drop("_pos")
+    return val, placed.filter(F.col("_pos") <= total - n).drop("_pos")
+
+
+def deviations(package_curves: DataFrame, benchmark: DataFrame, per_package: bool = False) -> DataFrame:
+    """(package - benchmark) / package per package and month. K x 12 rows on the left, and a
+    benchmark of 12 or K x 12 rows on the right."""
+    on = ["Pckg", "Month"] if per_package else ["Month"]
+    b = benchmark.select(*on, F.col("SR").alias("_ben"))
+    return package_curves.join(b, on).select(
+        "Pckg", "Month", ((F.col("SR") - F.col("_ben")) / F.nullif(F.col("SR"), F.lit(0.0))).alias("Dev"))
+
+
+def deviation_summary(dev: DataFrame) -> DataFrame:
+    return dev.groupBy("Month").agg(F.avg("Dev").alias("Dev"), F.avg(F.abs("Dev")).alias("DevAbs"),
+                                    F.percentile("Dev", F.lit(0.25)).alias("Q25"))  # one value per package
+
+
 def averaged_edges(df: DataFrame, column: str, package: str) -> DataFrame:
     """Quintile edges per package, inner ones averaged and outer ones extreme over packages."""
     q = ranks.exact_quantiles(df, [column], [0.0, 0.2, 0.4, 0.6, 0.8, 1.0], [package])
     at = {i: F.when(F.round(F.col("p"), 6) == i / 5, F.col("q")) for i in range(6)}
     return q.agg(F.min(at[0]).alias("e0"), *[F.avg(at[i]).alias(f"e{i}") for i in range(1, 5)],
                  F.max(at[5]).alias("e5"))
+
+
+def weighted_curve(shares: DataFrame, curves: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Benchmark curve of each package: its debt by band weights the curves of the bands."""
+    j = shares.join(curves, list(on))
+    return j.groupBy("Pckg", "Month").agg((F.sum(F.col("_debt") * F.col("SR")) / F.sum("_debt")).alias("SR"))
+
+
+def matched_by_variable(pay: DataFrame, val: DataFrame, ben: DataFrame, column: str = "TOA", b: int = 101) -> DataFrame:
+    """Deviations against a benchmark matched by the bands of one variable."""
+    from recoup.operators.bands import supplied
+
+    edges = sorted(set(averaged_edges(val, column, "Pckg").first()))  # six numbers
+    band = supplied(column, edges, column)
+    curves = bootstrap(pay, ben.withColumn("band", band).filter("band IS NOT NULL"), b, ["band"])
+    debt = val.withColumn("band", band).groupBy("Pckg", "band").agg(F.sum("TOA").alias("_debt"))
+    return deviations(curve(pay, val, ["Pckg"]), weighted_curve(debt, curves, ["band"]), per_package=True)
+
+
+def package_components(val: DataFrame, columns: Sequence[str]) -> dict[int, dict]:
+    """Per package: kept columns, centre, scale and rotation. K small matrices on the driver."""
+    p = len(columns)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    rows = val.groupBy("Pckg").agg(
+        *[F.avg(c) for c in columns],
+        *[F.covar_samp(F.col(columns[i]).cast("double"), F.col(columns[j]).cast("double")) for i, j in pairs]).collect()
+    out = {}
+    for r in rows:
+        mean = np.array([float(v) for v in r[1:p + 1]])
+        cov = np.zeros((p, p))
+        for v, (i, j) in zip(r[p + 1:], pairs):
+            cov[i, j] = cov[j, i] = float(v or 0.0)
+        keep = [i for i in range(p) if cov[i, i] >= 1e-12]  # a constant column carries nothing
+        _, rot = components.rotation(cov[np.ix_(keep, keep)])
+        sd = np.sqrt(np.diag(cov)[keep])
+        full = np.zeros((p, p))
+        full[np.ix_(keep, range(len(keep)))] = rot / sd[:, None]
+        out[r[0]] = {"centre": mean, "weights": full, "n": len(keep)}
+    return out
+
+
+def component_scores(df: DataFrame, columns: Sequence[str], fits: dict[int, dict], own: bool) -> DataFrame:
+    """Component scores (CaseId, Pckg, pc array): of each row in its own package's space, or
+    of each row in the space of every package."""
+    import pandas as pd
+
+    cols = list(columns)
+
+    def project(batches):
+        for pdf in batches:
+            x = pdf[cols].to_numpy(dtype=float)
+            for k, f in fits.items():
+                pick = pdf["Pckg"].to_numpy() == k if own else np.ones(len(pdf), dtype=bool)
+                if pick.any():
+                    s = (x[pick] - f["centre"]) @ f["weights"]
+                    yield pd.DataFrame({"CaseId": pdf["CaseId"].to_numpy()[pick], "Pckg": k, "pc": list(s)})
+
+    keep = ["CaseId", "Pckg", *cols] if own else ["CaseId", *cols]
+    return df.select(*keep).mapInPandas(project, "CaseId bigint, Pckg int, pc array<double>")
+
+
+def component_bands(scores: DataFrame, edges: dict[tuple[int, int], list[float]], depth: int) -> DataFrame:
+    """Band number per component and package, null outside the valued range."""
+    import pandas as pd
+
+    def band(batches):
+        for pdf in batches:
+            s = np.stack(pdf["pc"].to_numpy())
+            out = np.zeros((len(pdf), depth), dtype=int)
+            pk = pdf["Pckg"].to_numpy()
+            for k in np.unique(pk):
+                rows = pk == k
+                for j in range(depth):
+                    e = np.array(edges[(int(k), j)])
+                    x = s[rows, j]
+                    b = np.clip(np.searchsorted(e, x, side="left"), 1, len(e) - 1)
+                    out[rows, j] = np.where((x < e[0]) | (x > e[-1]), 0, b)
+            yield pd.DataFrame({"CaseId": pdf["CaseId"], "Pckg": pk, "bands": list(out)})
+
+    return scores.mapInPandas(band, "CaseId bigint, Pckg int, bands array<int>")
+
+
+def cell_at(depth: int):
+    return F.concat_ws("_", F.slice("bands", 1, depth).cast("array<string>"))
+
+
+def matched_by_components(pay: DataFrame, val: DataFrame, ben: DataFrame, columns: Sequence[str],
+                          quantiles: int = 5, min_ratio: int = 10, b: int = 101) -> DataFrame:
+    """Deviations against a benchmark matched in cells of principal components, all packages
+    together. Components are dropped from the end until every cell of valued cases has
+    ``min_ratio`` times as many benchmark cases; coarser cells only add cases to a cell, so
+    the depth is found by going up from one component until the first failure."""
+    from recoup.session import stored
+
+    fits = package_components(val, columns)
+    probs = [i / quantiles for i in range(quantiles + 1)]
+    scores = component_scores(val, columns, fits, own=True)
+    depth = min(f["n"] for f in fits.values())
+    q = ranks.exact_quantiles(scores.select("Pckg", *[F.col("pc")[j].alias(f"c{j}") for j in range(depth)]),
+                              [f"c{j}" for j in range(depth)], probs, ["Pckg"]).collect()
+    edges: dict[tuple[int, int], list[float]] = {}
+    for r in q:
+        edges.setdefault((r["Pckg"], int(r["variable"][1:])), []).append(r["q"])
+    edges = {k: sorted(v) for k, v in edges.items()}
+    v = stored(component_bands(scores, edges, depth), "val_bands")
+    m = stored(component_bands(component_scores(ben, columns, fits, own=False), edges, depth), "ben_bands")
+
+    found: dict[int, tuple[int, int]] = {}
+    active = set(fits)
+    for d in range(1, depth + 1):
+        need = v.filter(F.col("Pckg").isin(list(active))).groupBy("Pckg", cell_at(d).alias("cell")).agg(
+            F.count(F.lit(1)).alias("nv"))
+        have = m.filter(F.col("Pckg").isin(list(active))).groupBy("Pckg", cell_at(d).alias("cell")).agg(
+            F.count(F.lit(1)).alias("nb"))
+        low = need.join(have, ["Pckg", "cell"], "left").groupBy("Pckg").agg(
+            F.min(F.floor(F.coalesce("nb", F.lit(0)) / F.col("nv"))).alias("r")).collect()  # K rows
+        for r in low:
+            if r["r"] >= min_ratio:
+                found[r["Pckg"]] = (d, int(r["r"]))
+            else:
+                found.setdefault(r["Pckg"], (1, max(int(r["r"]), 1)))
+                active.discard(r["Pckg"])
+        if not active:
+            break
+
+    plan = F.create_map(*[F.lit(x) for k, (d, _) in found.items() for x in (k, d)])
+    times = F.create_map(*[F.lit(x) for k, (_, r) in found.items() for x in (k, r)])
+    cell = F.concat_ws("_", F.slice("bands", F.lit(1), plan[F.col("Pckg")]).cast("array<string>")).alias("BandVar")
+    vc, mc = v.select("CaseId", "Pckg", cell), m.select("CaseId", "Pckg", cell)
+    need = vc.groupBy("Pckg", "BandVar").agg(
+        (F.count(F.lit(1)) * times[F.col("Pckg")]).alias("quota"))
+    picked = ranks.smallest(mc, "CaseId", "pcamatch", need, ["Pckg", "BandVar"])
+    toa = val.select("CaseId", "TOA")
+    curves = bootstrap(pay, ben.select("CaseId", "TOA").join(picked, "CaseId"), b, ["Pckg", "BandVar"])
+    debt = vc.join(toa, "CaseId").groupBy("Pckg", "BandVar").agg(F.sum("TOA").alias("_debt"))
+    return deviations(curve(pay, val, ["Pckg"]), weighted_curve(debt, curves, ["Pckg", "BandVar"]), per_package=True)
+
+
+def repeated_match(pay: DataFrame, ref: DataFrame, need: DataFrame, cells: Sequence[str], ratio: int,
+                   draws: int) -> DataFrame:
+    """Monthly and cumulative recovery of repeated matched draws (rep, Month, SR, SRcml).
+
+    ``need`` holds the wanted rows per cell. Reference rows outside the wanted cells leave
+    before they are repeated per draw.
+    """
+    on = reduce(lambda a, c: a & c, [ref[c].eqNullSafe(need[c]) for c in cells])
+    inside = ref.join(sized(need.select(*cells)), on, "left_semi")
+    wide = inside.select("CaseId", "TOA", *cells).join(wide_payments(pay), "CaseId")
+    e = wide.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    quota = need.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(draws)))).select(
+        "rep", *cells, (F.col("wanted") * ratio).alias("quota"))
+    seed = F.concat(F.lit("m"), F.col("rep").cast("string"))
+    got = ranks.smallest(e, "CaseId", seed, quota, ["rep", *cells])
+    sums = got.groupBy("rep").agg(F.sum("TOA").alias("T"), *[F.sum(f"p{m}").alias(f"s{m}") for m in range(1, MONTHS + 1)])
+    running = F.lit(0.0)
+    points = []
+    for m in range(1, MONTHS + 1):
+        running = running + F.col(f"s{m}")
+        points.append(F.struct(F.lit(m).alias("Month"), (F.col(f"s{m}") / F.col("T")).alias("SR"),
+                               (running / F.col("T")).alias("SRcml")))
+    return sums.select("rep", F.explode(F.array(*points)).alias("x")).select("rep", "x.*")
+
+
+def draw_statistics(draws: DataFrame) -> DataFrame:
+    def five(c, tail):
+        return [F.percentile(c, F.lit(0.25)).alias(f"Q25{tail}"), F.percentile(c, F.lit(0.5)).alias(f"Q50{tail}"),
+                F.percentile(c, F.lit(0.75)).alias(f"Q75{tail}"), F.avg(c).alias(f"Avg{tail}"),
+                F.stddev_samp(c).alias(f"Std{tail}")]
+    return draws.groupBy("Month").agg(*five("SR", ""), *five("SRcml", "Cml"))

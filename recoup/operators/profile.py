@@ -41,7 +41,7 @@ def summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     rows = one.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("variable"), *[F.col(f"{c}__{k}").alias(k) for k in ("min", "mean", "max", "nulls")])
         for c in columns])).alias("r")).select("r.*")
-    return rows.join(q, "variable")  # one row per column on both sides
+    return rows.join(q, "variable", "left")  # one row per column on both sides
 
 
 def values_at(df: DataFrame, column: str, positions: Sequence[int]) -> dict[int, float]:

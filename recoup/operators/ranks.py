@@ -106,10 +106,11 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         grid = F.array(*[F.lit(float(p)) for p in probs])
         wide = df.groupBy(*by).agg(
             *[F.percentile(F.col(c).cast("double"), grid).alias(f"_q{i}") for i, c in enumerate(columns)])
-        rows = F.array(*[F.struct(F.lit(c).alias("variable"), F.lit(float(p)).alias("p"),
-                                  F.col(f"_q{i}")[j].alias("q"))
-                         for i, c in enumerate(columns) for j, p in enumerate(probs)])
-        return wide.select(*by, F.explode(rows).alias("r")).select(*by, "r.*")
+        rows = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"_q{i}").alias("qs"))
+                         for i, c in enumerate(columns)])
+        each = wide.select(*by, F.explode(rows).alias("r")).filter("r.qs IS NOT NULL").select(
+            *by, "r.variable", F.explode(F.arrays_zip(grid.alias("p"), F.col("r.qs").alias("q"))).alias("z"))
+        return each.select(*by, "variable", "z.p", "z.q")
     long = df.select(*by, F.explode(F.array(*[
         F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("value"))
         for c in columns])).alias("r")).select(*by, "r.*")

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recoup.functions.keys import digest, hex_number, uniform
+from recoup.functions.keys import digest, hex_number
 from recoup.operators.ranks import digest_threshold, shuffled_position, smallest
 
 # Cumulative Poisson(1) probabilities P(X <= k), k = 0..12.
@@ -49,9 +49,8 @@ def fetch_draws(df: DataFrame, key: str, seed: str = "draw", order_seed: str = "
         shuffled_position(df, key, order_seed), "position")
 
 
-def poisson_weight(key: Column | str, salt: Column | str) -> Column:
-    """Bootstrap multiplicity of a row: a Poisson(1) count from its hash-uniform."""
-    x = uniform(key, salt)
+def poisson_count(x: Column) -> Column:
+    """Poisson(1) count of a uniform number."""
     out = F.lit(0)
     for c in POISSON1:
         out = out + (x >= F.lit(c)).cast("int")
@@ -59,9 +58,20 @@ def poisson_weight(key: Column | str, salt: Column | str) -> Column:
 
 
 def replicates(df: DataFrame, key: str, b: int, prefix: str = "b") -> DataFrame:
-    """One row per (row, replicate) with its multiplicity ``w``; w = 0 is out of bag."""
-    e = df.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(b))))
-    return e.withColumn("w", poisson_weight(key, F.concat(F.lit(prefix), F.col("rep").cast("string"))))
+    """One row per (row, replicate) with its bootstrap multiplicity ``w``; w = 0 is out of bag.
+
+    A digest has room for four uniforms, so four replicates share one.
+    """
+    blocks = -(-b // 4)
+    e = df.withColumn("_block", F.explode(F.sequence(F.lit(1), F.lit(blocks))))
+    e = e.withColumn("_d", digest(key, F.concat(F.lit(prefix), F.col("_block").cast("string"))))
+    parts = F.array(*[F.struct(
+        ((F.col("_block") - 1) * 4 + i + 1).alias("rep"),
+        (hex_number(F.col("_d"), 8 * i + 1, 8).cast("double") / F.lit(4294967296.0)).alias("u"))
+        for i in range(4)])
+    # The uniform is a plain column after the explode, so it is read, not recomputed, per step.
+    return (e.withColumn("_p", F.explode(parts)).filter(F.col("_p.rep") <= b)
+            .select(*df.columns, "_p.rep", poisson_count(F.col("_p.u")).alias("w")))
 
 
 def matched(df: DataFrame, need: DataFrame, key: str, cells: Sequence[str], ratio: int,

@@ -14,6 +14,12 @@ def us(key: str, salt: str) -> str:
             f" as double)/4294967296e0)")
 
 
+def boot(key: str, rep: str) -> str:
+    """Bootstrap uniform of a key in replicate ``rep``: four replicates share a digest."""
+    return (f"(cast(cast('0x'||substr(md5(concat(cast({key} as varchar),'-b',cast(({rep}-1)//4+1 as varchar))),"
+            f"cast(8*(({rep}-1)%4)+1 as int),8) as bigint) as double)/4294967296e0)")
+
+
 def un(key: str, salt: str) -> str:
     """The integer behind the hash-uniform."""
     return f"cast('0x'||substr(md5(concat(cast({key} as varchar),'-','{salt}')),1,8) as bigint)"

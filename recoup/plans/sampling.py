@@ -5,8 +5,8 @@ from pyspark.sql import functions as F
 
 from recoup.functions.columns import n_rows, rnd
 from recoup.functions.keys import fold, uniform
-from recoup.operators import bands, features, sampling
-from recoup.plans.fixture_sql import md, u, un, us
+from recoup.operators import features, sampling
+from recoup.plans.fixture_sql import boot, md, u, un
 from recoup.plans.registry import query
 
 
@@ -43,7 +43,7 @@ def r4(t):
     return t.cases.select("CaseId", (fold("CaseId", "cv", 10) + 1).alias("CVfold"))
 
 
-REP = f"SELECT CaseId, TOA, cast(g.r as int) AS rep, {poisson_sql(us('CaseId', chr(39) + 'b' + chr(39) + '||cast(g.r as varchar)'))} AS w FROM cases, (SELECT unnest(range(1,{{}}+1)) AS r) g"
+REP = f"SELECT CaseId, TOA, cast(g.r as int) AS rep, {poisson_sql(boot('CaseId', 'g.r'))} AS w FROM cases, (SELECT unnest(range(1,{{}}+1)) AS r) g"
 
 
 @query("r5_bootstrap_replicates", f"SELECT CaseId, rep, cast(w as int) AS w FROM ({REP.format(5)})")
