@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recoup.functions.keys import digest
 from recoup.operators import components, ranks, sampling
+from recoup.operators.gram import group_moments
 from recoup.operators.joins import sized
 
 MONTHS = 12
@@ -140,70 +142,60 @@ def matched_by_variable(pay: DataFrame, val: DataFrame, ben: DataFrame, column:
 
 
 def package_components(val: DataFrame, columns: Sequence[str]) -> dict[int, dict]:
-    """Per package: kept columns, centre, scale and rotation. K small matrices on the driver."""
-    p = len(columns)
-    pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    rows = val.groupBy("Pckg").agg(
-        *[F.avg(c) for c in columns],
-        *[F.covar_samp(F.col(columns[i]).cast("double"), F.col(columns[j]).cast("double")) for i, j in pairs]).collect()
+    """Per package: centre, and rotation scaled to raw columns. K small matrices on the driver,
+    from one pass over the valued cases."""
     out = {}
-    for r in rows:
-        mean = np.array([float(v) for v in r[1:p + 1]])
-        cov = np.zeros((p, p))
-        for v, (i, j) in zip(r[p + 1:], pairs):
-            cov[i, j] = cov[j, i] = float(v or 0.0)
+    p = len(columns)
+    for k, m in group_moments(val, columns, "Pckg").items():
+        cov = m.s / (m.n - 1)
         keep = [i for i in range(p) if cov[i, i] >= 1e-12]  # a constant column carries nothing
         _, rot = components.rotation(cov[np.ix_(keep, keep)])
-        sd = np.sqrt(np.diag(cov)[keep])
-        full = np.zeros((p, p))
-        full[np.ix_(keep, range(len(keep)))] = rot / sd[:, None]
-        out[r[0]] = {"centre": mean, "weights": full, "n": len(keep)}
+        full = np.zeros((p, len(keep)))
+        full[keep, :] = rot / np.sqrt(np.diag(cov)[keep])[:, None]
+        out[int(k)] = {"centre": m.mean, "weights": full, "n": len(keep)}
     return out
 
 
-def component_scores(df: DataFrame, columns: Sequence[str], fits: dict[int, dict], own: bool) -> DataFrame:
-    """Component scores (CaseId, Pckg, pc array): of each row in its own package's space, or
-    of each row in the space of every package."""
+def component_columns(df: DataFrame, columns: Sequence[str], fits: dict[int, dict], own: bool,
+                      edges: dict[tuple[int, int], list[float]] | None = None) -> DataFrame:
+    """Rows (CaseId, Pckg, c0, c1, ...) in the component space of a package: of each row in its
+    own package's space, or of each row in the space of every package.
+
+    Without ``edges`` the columns are scores; with them they are band numbers, 0 outside the
+    valued range. One matrix product per Arrow batch and package.
+    """
     import pandas as pd
 
     cols = list(columns)
+    depth = min(f["n"] for f in fits.values())
 
     def project(batches):
         for pdf in batches:
             x = pdf[cols].to_numpy(dtype=float)
+            ids = pdf["CaseId"].to_numpy()
             for k, f in fits.items():
                 pick = pdf["Pckg"].to_numpy() == k if own else np.ones(len(pdf), dtype=bool)
-                if pick.any():
-                    s = (x[pick] - f["centre"]) @ f["weights"]
-                    yield pd.DataFrame({"CaseId": pdf["CaseId"].to_numpy()[pick], "Pckg": k, "pc": list(s)})
-
-    keep = ["CaseId", "Pckg", *cols] if own else ["CaseId", *cols]
-    return df.select(*keep).mapInPandas(project, "CaseId bigint, Pckg int, pc array<double>")
-
-
-def component_bands(scores: DataFrame, edges: dict[tuple[int, int], list[float]], depth: int) -> DataFrame:
-    """Band number per component and package, null outside the valued range."""
-    import pandas as pd
-
-    def band(batches):
-        for pdf in batches:
-            s = np.stack(pdf["pc"].to_numpy())
-            out = np.zeros((len(pdf), depth), dtype=int)
-            pk = pdf["Pckg"].to_numpy()
-            for k in np.unique(pk):
-                rows = pk == k
+                if not pick.any():
+                    continue
+                s = (x[pick] - f["centre"]) @ f["weights"]
+                out = {"CaseId": ids[pick], "Pckg": np.full(int(pick.sum()), k)}
                 for j in range(depth):
-                    e = np.array(edges[(int(k), j)])
-                    x = s[rows, j]
-                    b = np.clip(np.searchsorted(e, x, side="left"), 1, len(e) - 1)
-                    out[rows, j] = np.where((x < e[0]) | (x > e[-1]), 0, b)
-            yield pd.DataFrame({"CaseId": pdf["CaseId"], "Pckg": pk, "bands": list(out)})
-
-    return scores.mapInPandas(band, "CaseId bigint, Pckg int, bands array<int>")
+                    v = s[:, j]
+                    if edges is not None:
+                        e = np.array(edges[(k, j)])
+                        band = np.clip(np.searchsorted(e, v, side="left"), 1, len(e) - 1)
+                        v = np.where((v < e[0]) | (v > e[-1]), 0, band)
+                    out[f"c{j}"] = v
+                yield pd.DataFrame(out)
+
+    kind = "double" if edges is None else "int"
+    keep = ["CaseId", "Pckg", *cols] if own else ["CaseId", *cols]
+    schema = "CaseId bigint, Pckg int, " + ", ".join(f"c{j} {kind}" for j in range(depth))
+    return df.select(*keep).mapInPandas(project, schema)
 
 
 def cell_at(depth: int):
-    return F.concat_ws("_", F.slice("bands", 1, depth).cast("array<string>"))
+    return F.concat_ws("_", *[F.col(f"c{j}").cast("string") for j in range(depth)])
 
 
 def matched_by_components(pay: DataFrame, val: DataFrame, ben: DataFrame, columns: Sequence[str],
@@ -214,18 +206,17 @@ def matched_by_components(pay: DataFrame, val: DataFrame, ben: DataFrame, column
     the depth is found by going up from one component until the first failure."""
     from recoup.session import stored
 
+    val = stored(val.select("CaseId", "TOA", "Pckg", *[c for c in columns if c != "TOA"]), "val")
     fits = package_components(val, columns)
     probs = [i / quantiles for i in range(quantiles + 1)]
-    scores = component_scores(val, columns, fits, own=True)
-    depth = min(f["n"] for f in fits.values())
-    q = ranks.exact_quantiles(scores.select("Pckg", *[F.col("pc")[j].alias(f"c{j}") for j in range(depth)]),
-                              [f"c{j}" for j in range(depth)], probs, ["Pckg"]).collect()
+    scores = stored(component_columns(val, columns, fits, own=True), "scores")
+    depth = len(scores.columns) - 2
     edges: dict[tuple[int, int], list[float]] = {}
-    for r in q:
+    for r in ranks.exact_quantiles(scores, [f"c{j}" for j in range(depth)], probs, ["Pckg"]).collect():
         edges.setdefault((r["Pckg"], int(r["variable"][1:])), []).append(r["q"])
     edges = {k: sorted(v) for k, v in edges.items()}
-    v = stored(component_bands(scores, edges, depth), "val_bands")
-    m = stored(component_bands(component_scores(ben, columns, fits, own=False), edges, depth), "ben_bands")
+    v = stored(component_columns(val, columns, fits, True, edges), "val_bands")
+    m = stored(component_columns(ben, columns, fits, False, edges), "ben_bands")
 
     found: dict[int, tuple[int, int]] = {}
     active = set(fits)
@@ -245,16 +236,18 @@ def matched_by_components(pay: DataFrame, val: DataFrame, ben: DataFrame, column
         if not active:
             break
 
-    plan = F.create_map(*[F.lit(x) for k, (d, _) in found.items() for x in (k, d)])
+    cell = F.lit(None).cast("string")
+    for d in sorted({d for d, _ in found.values()}):
+        mine = [k for k, (own, _) in found.items() if own == d]
+        cell = F.when(F.col("Pckg").isin(mine), cell_at(d)).otherwise(cell)
     times = F.create_map(*[F.lit(x) for k, (_, r) in found.items() for x in (k, r)])
-    cell = F.concat_ws("_", F.slice("bands", F.lit(1), plan[F.col("Pckg")]).cast("array<string>")).alias("BandVar")
-    vc, mc = v.select("CaseId", "Pckg", cell), m.select("CaseId", "Pckg", cell)
-    need = vc.groupBy("Pckg", "BandVar").agg(
-        (F.count(F.lit(1)) * times[F.col("Pckg")]).alias("quota"))
+    vc = v.select("CaseId", "Pckg", cell.alias("BandVar"))
+    mc = m.select("CaseId", "Pckg", cell.alias("BandVar"))
+    need = stored(vc.groupBy("Pckg", "BandVar").agg((F.count(F.lit(1)) * times[F.col("Pckg")]).alias("quota")), "quota")
     picked = ranks.smallest(mc, "CaseId", "pcamatch", need, ["Pckg", "BandVar"])
-    toa = val.select("CaseId", "TOA")
+    # A drawn case serves several packages, so its payments are widened once before the join.
     curves = bootstrap(pay, ben.select("CaseId", "TOA").join(picked, "CaseId"), b, ["Pckg", "BandVar"])
-    debt = vc.join(toa, "CaseId").groupBy("Pckg", "BandVar").agg(F.sum("TOA").alias("_debt"))
+    debt = vc.join(val.select("CaseId", "TOA"), "CaseId").groupBy("Pckg", "BandVar").agg(F.sum("TOA").alias("_debt"))
     return deviations(curve(pay, val, ["Pckg"]), weighted_curve(debt, curves, ["Pckg", "BandVar"]), per_package=True)
 
 
@@ -268,11 +261,15 @@ def repeated_match(pay: DataFrame, ref: DataFrame, need: DataFrame, cells: Seque
     on = reduce(lambda a, c: a & c, [ref[c].eqNullSafe(need[c]) for c in cells])
     inside = ref.join(sized(need.select(*cells)), on, "left_semi")
     wide = inside.select("CaseId", "TOA", *cells).join(wide_payments(pay), "CaseId")
-    e = wide.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    # A digest orders four draws: eight hex digits each, equal digits in order of the key.
+    e = wide.withColumn("_block", F.explode(F.sequence(F.lit(1), F.lit(-(-draws // 4)))))
+    e = e.withColumn("_d", digest("CaseId", F.concat(F.lit("m"), F.col("_block").cast("string"))))
+    e = e.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    e = e.withColumn("rep", (F.col("_block") - 1) * 4 + F.col("_i") + 1).filter(F.col("rep") <= draws)
+    text = F.concat(F.substring(F.col("_d"), F.col("_i") * 8 + 1, F.lit(8)), F.lpad(F.col("CaseId").cast("string"), 20, "0"))
     quota = need.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(draws)))).select(
         "rep", *cells, (F.col("wanted") * ratio).alias("quota"))
-    seed = F.concat(F.lit("m"), F.col("rep").cast("string"))
-    got = ranks.smallest(e, "CaseId", seed, quota, ["rep", *cells])
+    got = ranks.smallest(e, "CaseId", "", quota, ["rep", *cells], text=text)
     sums = got.groupBy("rep").agg(F.sum("TOA").alias("T"), *[F.sum(f"p{m}").alias(f"s{m}") for m in range(1, MONTHS + 1)])
     running = F.lit(0.0)
     points = []

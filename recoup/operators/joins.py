@@ -7,9 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recoup.functions.keys import fold
-
-BROADCAST_ROWS = 100_000
-"""A side is broadcast only after its rows were counted and stay below this."""
+from recoup.operators.ranks import BROADCAST_ROWS
 
 
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recoup.functions.keys import uniform
+from recoup.functions.keys import digest
 from recoup.operators.ranks import shuffled_position
 from recoup.operators.sampling import poisson_count
 from recoup.session import stored
@@ -123,7 +123,7 @@ def out_of_bag(df: DataFrame, key: str, bags: int, depth: int = 5) -> DataFrame:
     Bags are Poisson weights of the key, so a bag is a filter and a weight column.
     """
     def one(b):
-        d = df.withColumn("_u", uniform(key, f"bag{b}")).withColumn("w", poisson_count(F.col("_u")).cast("double"))
+        d = df.withColumn("w", poisson_count(F.substring(digest(key, f"bag{b}"), 1, 8)).cast("double"))
         m = tree(d.filter("w > 0"), min_leaf=10, depth=depth, weight="w")
         return m.transform(d.filter("w = 0")).select(key, "label", "prediction")
     out = None

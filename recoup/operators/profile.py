@@ -117,25 +117,24 @@ def spearman(df: DataFrame, columns: Sequence[str], name: str = "rho") -> DataFr
     every pair are computed together; equal values are counted before they are ranked.
     """
     pairs = list(combinations(columns, 2))
-    cells = F.array(*[F.struct(F.lit(f"{a}|{b}").alias("pair"), F.col(a).cast("double").alias("x"),
-                               F.col(b).cast("double").alias("y")) for a, b in pairs])
-    long = (df.select(F.explode(cells).alias("r")).select("r.*")
-            .filter("x IS NOT NULL AND y IS NOT NULL")
-            .groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w")))
-    counted = long.withColumn("n", F.col("w"))
+    cells = F.array(*[F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"),
+                               F.col(b).cast("double").alias("y")) for i, (a, b) in enumerate(pairs)])
+    long = (df.select(F.explode(cells).alias("r")).select("r.*").filter("x IS NOT NULL AND y IS NOT NULL"))
 
     def rank(c):
-        g = counted.groupBy("pair", c).agg(F.sum("w").alias("n"))
+        g = long.groupBy("pair", c).agg(F.count(F.lit(1)).alias("n"))
         cum = ranks.cumulate(g, c, {"upto": "n"}, ["pair"])
         return cum.select("pair", c, (F.col("upto") - (F.col("n") - 1) / 2.0).alias(f"r{c}"))
 
     r = long.join(rank("x"), ["pair", "x"]).join(rank("y"), ["pair", "y"])
-    w, rx, ry = F.col("w"), F.col("rx"), F.col("ry")
     # Ranks have the known mean (n + 1) / 2, so centring by it keeps the sums small.
-    n = r.groupBy("pair").agg(F.sum("w").alias("m"))
-    c = r.join(n, "pair").withColumns({"rx": rx - (F.col("m") + 1) / 2.0, "ry": ry - (F.col("m") + 1) / 2.0})
-    out = c.groupBy("pair").agg((F.sum(w * rx * ry) / F.sqrt(F.sum(w * rx * rx) * F.sum(w * ry * ry))).alias(name))
-    return out.select(F.split("pair", r"\|")[0].alias("a"), F.split("pair", r"\|")[1].alias("b"), name)
+    n = long.groupBy("pair").agg(F.count(F.lit(1)).alias("m")).collect()  # one row per pair
+    half = F.create_map(*[F.lit(v) for row in n for v in (row["pair"], (row["m"] + 1) / 2.0)])[F.col("pair")]
+    c = r.select("pair", (F.col("rx") - half).alias("rx"), (F.col("ry") - half).alias("ry"))
+    rx, ry = F.col("rx"), F.col("ry")
+    out = c.groupBy("pair").agg((F.sum(rx * ry) / F.sqrt(F.sum(rx * rx) * F.sum(ry * ry))).alias(name))
+    side = [F.element_at(F.array(*[F.lit(p[k]) for p in pairs]), F.col("pair") + 1) for k in (0, 1)]
+    return out.select(side[0].alias("a"), side[1].alias("b"), name)
 
 
 def correlation_test(r: float, n: int) -> dict[str, float]:

@@ -20,6 +20,9 @@ IN_TASK_ROWS = 2_000_000
 
 MAX_BUCKETS = 2_000
 
+BROADCAST_ROWS = 100_000
+"""A side is broadcast only after its rows were counted and stay below this."""
+
 
 def bucket_of(x: Column, bounds: Sequence[float]) -> Column:
     """Index of the half-open bucket (b[i-1], b[i]] holding x, as a balanced comparison tree."""
@@ -73,8 +76,8 @@ def cumulate(df: DataFrame, order: str, sums: dict[str, str], by: Sequence[str]
         *[F.col(c).alias(f"_by_{i}") for i, c in enumerate(by)], F.col("_bucket").alias("_b"),
         *[F.coalesce(F.sum(f"_total_{new}").over(before), F.lit(0)).alias(f"_off_{new}")
           for new in sums])
-    on = [inside["_bucket"] == offsets["_b"]]
-    on += [inside[c].eqNullSafe(offsets[f"_by_{i}"]) for i, c in enumerate(by)]
+    on = [F.col("_bucket") == F.col("_b")]
+    on += [F.col(c).eqNullSafe(F.col(f"_by_{i}")) for i, c in enumerate(by)]
     joined = inside.join(offsets, reduce(lambda a, c: a & c, on))
     return joined.select(
         *df.columns, *[(F.col(new) + F.col(f"_off_{new}")).alias(new) for new in sums])
@@ -117,9 +120,9 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     keys = [*by, "variable"]
     cum = cumulate(value_counts(long, "value", keys), "value", {"upto": "n"}, keys,
                    rows_per_bucket=rows_per_task)
-    size = cum.groupBy(*keys).agg(F.max("upto").alias("size"))
-    on = reduce(lambda a, c: a & c, [cum[k].eqNullSafe(size[k]) for k in keys])
-    placed = cum.join(size, on).select(*[cum[k] for k in keys], "value", "n", "upto", "size")
+    size = cum.groupBy(*[F.col(k).alias(f"_s_{k}") for k in keys]).agg(F.max("upto").alias("size"))
+    on = reduce(lambda a, c: a & c, [F.col(k).eqNullSafe(F.col(f"_s_{k}")) for k in keys])
+    placed = cum.join(size, on).select(*keys, "value", "n", "upto", "size")
     first, last = F.col("upto") - F.col("n"), F.col("upto") - 1
     wanted = F.filter(
         F.transform(F.array(*[F.lit(float(p)) for p in probs]),
@@ -167,43 +170,48 @@ def digest_threshold(df: DataFrame, key: str, seed: str, quota: int,
 
 
 def smallest(df: DataFrame, key: str, seed: str, quota: int | DataFrame, by: Sequence[str] = (),
-             rows_per_bucket: int = 20_000) -> DataFrame:
+             rows_per_bucket: int = 20_000, text: Column | None = None) -> DataFrame:
     """The rows with the ``quota`` smallest digests of a unique ``key`` within each group, exactly.
 
     ``quota`` is a number for the whole set, or one row per group with columns ``by`` and
     ``quota``. Only a threshold is searched for; taking the rows is then a plain filter, so no
-    row moves and a very large group stays spread over many tasks.
+    row moves and a very large group stays spread over many tasks. ``text`` replaces the
+    digest by another unique random text.
     """
     by = list(by)
     if not by:
         top = digest_threshold(df, key, seed, quota, rows_per_bucket)
         return df.filter(F.lit(False) if top is None else digest(key, seed) <= F.lit(top))
-    limits = group_thresholds(df, key, seed, quota, by, rows_per_bucket)
-    on = reduce(lambda a, c: a & c, [df[c].eqNullSafe(limits[f"_t_{c}"]) for c in by])
-    return (df.join(limits, on).filter(digest(key, seed) <= F.col("_top")).select(*df.columns))
+    text = digest(key, seed) if text is None else text
+    small = quota.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    limits = group_thresholds(df, text, quota, by, small, rows_per_bucket)
+    on = reduce(lambda a, c: a & c, [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in by])
+    # One threshold per group, so the counted quota table bounds what is broadcast.
+    return (df.join(F.broadcast(limits) if small else limits, on)
+            .filter(text <= F.col("_top")).select(*df.columns))
 
 
-def group_thresholds(df: DataFrame, key: str, seed: str, quotas: DataFrame, by: Sequence[str],
+def group_thresholds(df: DataFrame, text: Column, quotas: DataFrame, by: Sequence[str], small: bool,
                      rows_per_bucket: int = 20_000) -> DataFrame:
-    """One digest threshold per group: counts by digest prefix locate the slice of each group
-    in which its quota is reached, and only that slice is ranked."""
+    """One threshold text per group: counts by hex prefix locate the slice of each group in
+    which its quota is reached, and only that slice is ranked."""
     n = df.count()
     digits = 1
     while n / 16 ** digits > rows_per_bucket and digits < 5:
         digits += 1
-    d = df.select(*by, digest(key, seed).alias("_digest")).withColumn("_prefix", F.substring("_digest", 1, digits))
+    d = df.select(*by, text.alias("_digest")).withColumn("_prefix", F.substring("_digest", 1, digits))
     counts = d.groupBy(*by, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
     w = W.partitionBy(*by).orderBy("_prefix").rowsBetween(W.unboundedPreceding, W.currentRow)
     size = W.partitionBy(*by)  # at most 16 ** digits rows of counts per group
     counts = counts.withColumns({"_upto": F.sum("_n").over(w), "_size": F.sum("_n").over(size)})
     q = quotas.select(*[F.col(c).alias(f"_q_{c}") for c in by], F.col("quota").alias("_quota"))
-    on = reduce(lambda a, c: a & c, [counts[c].eqNullSafe(q[f"_q_{c}"]) for c in by])
+    on = reduce(lambda a, c: a & c, [F.col(c).eqNullSafe(F.col(f"_q_{c}")) for c in by])
     counts = counts.join(q, on).withColumn("_want", F.least("_quota", "_size"))
     room = F.col("_want") - (F.col("_upto") - F.col("_n"))
     edge = counts.filter((room > 0) & (room <= F.col("_n"))).select(
         *[F.col(c).alias(f"_t_{c}") for c in by], F.col("_prefix").alias("_t_prefix"), room.alias("_room"))
-    on = reduce(lambda a, c: a & c, [d[c].eqNullSafe(edge[f"_t_{c}"]) for c in by])
-    near = d.join(edge, on & (d["_prefix"] == edge["_t_prefix"]))
+    on = reduce(lambda a, c: a & c, [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in by])
+    near = d.join(F.broadcast(edge) if small else edge, on & (F.col("_prefix") == F.col("_t_prefix")))
     rank = W.partitionBy(*[f"_t_{c}" for c in by]).orderBy("_digest")
     return (near.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") == F.col("_room"))
             .select(*[f"_t_{c}" for c in by], F.col("_digest").alias("_top")))
@@ -252,6 +260,6 @@ def _positions(d: DataFrame, order: Sequence[str], bucket: str, name: str,
     offsets = totals.select(*[F.col(c).alias(f"_o_{c}") for c in by], "_b",
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     inside = d.withColumn("_pos", F.row_number().over(w))
-    on = [inside[bucket] == offsets["_b"]] + [inside[c].eqNullSafe(offsets[f"_o_{c}"]) for c in by]
+    on = [F.col(bucket) == F.col("_b")] + [F.col(c).eqNullSafe(F.col(f"_o_{c}")) for c in by]
     return inside.join(offsets, reduce(lambda a, c: a & c, on)).withColumn(
         name, (F.col("_pos") + F.col("_off")).cast("bigint"))

@@ -49,12 +49,20 @@ def fetch_draws(df: DataFrame, key: str, seed: str = "draw", order_seed: str = "
         shuffled_position(df, key, order_seed), "position")
 
 
-def poisson_count(x: Column) -> Column:
-    """Poisson(1) count of a uniform number."""
-    out = F.lit(0)
-    for c in POISSON1:
-        out = out + (x >= F.lit(c)).cast("int")
-    return out.cast("int")
+def poisson_count(digits: Column) -> Column:
+    """Poisson(1) count of a uniform given by 8 hex digits.
+
+    Hex digits order as text, so the cumulative probabilities are compared as text and no
+    digit is converted to a number.
+    """
+    out = None
+    for k, c in enumerate(POISSON1):
+        edge = math.ceil(c * 4294967296.0)
+        if edge > 0xFFFFFFFF:
+            break
+        below = digits < F.lit(f"{edge:08x}")
+        out = F.when(below, F.lit(k)) if out is None else out.when(below, F.lit(k))
+    return out.otherwise(F.lit(k)).cast("int")
 
 
 def replicates(df: DataFrame, key: str, b: int, prefix: str = "b") -> DataFrame:
@@ -65,13 +73,11 @@ def replicates(df: DataFrame, key: str, b: int, prefix: str = "b") -> DataFrame:
     blocks = -(-b // 4)
     e = df.withColumn("_block", F.explode(F.sequence(F.lit(1), F.lit(blocks))))
     e = e.withColumn("_d", digest(key, F.concat(F.lit(prefix), F.col("_block").cast("string"))))
-    parts = F.array(*[F.struct(
-        ((F.col("_block") - 1) * 4 + i + 1).alias("rep"),
-        (hex_number(F.col("_d"), 8 * i + 1, 8).cast("double") / F.lit(4294967296.0)).alias("u"))
-        for i in range(4)])
-    # The uniform is a plain column after the explode, so it is read, not recomputed, per step.
-    return (e.withColumn("_p", F.explode(parts)).filter(F.col("_p.rep") <= b)
-            .select(*df.columns, "_p.rep", poisson_count(F.col("_p.u")).alias("w")))
+    e = e.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    rep = (F.col("_block") - 1) * 4 + F.col("_i") + 1
+    e = e.withColumn("rep", rep).filter(F.col("rep") <= b)
+    digits = F.substring(F.col("_d"), F.col("_i") * 8 + 1, F.lit(8))
+    return e.select(*df.columns, "rep", poisson_count(digits).alias("w"))
 
 
 def matched(df: DataFrame, need: DataFrame, key: str, cells: Sequence[str], ratio: int,

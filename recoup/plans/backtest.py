@@ -205,7 +205,7 @@ MATCH = f"""c AS (SELECT CaseId, TOA, Product, {u('CaseId', 'smp')} < CASE WHEN
 e AS (SELECT list_sort(list_distinct(quantile_cont(TOA,[0,0.2,0.4,0.6,0.8,1.0]))) AS b FROM c WHERE smp),
 x AS (SELECT c.*, cast(CASE WHEN TOA >= b[1] AND TOA <= b[len(b)] THEN greatest(len(list_filter(b, lambda z: z < TOA)),1) END as int) AS TOAcell FROM c, e),
 need AS (SELECT Product, TOAcell, count(*) AS wanted FROM x WHERE smp GROUP BY 1,2),
-rr AS (SELECT x.CaseId, x.TOA, g.j AS rep, row_number() OVER (PARTITION BY g.j, x.Product, x.TOAcell ORDER BY md5(concat(cast(x.CaseId as varchar),'-m',cast(g.j as varchar)))) AS i, wanted
+rr AS (SELECT x.CaseId, x.TOA, g.j AS rep, row_number() OVER (PARTITION BY g.j, x.Product, x.TOAcell ORDER BY substr(md5(concat(cast(x.CaseId as varchar),'-m',cast((g.j-1)//4+1 as varchar))),cast(8*((g.j-1)%4)+1 as int),8), x.CaseId) AS i, wanted
  FROM x JOIN need USING (Product, TOAcell), (SELECT unnest(range(1,102)) AS j) g WHERE NOT smp),
 pp AS (SELECT CaseId, Month, coalesce(PaymentAmount,0e0) AS Payment FROM case_events),
 dm AS (SELECT rep, Month, sum(Payment)/sum(TOA) AS SR FROM rr JOIN pp USING (CaseId) WHERE i <= wanted*5 GROUP BY 1,2),

@@ -58,3 +58,13 @@ def stored(df: DataFrame, name: str = "step") -> DataFrame:
                         f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a plain file scan at least one task per core.
+
+    A table in one small row group is read by one task, and so would be all that is computed
+    on it; a large table already has more splits than cores and is left alone.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from recoup.functions.columns import cents
 from recoup.functions.keys import uniform
-from recoup.session import shared_dir
+from recoup.session import shared_dir, spread
 
 BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
         "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -140,11 +140,11 @@ class Tables:
 
     @property
     def cases(self) -> DataFrame:
-        return self._kept("cases", lambda: build_cases(self.orders, self.customer))
+        return self._kept("cases", lambda: build_cases(spread(self.orders), self.customer))
 
     @property
     def case_events(self) -> DataFrame:
-        return self._kept("case_events", lambda: build_case_events(self.lineitem, self.cases))
+        return self._kept("case_events", lambda: build_case_events(spread(self.lineitem), self.cases))
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:

@@ -35,7 +35,7 @@ def norm(v):
     return repr(v)
 
 
-def run(names, sf):
+def run(names, sf, sql_only=False):
     spark = build_session()
     con = duckdb.connect()
     con.execute("set threads=8")
@@ -44,6 +44,8 @@ def run(names, sf):
     qs, sql = queries(), oracle_sql()
     bad, slow = [], []
     for name in qs:
+        if sql_only and name not in sql:
+            continue
         if names and not any(re.search(p, name) for p in names):
             continue
         t0 = time.time()
@@ -100,6 +102,7 @@ def run(names, sf):
 if __name__ == "__main__":
     p = argparse.ArgumentParser()
     p.add_argument("--sf", default="0.01")
+    p.add_argument("--sql", action="store_true", help="only queries with a SQL twin")
     p.add_argument("names", nargs="*")
     a = p.parse_args()
-    run(a.names, a.sf)
+    run(a.names, a.sf, a.sql)
