@@ -16,9 +16,9 @@ def edges_sql(table, col, k, where="true"):
     return f"SELECT list_sort(list_distinct(quantile_cont({col},[{lit}]))) AS b FROM {table} WHERE {where}"
 
 
-@query("b1_fixed_bands", f"SELECT {BAND9} AS TOAband, count(*) AS n, round(avg(TOA),4) AS AvgTOA FROM cases GROUP BY 1")
+@query("b1_fixed_bands", f"SELECT {BAND9} AS TOAband, count(*) AS n, round(avg(TOA),6) AS AvgTOA FROM cases GROUP BY 1")
 def b1(t):
-    return t.cases.groupBy(bands.cut("TOA", bands.TOA_BREAKS).alias("TOAband")).agg(n_rows(), rnd(F.avg("TOA"), 4).alias("AvgTOA"))
+    return t.cases.groupBy(bands.cut("TOA", bands.TOA_BREAKS).alias("TOAband")).agg(n_rows(), rnd(F.avg("TOA")).alias("AvgTOA"))
 
 
 @query("b1_payment_bands", """

@@ -145,14 +145,14 @@ s AS (SELECT x0, sum(t*n) AS s0, sum(t*n*dx) AS s1, sum(t*n*dx*dx) AS s2, sum(t*
 SELECT x0 AS x, round((s2*v0-s1*v1)/(s0*s2-s1*s1),4) AS smooth FROM s""")
 def d11(t):
     c = t.cases.filter("Age > -1").select("Age", "TOA")
-    ages = [r[0] for r in c.select("Age").distinct().limit(500).collect()]  # whole years of life
+    ages = [r[0] for r in c.select("Age").distinct().collect()]  # whole years of life
     return profile.smoother(c, "Age", "TOA", 1 / 3, ages).select("x", rnd("smooth", 4).alias("smooth"))
 
 
 @query("d11_robust_smoother")
 def d11r(t):
     c = t.cases.filter("Age > -1").select("Age", "TOA")
-    ages = [r[0] for r in c.select("Age").distinct().limit(500).collect()]
+    ages = [r[0] for r in c.select("Age").distinct().collect()]
     return profile.smoother(c, "Age", "TOA", 1 / 3, ages, passes=3)
 
 
