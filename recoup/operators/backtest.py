@@ -266,10 +266,10 @@ def repeated_match(pay: DataFrame, ref: DataFrame, need: DataFrame, cells: Seque
     e = e.withColumn("_d", digest("CaseId", F.concat(F.lit("m"), F.col("_block").cast("string"))))
     e = e.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(3))))
     e = e.withColumn("rep", (F.col("_block") - 1) * 4 + F.col("_i") + 1).filter(F.col("rep") <= draws)
-    text = F.concat(F.substring(F.col("_d"), F.col("_i") * 8 + 1, F.lit(8)), F.lpad(F.col("CaseId").cast("string"), 20, "0"))
+    digits = F.substring(F.col("_d"), F.col("_i") * 8 + 1, F.lit(8))
     quota = need.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(draws)))).select(
         "rep", *cells, (F.col("wanted") * ratio).alias("quota"))
-    got = ranks.smallest(e, "CaseId", "", quota, ["rep", *cells], text=text)
+    got = ranks.smallest(e, "CaseId", "", quota, ["rep", *cells], order=(digits, F.col("CaseId")))
     sums = got.groupBy("rep").agg(F.sum("TOA").alias("T"), *[F.sum(f"p{m}").alias(f"s{m}") for m in range(1, MONTHS + 1)])
     running = F.lit(0.0)
     points = []

@@ -170,36 +170,37 @@ def digest_threshold(df: DataFrame, key: str, seed: str, quota: int,
 
 
 def smallest(df: DataFrame, key: str, seed: str, quota: int | DataFrame, by: Sequence[str] = (),
-             rows_per_bucket: int = 20_000, text: Column | None = None) -> DataFrame:
+             rows_per_bucket: int = 20_000, order: tuple[Column, Column] | None = None) -> DataFrame:
     """The rows with the ``quota`` smallest digests of a unique ``key`` within each group, exactly.
 
     ``quota`` is a number for the whole set, or one row per group with columns ``by`` and
     ``quota``. Only a threshold is searched for; taking the rows is then a plain filter, so no
-    row moves and a very large group stays spread over many tasks. ``text`` replaces the
-    digest by another unique random text.
+    row moves and a very large group stays spread over many tasks. ``order`` replaces the
+    digest by other random hex digits and a column that orders rows with equal digits.
     """
     by = list(by)
     if not by:
         top = digest_threshold(df, key, seed, quota, rows_per_bucket)
         return df.filter(F.lit(False) if top is None else digest(key, seed) <= F.lit(top))
-    text = digest(key, seed) if text is None else text
+    head, tail = order or (digest(key, seed), F.col(key))
     small = quota.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    limits = group_thresholds(df, text, quota, by, small, rows_per_bucket)
+    limits = group_thresholds(df, head, tail, quota, by, small, rows_per_bucket)
     on = reduce(lambda a, c: a & c, [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in by])
     # One threshold per group, so the counted quota table bounds what is broadcast.
     return (df.join(F.broadcast(limits) if small else limits, on)
-            .filter(text <= F.col("_top")).select(*df.columns))
+            .filter((head < F.col("_top")) | ((head == F.col("_top")) & (tail <= F.col("_last"))))
+            .select(*df.columns))
 
 
-def group_thresholds(df: DataFrame, text: Column, quotas: DataFrame, by: Sequence[str], small: bool,
-                     rows_per_bucket: int = 20_000) -> DataFrame:
-    """One threshold text per group: counts by hex prefix locate the slice of each group in
+def group_thresholds(df: DataFrame, head: Column, tail: Column, quotas: DataFrame, by: Sequence[str],
+                     small: bool, rows_per_bucket: int = 20_000) -> DataFrame:
+    """One threshold (digits, tie column) per group: counts by hex prefix locate the slice of each group in
     which its quota is reached, and only that slice is ranked."""
     n = df.count()
     digits = 1
     while n / 16 ** digits > rows_per_bucket and digits < 5:
         digits += 1
-    d = df.select(*by, text.alias("_digest")).withColumn("_prefix", F.substring("_digest", 1, digits))
+    d = df.select(*by, head.alias("_head"), tail.alias("_tail")).withColumn("_prefix", F.substring("_head", 1, digits))
     counts = d.groupBy(*by, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
     w = W.partitionBy(*by).orderBy("_prefix").rowsBetween(W.unboundedPreceding, W.currentRow)
     size = W.partitionBy(*by)  # at most 16 ** digits rows of counts per group
@@ -212,9 +213,9 @@ def group_thresholds(df: DataFrame, text: Column, quotas: DataFrame, by: Sequenc
         *[F.col(c).alias(f"_t_{c}") for c in by], F.col("_prefix").alias("_t_prefix"), room.alias("_room"))
     on = reduce(lambda a, c: a & c, [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in by])
     near = d.join(F.broadcast(edge) if small else edge, on & (F.col("_prefix") == F.col("_t_prefix")))
-    rank = W.partitionBy(*[f"_t_{c}" for c in by]).orderBy("_digest")
+    rank = W.partitionBy(*[f"_t_{c}" for c in by]).orderBy("_head", "_tail")
     return (near.withColumn("_rank", F.row_number().over(rank)).filter(F.col("_rank") == F.col("_room"))
-            .select(*[f"_t_{c}" for c in by], F.col("_digest").alias("_top")))
+            .select(*[f"_t_{c}" for c in by], F.col("_head").alias("_top"), F.col("_tail").alias("_last")))
 
 
 def shuffled_position(df: DataFrame, key: str, seed: str, name: str = "position",
