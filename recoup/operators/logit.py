@@ -53,10 +53,12 @@ class Logit:
 
 @dataclass
 class Spec:
-    """A model: its columns, an optional left-out fold, and a ridge penalty per column."""
+    """A model: its columns, an optional left-out fold, a ridge penalty per column, and a fit
+    of some of the same columns to start from."""
     x: list[str]
     skip_fold: int | None = None
     penalty: dict[str, float] = field(default_factory=dict)
+    start: Logit | None = None
 
 
 def fit(df: DataFrame, y: str, x: Sequence[str], penalty: dict[str, float] | None = None) -> Logit:
@@ -76,7 +78,7 @@ def fit_many(df: DataFrame, y: str, specs: Sequence[Spec], fold: str | None = No
     skip = [s.skip_fold for s in specs]
     # The penalty is stated on the original scale of a coefficient.
     ridge = [np.array([0.0] + [s.penalty.get(c, 0.0) / scale[cols.index(c)] ** 2 for c in s.x]) for s in specs]
-    beta = [np.zeros(len(s.x) + 1) for s in specs]
+    beta = [_start(s, cols, centre, scale) for s in specs]
     last = [math.inf] * len(specs)
     result: list[Logit | None] = [None] * len(specs)
     for step in range(steps + 1):
@@ -109,6 +111,18 @@ def fit_many(df: DataFrame, y: str, specs: Sequence[Spec], fold: str | None = No
     return result
 
 
+def _start(spec: Spec, cols, centre, scale) -> np.ndarray:
+    """Starting coefficients on the scaled columns: a known fit's, or zero."""
+    out = np.zeros(len(spec.x) + 1)
+    if spec.start is None:
+        return out
+    known = dict(zip(spec.start.x, spec.start.beta[1:]))
+    out[0] = spec.start.intercept + sum(b * centre[cols.index(c)] for c, b in known.items() if c in cols)
+    for i, c in enumerate(spec.x):
+        out[i + 1] = known.get(c, 0.0) * scale[cols.index(c)]
+    return out
+
+
 def _pass(data: DataFrame, cols, centre, scale, models: dict, folded: bool) -> dict[int, np.ndarray]:
     """Row count, deviance, gradient and upper Hessian of every model at its coefficients."""
     names = list(cols)
@@ -157,7 +171,7 @@ def stepwise(df: DataFrame, y: str, x: Sequence[str], direction: str = "both", k
             moves += [("-" + g, [c for c in current if c != g]) for g in current]
         fresh = [m for m in moves if frozenset(m[1]) not in seen]
         if fresh:
-            fits = fit_many(df, y, [Spec([c for g in m[1] for c in groups[g]]) for m in fresh])
+            fits = fit_many(df, y, [Spec([c for g in m[1] for c in groups[g]], start=best) for m in fresh])
             seen.update({frozenset(m[1]): f for m, f in zip(fresh, fits)})
         if not moves:
             break
@@ -245,7 +259,7 @@ def step_additive(df: DataFrame, y: str, candidates: Sequence[str], flags: Seque
     level = {c: 0 for c in [*candidates, *flags]}
     top = {**{c: 2 for c in candidates}, **{c: 1 for c in flags}}
 
-    def spec(lv):
+    def spec(lv, start=None):
         x, pen = [], {}
         for c, v in lv.items():
             if v == 0:
@@ -253,13 +267,13 @@ def step_additive(df: DataFrame, y: str, candidates: Sequence[str], flags: Seque
             own = [c] if c in flags else (list(basis[c])[:1] if v == 1 else list(basis[c]))
             x += own
             pen.update({n: penalty for n in own if c not in flags and not n.endswith("__1")})
-        return Spec(x, penalty=pen)
+        return Spec(x, penalty=pen, start=start)
 
     best = fit_many(data, y, [spec(level)])[0]
     trace = [{"step": 0, "move": "start", "aic": best.aic(k)}]
     while True:
         moves = [(c, v) for c in level for v in (level[c] - 1, level[c] + 1) if 0 <= v <= top[c]]
-        fits = fit_many(data, y, [spec({**level, c: v}) for c, v in moves])
+        fits = fit_many(data, y, [spec({**level, c: v}, best) for c, v in moves])
         i = min(range(len(moves)), key=lambda j: fits[j].aic(k))
         if fits[i].aic(k) >= best.aic(k) - 1e-9:
             break
