@@ -1,12 +1,16 @@
 """One query per operator, with production parameters, over whole tables."""
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recoup.llm import decontam, simhash
+from recoup.llm import decontam, packing, rans, simhash
+from recoup.llm.tokens import vocabulary
+from recoup.session import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,13 +25,25 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), decontam.contaminated().alias("contaminated"))
 
 
+def op5_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = os.path.join(shared_dir(spark), spark.sparkContext.applicationId, f"blocks-{uuid.uuid4().hex}")
+    return rans.round_trip(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), folder, end=0)
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.with_sums(packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=1)).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
+    "op5_token_blocks": op5_token_blocks,
     "op6_simhash": op6_simhash,
+    "op9_packing": op9_packing,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
