@@ -7,7 +7,7 @@ pooling and a logit. All overlapping windows of a whole text are scored; the tex
 largest logit, calibrated on the training texts.
 
 Training is plain numpy on the driver, over a sample whose size is a parameter. Windows first carry
-their text's label; after WARM epochs the windows of a toxic text that score low lose it, except its
+their text's label; after a share WARM of the steps the windows of a toxic text that score low lose it, except its
 highest one. A quarter of the texts is kept for the calibration.
 """
 from __future__ import annotations
@@ -33,9 +33,10 @@ CHAR_BUCKETS = 1 << 14
 GRAMS = (3, 4, 5)
 #: Training texts of each class, and windows drawn from one of them.
 TOXIC_TEXTS, CLEAN_TEXTS, TEXT_WINDOWS = 1200, 1800, 16
-#: Training texts that must share a word before it has a vector of its own.
-SHARED = 12
-EPOCHS, WARM, BATCH, RATE, DECAY = 5, 2, 512, 0.005, 0.5
+#: Training texts that must share a word before it has a vector of its own: at most and at least,
+#: in between a share of the texts.
+SHARED, SHARED_LEAST, SHARED_PART = 12, 3, 0.005
+STEPS, WARM, BATCH, RATE, DECAY = 330, 0.4, 512, 0.005, 0.5
 CHUNK = 2048
 #: Share of the training texts kept for calibration, and of a batch's words read without their vector.
 CALIBRATION, DROPPED = 0.25, 0.25
@@ -275,7 +276,7 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int =
     n = np.diff(d.first)
     pair = np.unique(np.stack([d.of, np.repeat(np.arange(len(n)), n)]), axis=1) if len(d.of) else np.zeros((2, 0), np.int64)
     shared = np.bincount(pair[0], minlength=len(d.hash)) if len(d.hash) else np.zeros(0)
-    net = Network(d.hash[shared >= SHARED], seed)
+    net = Network(d.hash[shared >= min(SHARED, max(SHARED_LEAST, SHARED_PART * len(texts)))], seed)
     if len(texts) < 2 or labels.min() == labels.max():
         net.shift = -20.0 if not len(texts) or labels.max() == 0 else 20.0
         net.scale = 0.0
@@ -290,8 +291,10 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int =
     active = np.ones(len(row), bool)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     steps, tick = np.arange(WINDOW), 0
-    for epoch in range(EPOCHS):
-        if epoch >= WARM:
+    warm = True
+    while tick < STEPS:
+        warm = warm and tick < WARM * STEPS
+        if not warm:
             now = np.concatenate([net.logits(net.gates(net.inputs(sub)), local, length[a:a + CHUNK])
                                   for a in range(0, len(row), CHUNK)
                                   for sub, local in [subset(d, d.of[start[a:a + CHUNK, None] + np.minimum(steps, length[a:a + CHUNK, None] - 1)])]])
@@ -308,7 +311,7 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int =
             x[rng.random(len(x)) < DROPPED, :WORD_DIM] = 0  # some words are read by their characters alone
             g = net.gradient(sub, x, local, length[at], target[at], balance[at])
             tick += 1
-            rate = RATE * (1 - epoch / EPOCHS) * np.sqrt(1 - 0.999 ** tick) / (1 - 0.9 ** tick)
+            rate = RATE * max(0.1, 1 - tick / STEPS) * np.sqrt(1 - 0.999 ** tick) / (1 - 0.9 ** tick)
             for k, v in g.items():
                 m, s = moment[k]
                 m += 0.1 * (v - m)
