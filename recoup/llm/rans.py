@@ -223,7 +223,8 @@ def read_blocks(spark: SparkSession, path: str, table: Table) -> DataFrame:
                 sums = [zlib.crc32(ids[e - s:e].tobytes()) for s, e in zip(sizes, ends.tolist(), strict=True)]
                 yield batch_of(arrow, doc=docs, start=before + at + ends - np.array(sizes), n_tokens=sizes, ids_crc32=sums)
 
-    return blocks.join(before, "part").select("before", "at", "docs", "sizes", "block").mapInArrow(run, schema)
+    # before has a row for each range written, so it is sent to the blocks and they stay where they are
+    return blocks.join(F.broadcast(before), "part").select("before", "at", "docs", "sizes", "block").mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str, folder: str, end: int = 0, size: int = 1 << 16,

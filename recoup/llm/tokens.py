@@ -2,24 +2,25 @@
 
 Both tokenizers first cut a text into words that never reach over the boundary before a space (a
 space opens a new word), around a line break between two other characters, or between a letter or
-digit and a closing stop or comma. A text is cut there, and the ids of a chunk are looked up; only
+digit and the punctuation that closes a chunk (an apostrophe aside, which may open a suffix). A text is cut there, and the ids of a chunk are looked up; only
 chunks a worker has not met are encoded. Texts that hold white space in any other form are encoded
-in one piece. The lookup is bounded and only ever holds what the library returned.
+in one piece. The lookup is bounded (two generations, so that frequent chunks stay) and only ever
+holds what the library returned.
 """
 from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
-import numpy as np
-
-#: Distinct chunks a worker keeps; beyond that it starts anew.
-KEPT_CHUNKS = 600_000
+#: Distinct chunks of a generation; a worker keeps two.
+KEPT_CHUNKS = 400_000
 
 #: White space or control characters other than space and line break.
 _OTHER = re.compile(r"[^\S \n]|[\x00-\x09\x0b-\x1f]")
 _OTHER_ASCII = [chr(c) for c in range(32) if c != 10]
-_STOP = re.compile(r"[^\W_][.,]$")
+_CLOSING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 #: Byte-level vocabularies write printable Latin-1 bytes as themselves, the others from U+0100 on.
 _HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
@@ -33,6 +34,9 @@ def plain(text: str) -> bool:
     return not any(c in text for c in _OTHER_ASCII) if text.isascii() else not _OTHER.search(text)
 
 
+assert sys.byteorder == "little" and array("I").itemsize == 4  # the ids' bytes are taken as they are
+
+
 class Encoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes.
 
@@ -45,25 +49,26 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.tokenizer.encode_special_tokens = True
         self.spaced = spaced
-        self.kept: dict[str, bytes] = _Chunks(self)
+        self.kept = _Chunks(self)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def chunk(self, text: str) -> bytes:
-        if "\n" in text and len(text) > 1:
-            head, tail = text.split("\n", 1)
-            return self.kept[head] + (self.kept["\n"] if self.spaced else b"") + self.kept[tail]
-        if _STOP.search(text):
-            return self.kept[text[:-1]] + self.kept[text[-1]]
+        base = text.rstrip(_CLOSING)
+        if len(base) < len(text) and base[-1:].isalnum():
+            return self.kept[base] + self.kept[text[len(base):]]
         space = self.spaced and text[0] == " "
         word = text[1:] if space else text
-        if word.isalpha() and max(word) < "\u0180" and "\u0130" not in word:  # one Latin word: the model alone
-            symbols = (word if self.spaced else word.lower()).encode().decode("latin-1").translate(_SYMBOLS)
-            return np.array([t.id for t in self.model.tokenize("\u0120" + symbols if space else symbols)], "<u4").tobytes()
+        if word.isalpha() and (word.isascii() or max(word) < "\u0180" and "\u0130" not in word):  # one Latin word: the model alone
+            if not self.spaced:
+                word = word.lower()
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(_SYMBOLS)
+            return array("I", [t.id for t in self.tokenize("\u0120" + word if space else word)]).tobytes()
         return self.whole(text)
 
     def encode(self, text: str | None) -> bytes:
@@ -71,8 +76,6 @@ class Encoder:
             return b""
         if not plain(text):
             return self.whole(text)
-        if len(self.kept) > KEPT_CHUNKS:
-            self.kept.clear()
         if self.spaced:
             return b"".join(map(self.kept.__getitem__, text.replace(" ", "\x01 ").split("\x01")))
         if text.isascii():
@@ -81,11 +84,23 @@ class Encoder:
 
 
 class _Chunks(dict):
+    """Ids of the chunks met lately; a chunk of the generation before is taken over when met."""
+
     def __init__(self, encoder: Encoder) -> None:
         self.encoder = encoder
+        self.before: dict[str, bytes] = {}
 
     def __missing__(self, text: str) -> bytes:
-        out = self[text] = self.encoder.chunk(text)
+        if "\n" in text and len(text) > 1:
+            head, tail = text.split("\n", 1)
+            return self[head] + (self["\n"] if self.encoder.spaced else b"") + self[tail]
+        out = self.before.get(text)
+        if out is None:
+            out = self.encoder.chunk(text)
+        if len(self) >= KEPT_CHUNKS:
+            self.before = dict(self)
+            self.clear()
+        self[text] = out
         return out
 
 
