@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recoup.llm import decontam, langid, licenses, packing, rans, simhash, toxicity
+from recoup.llm import decontam, langid, licenses, lines, packing, rans, simhash, toxicity
 from recoup.llm.tokens import vocabulary
 from recoup.session import shared_dir
 
@@ -51,6 +51,11 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.with_sums(packing.pack_documents(_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end=1)).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_blocks": op5_token_blocks,
     "op6_simhash": op6_simhash,
     "op7_licenses": op7_licenses,
+    "op8_lines": op8_lines,
     "op9_packing": op9_packing,
 }
 
