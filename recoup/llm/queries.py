@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recoup.llm import decontam, langid, licenses, lines, packing, rans, simhash, toxicity
+from recoup.llm import decontam, langid, licenses, lines, packing, rans, simhash, toxicity, vectors
 from recoup.llm.tokens import vocabulary
 from recoup.session import shared_dir
 
@@ -30,6 +30,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op3_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
@@ -64,6 +68,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_language": op2_language,
+    "op3_vectors": op3_vectors,
     "op4_decontamination": op4_decontamination,
     "op5_token_blocks": op5_token_blocks,
     "op6_simhash": op6_simhash,
