@@ -93,6 +93,23 @@ def read(col: pa.Array) -> Distinct:
     return Distinct(h, of, w.first, b, np.searchsorted(o, np.arange(len(h) + 1)))
 
 
+def read_all(texts: list[str], at_once: int = 256) -> Distinct:
+    """``read`` for many texts, a few at a time."""
+    parts = [read(pa.array(texts[a:a + at_once], pa.large_string())) for a in range(0, len(texts), at_once)]
+    h, at, where = np.unique(np.concatenate([p.hash for p in parts]), return_index=True, return_inverse=True)
+    of, first, base, words_before = [], [np.zeros(1, np.int64)], 0, 0
+    for p in parts:
+        of.append(where[base:base + len(p.hash)][p.of])
+        first.append(p.first[1:] + words_before)
+        base += len(p.hash)
+        words_before += len(p.of)
+    size = np.concatenate([np.diff(p.gram_first) for p in parts])
+    start = np.cumsum(size) - size
+    keep = size[at]
+    pick = np.repeat(start[at], keep) + np.arange(int(keep.sum())) - np.repeat(np.cumsum(keep) - keep, keep)
+    return Distinct(h, np.concatenate(of), np.concatenate(first), np.concatenate([p.grams for p in parts])[pick], np.r_[0, np.cumsum(keep)])
+
+
 def windows(first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, first word and length of every window; rows without words have none."""
     n = np.diff(first)
@@ -272,7 +289,7 @@ def subset(d: Distinct, index: np.ndarray) -> tuple[Distinct, np.ndarray]:
 
 def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int = 7) -> Network:
     """A network fitted to texts with labels 0 / 1; weights are the texts each one stands for."""
-    d = read(pa.array(texts, pa.large_string()))
+    d = read_all(texts) if texts else read(pa.array([], pa.large_string()))
     n = np.diff(d.first)
     pair = np.unique(np.stack([d.of, np.repeat(np.arange(len(n)), n)]), axis=1) if len(d.of) else np.zeros((2, 0), np.int64)
     shared = np.bincount(pair[0], minlength=len(d.hash)) if len(d.hash) else np.zeros(0)
@@ -320,7 +337,7 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int =
     some = np.flatnonzero(apart)
     if labels[some].min(initial=1) == labels[some].max(initial=0):
         some = np.arange(len(n))
-    calibrate(net, read(pa.array([texts[i] for i in some], pa.large_string())), labels[some], weights[some])
+    calibrate(net, read_all([texts[i] for i in some]), labels[some], weights[some])
     return net
 
 
