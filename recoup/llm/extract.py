@@ -15,7 +15,6 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recoup.llm.arrow import batch_of, schemas
@@ -365,7 +364,7 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
     Other columns stay as they are (a column of the text's name is replaced); rows may repeat.
     """
     kept = [c for c in pages.columns if c not in (html_col, text_col)]
-    rows = pages.select(*kept, F.col(html_col).alias("__html"))
+    rows = pages.select(*kept, html_col)
     schema, arrow = schemas([*[(f.name, f.dataType) for f in rows.schema][:-1], (text_col, T.StringType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

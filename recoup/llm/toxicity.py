@@ -335,7 +335,7 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int =
                 s += 0.001 * (v * v - s)
                 net.p[k] -= (rate * (m / (np.sqrt(s) + 1e-8) + (DECAY * net.p[k] if k not in KEPT else 0))).astype(np.float32)
     some = np.flatnonzero(apart)
-    if labels[some].min(initial=1) == labels[some].max(initial=0):
+    if len(set(labels[some].tolist())) < 2:
         some = np.arange(len(n))
     calibrate(net, read_all([texts[i] for i in some]), labels[some], weights[some])
     return net

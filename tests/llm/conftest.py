@@ -13,7 +13,7 @@ ROWS = [
 
 #: Names that the operators use inside.
 CLASHING = ["doc", "text_", "hash", "t", "at", "fp", "a", "b", "score", "n", "line", "size", "sig", "prefix", "token", "component_id", "node",
-            "n_words", "n_lines", "lang_pred", "rejected", "__text", "__gone", "ids", "pos", "pair", "label", "w"]
+            "n_words", "n_lines", "lang_pred", "rejected", "__text", "gone", "first", "hit", "n_chars", "ids", "pos", "pair", "label", "w"]
 
 
 @pytest.fixture(scope="session")
