@@ -104,16 +104,19 @@ def age_split(cases: DataFrame, n: int, k: int, order: str = "D_ContractDateToIm
 
 def deviations(package_curves: DataFrame, benchmark: DataFrame, per_package: bool = False) -> DataFrame:
     """(package - benchmark) / package per package and month. K x 12 rows on the left, and a
-    benchmark of 12 or K x 12 rows on the right."""
+    benchmark of 12 or K x 12 rows on the right; a benchmark's unmatched share is carried along."""
     on = ["Pckg", "Month"] if per_package else ["Month"]
-    b = benchmark.select(*on, F.col("SR").alias("_ben"))
+    carried = [c for c in ("Unmatched",) if c in benchmark.columns]
+    b = benchmark.select(*on, F.col("SR").alias("_ben"), *carried)
     return package_curves.join(b, on).select(
-        "Pckg", "Month", ((F.col("SR") - F.col("_ben")) / F.nullif(F.col("SR"), F.lit(0.0))).alias("Dev"))
+        "Pckg", "Month", ((F.col("SR") - F.col("_ben")) / F.nullif(F.col("SR"), F.lit(0.0))).alias("Dev"), *carried)
 
 
 def deviation_summary(dev: DataFrame) -> DataFrame:
+    """By month; with it the largest share of a package's debt that had no benchmark, where known."""
+    lost = [F.max("Unmatched").alias("Unmatched")] if "Unmatched" in dev.columns else []
     return dev.groupBy("Month").agg(F.avg("Dev").alias("Dev"), F.avg(F.abs("Dev")).alias("DevAbs"),
-                                    F.percentile("Dev", F.lit(0.25)).alias("Q25"))  # one value per package
+                                    F.percentile("Dev", F.lit(0.25)).alias("Q25"), *lost)  # one value per package
 
 
 def averaged_edges(df: DataFrame, column: str, package: str) -> DataFrame:
@@ -125,9 +128,15 @@ def averaged_edges(df: DataFrame, column: str, package: str) -> DataFrame:
 
 
 def weighted_curve(shares: DataFrame, curves: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Benchmark curve of each package: its debt by band weights the curves of the bands."""
-    j = shares.join(curves, list(on))
-    return j.groupBy("Pckg", "Month").agg((F.sum(F.col("_debt") * F.col("SR")) / F.sum("_debt")).alias("SR"))
+    """Benchmark curve of each package: its debt by band weights the curves of the bands.
+
+    ``Unmatched`` is the share of the package's debt in bands without a curve, which the weights
+    leave out.
+    """
+    whole = shares.groupBy("Pckg").agg(F.sum("_debt").alias("_whole"))
+    j = shares.join(curves, list(on)).groupBy("Pckg", "Month").agg(
+        (F.sum(F.col("_debt") * F.col("SR")) / F.sum("_debt")).alias("SR"), F.sum("_debt").alias("_met"))
+    return j.join(whole, "Pckg").select("Pckg", "Month", "SR", F.greatest(F.lit(0.0), 1 - F.col("_met") / F.col("_whole")).alias("Unmatched"))
 
 
 def matched_by_variable(pay: DataFrame, val: DataFrame, ben: DataFrame, column: str = "TOA", b: int = 101) -> DataFrame:
@@ -195,6 +204,9 @@ def component_columns(df: DataFrame, columns: Sequence[str], fits: dict[int, dic
 
 
 def cell_at(depth: int):
+    """Name of the cell of the first components; one cell holds everything if there are none."""
+    if not depth:
+        return F.lit("all")
     return F.concat_ws("_", *[F.col(f"c{j}").cast("string") for j in range(depth)])
 
 
@@ -203,7 +215,9 @@ def matched_by_components(pay: DataFrame, val: DataFrame, ben: DataFrame, column
     """Deviations against a benchmark matched in cells of principal components, all packages
     together. Components are dropped from the end until every cell of valued cases has
     ``min_ratio`` times as many benchmark cases; coarser cells only add cases to a cell, so
-    the depth is found by going up from one component until the first failure."""
+    the depth is found by going up from no component until the first failure. A package that
+    fails with a single component is matched as one cell with the whole benchmark, and it is an
+    error if even that holds fewer than ``min_ratio`` times its cases: no debt is left unmatched."""
     from recoup.session import stored
 
     val = stored(val.select("CaseId", "TOA", "Pckg", *[c for c in columns if c != "TOA"]), "val")
@@ -218,21 +232,26 @@ def matched_by_components(pay: DataFrame, val: DataFrame, ben: DataFrame, column
     v = stored(component_columns(val, columns, fits, True, edges), "val_bands")
     m = stored(component_columns(ben, columns, fits, False, edges), "ben_bands")
 
+    # Counted once by all components; shorter cells are sums of these counts.
+    bands_of = [f"c{j}" for j in range(depth)]
+    need = v.groupBy("Pckg", *bands_of).agg(F.count(F.lit(1)).alias("nv"))
+    have = stored(m.groupBy("Pckg", *bands_of).agg(F.count(F.lit(1)).alias("nb")), "ben_counts")
+    need = stored(need, "val_counts")
     found: dict[int, tuple[int, int]] = {}
     active = set(fits)
-    for d in range(1, depth + 1):
-        need = v.filter(F.col("Pckg").isin(list(active))).groupBy("Pckg", cell_at(d).alias("cell")).agg(
-            F.count(F.lit(1)).alias("nv"))
-        have = m.filter(F.col("Pckg").isin(list(active))).groupBy("Pckg", cell_at(d).alias("cell")).agg(
-            F.count(F.lit(1)).alias("nb"))
-        low = need.join(have, ["Pckg", "cell"], "left").groupBy("Pckg").agg(
+    for d in range(depth + 1):
+        some = F.col("Pckg").isin(list(active))
+        a = need.filter(some).groupBy("Pckg", cell_at(d).alias("cell")).agg(F.sum("nv").alias("nv"))
+        c = have.filter(some).groupBy("Pckg", cell_at(d).alias("cell")).agg(F.sum("nb").alias("nb"))
+        low = a.join(c, ["Pckg", "cell"], "left").groupBy("Pckg").agg(
             F.min(F.floor(F.coalesce("nb", F.lit(0)) / F.col("nv"))).alias("r")).collect()  # K rows
         for r in low:
             if r["r"] >= min_ratio:
                 found[r["Pckg"]] = (d, int(r["r"]))
-            else:
-                found.setdefault(r["Pckg"], (1, max(int(r["r"]), 1)))
+            elif d:
                 active.discard(r["Pckg"])
+            else:
+                raise ValueError(f"the benchmark holds fewer than {min_ratio} cases for each of package {r['Pckg']}")
         if not active:
             break
 

@@ -63,10 +63,11 @@ def first_rows(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
 
 
 def row_at(df: DataFrame, order: Sequence[str], position: int) -> DataFrame:
-    """The row at a 1-based position: a bounded top-n, then the last of those."""
-    head = df.orderBy(*order).limit(position)
-    back = [F.col(c).desc() for c in order]
-    return head.orderBy(*back).limit(1)
+    """The row at a 1-based position in the order of numeric columns, found by bucketed ranks."""
+    from recoup.operators.ranks import ordered_position
+
+    tie = order[1] if len(order) > 1 else order[0]
+    return ordered_position(df, order[0], tie, "_at").filter(F.col("_at") == position).drop("_at")
 
 
 def fill(x: Column | str, value) -> Column:

@@ -287,6 +287,8 @@ def penalised(m: Moments, y: str, x: Sequence[str], lam: float, alpha: float, st
                 z[j] = math.copysign(max(abs(g) - lam * alpha, 0.0), g) / (r[j, j] + lam * (1 - alpha))
             if np.abs(z - before).max() < 1e-12:
                 break
+        else:
+            raise ValueError(f"the lasso fit of {y} at {lam} did not settle")
     b = z / sd
     return float(m.mean[m.at([y])[0]] - m.mean[m.at(x)] @ b), b, z
 

@@ -1,6 +1,7 @@
 """Joins beyond the plain ones: prefixed clashes, blow-up guard, interval and look-back joins."""
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,9 @@ from pyspark.sql import functions as F
 from recoup.functions.keys import fold
 from recoup.operators.ranks import BROADCAST_ROWS
 
+STEP = 8
+"""Ratio of the widths of neighbouring grids of the interval join."""
+
 
 def sized(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast a counted small frame; leave a larger one to the planner."""
@@ -42,34 +46,47 @@ def guarded(x: DataFrame, y: DataFrame, on: Sequence[str], allow_cartesian: bool
 
 
 def overlap(x: DataFrame, y: DataFrame, x_id: str, x_lo: str, x_hi: str, y_lo: str, y_hi: str,
-            rows_per_cell: int = 1_000_000, cells: int = 64) -> DataFrame:
+            rows_per_cell: int = 1_000_000) -> DataFrame:
     """Pairs with ``x_lo <= y_hi`` and ``y_lo <= x_hi``, each pair once.
 
-    Both sides are placed on a common grid and joined on the cell, so the plan is an equi
-    join; a pair is kept only in the first cell the two share. A cell that holds many rows
+    Intervals lie on grids of growing width, each on the finest one of which it covers two cells at
+    most (its own), and visit the coarser ones. A pair meets, by an equi join on the cell, on the
+    coarser of the two own grids, in the first cell that both cover there. The copies of a row
+    follow from the spread of the lengths, not from the number of rows. A cell that holds many rows
     of ``x`` is salted, and the rows of ``y`` in it are repeated once per salt.
     """
-    span = x.agg(F.min(x_lo).alias("a"), F.max(x_hi).alias("b")).first()
-    n = x.count()
-    cells = max(cells, min(100_000, n // rows_per_cell * 4))
-    width = max((span["b"] - span["a"]) / cells, 1e-12) if span["a"] is not None else 1.0
-
-    def cell(c):
-        g = F.floor((F.col(c) - F.lit(float(span["a"] or 0.0))) / F.lit(float(width)))
-        return F.greatest(F.lit(0), F.least(F.lit(cells), g)).cast("int")
-
-    xs = x.withColumn("_xc", cell(x_lo)).withColumn(
-        "_cell", F.explode(F.sequence(F.col("_xc"), F.greatest(F.col("_xc"), cell(x_hi)))))
-    ys = y.withColumn("_yc", cell(y_lo)).withColumn(
-        "_cell", F.explode(F.sequence(F.col("_yc"), F.greatest(F.col("_yc"), cell(y_hi)))))
-    largest = xs.groupBy("_cell").count().agg(F.max("count")).first()[0] or 0
+    def span(df: DataFrame, lo: str, hi: str) -> DataFrame:
+        length = F.col(hi) - F.col(lo)
+        return df.agg(F.least(F.min(lo), F.min(hi)).cast("double").alias("a"), F.greatest(F.max(lo), F.max(hi)).cast("double").alias("b"),
+                      F.percentile_approx(F.when(length > 0, length.cast("double")), 0.5).alias("w"))
+
+    ends = [r for r in (span(x, x_lo, x_hi).first(), span(y, y_lo, y_hi).first()) if r["a"] is not None]
+    base = min((r["a"] for r in ends), default=0.0)
+    whole = max((r["b"] for r in ends), default=0.0) - base
+    width = min((r["w"] for r in ends if r["w"]), default=whole / 4096) or 1.0
+    width = max(width, whole / 2 ** 40)
+    top = max(0, math.ceil(math.log(max(whole / width, 1.0), STEP)))
+
+    def placed(df: DataFrame, lo: str, hi: str, mark: str) -> DataFrame:
+        length = (F.col(hi) - F.col(lo)) / F.lit(width)
+        own = F.when(length > 1, F.least(F.lit(top), F.ceil(F.log(float(STEP), length)))).otherwise(0).cast("int")
+        level = df.withColumn(f"_{mark}own", own).withColumn("_level", F.explode(F.sequence(F.col(f"_{mark}own"), F.lit(top))))
+        grid = F.lit(width) * F.pow(F.lit(float(STEP)), F.col("_level"))
+        first = F.floor((F.col(lo) - F.lit(base)) / grid)
+        last = F.floor((F.col(hi) - F.lit(base)) / grid)
+        return level.withColumn(f"_{mark}first", first).withColumn("_cell", F.explode(F.sequence(first, F.greatest(first, last))))
+
+    xs, ys = placed(x, x_lo, x_hi, "x"), placed(y, y_lo, y_hi, "y")
+    largest = xs.groupBy("_level", "_cell").count().agg(F.max("count")).first()[0] or 0
     salts = -(-largest // rows_per_cell) or 1
     xs = xs.withColumn("_salt", fold(x_id, "salt", salts))
     ys = ys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return (xs.join(ys, ["_cell", "_salt"])
-            .filter((F.col(x_lo) <= F.col(y_hi)) & (F.col(y_lo) <= F.col(x_hi))
-                    & (F.col("_cell") == F.greatest("_xc", "_yc")))
-            .drop("_cell", "_salt", "_xc", "_yc"))
+    on = ["_level", "_cell", "_salt"]
+    at_home = F.col("_xown") == F.col("_level")
+    pairs = (xs.filter(at_home).join(ys, on)
+             .unionByName(xs.filter(~at_home).join(ys.filter(F.col("_yown") == F.col("_level")), on)))
+    return (pairs.filter((F.col(x_lo) <= F.col(y_hi)) & (F.col(y_lo) <= F.col(x_hi)) & (F.col("_cell") == F.greatest("_xfirst", "_yfirst")))
+            .drop("_level", "_cell", "_salt", "_xown", "_yown", "_xfirst", "_yfirst"))
 
 
 def look_back(events: DataFrame, key: str, month: str, marked, measured: str, back: int,

@@ -62,7 +62,11 @@ class Spec:
 
 
 def fit(df: DataFrame, y: str, x: Sequence[str], penalty: dict[str, float] | None = None) -> Logit:
-    return fit_many(df, y, [Spec(list(x), penalty=penalty or {})])[0]
+    """One model; a fit that Newton's steps did not settle is an error, not a result."""
+    found = fit_many(df, y, [Spec(list(x), penalty=penalty or {})])[0]
+    if not found.converged:
+        raise ValueError(f"the logistic fit of {y} on {', '.join(x)} did not converge")
+    return found
 
 
 def fit_many(df: DataFrame, y: str, specs: Sequence[Spec], fold: str | None = None, steps: int = 25,

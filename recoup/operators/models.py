@@ -190,8 +190,7 @@ def staged_scores(model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
         d = t.setPredictionCol(f"_t{i}").transform(d)
     parts = F.array(*[F.col(f"_t{i}") * F.lit(float(w)) for i, w in enumerate(model.treeWeights)])
     staged = d.select(*keep, parts.alias("_p"))
-    n = len(model.treeWeights)
-    upto = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.aggregate(F.slice("_p", 1, i), F.lit(0.0), lambda a, x: a + x))
+    upto = F.aggregate("_p", F.array().cast("array<double>"), lambda a, x: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x))
     return staged.select(*keep, F.posexplode(upto).alias("round", "margin"))
 
 

@@ -119,20 +119,22 @@ def spearman(df: DataFrame, columns: Sequence[str], name: str = "rho") -> DataFr
     pairs = list(combinations(columns, 2))
     cells = F.array(*[F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"),
                                F.col(b).cast("double").alias("y")) for i, (a, b) in enumerate(pairs)])
-    long = (df.select(F.explode(cells).alias("r")).select("r.*").filter("x IS NOT NULL AND y IS NOT NULL"))
+    # Counted before anything is joined: only distinct pairs of values meet the ranks.
+    long = (df.select(F.explode(cells).alias("r")).select("r.*").filter("x IS NOT NULL AND y IS NOT NULL")
+            .groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("k")))
 
     def rank(c):
-        g = long.groupBy("pair", c).agg(F.count(F.lit(1)).alias("n"))
+        g = long.groupBy("pair", c).agg(F.sum("k").alias("n"))
         cum = ranks.cumulate(g, c, {"upto": "n"}, ["pair"])
         return cum.select("pair", c, (F.col("upto") - (F.col("n") - 1) / 2.0).alias(f"r{c}"))
 
     r = long.join(rank("x"), ["pair", "x"]).join(rank("y"), ["pair", "y"])
     # Ranks have the known mean (n + 1) / 2, so centring by it keeps the sums small.
-    n = long.groupBy("pair").agg(F.count(F.lit(1)).alias("m")).collect()  # one row per pair
+    n = long.groupBy("pair").agg(F.sum("k").alias("m")).collect()  # one row per pair
     half = F.create_map(*[F.lit(v) for row in n for v in (row["pair"], (row["m"] + 1) / 2.0)])[F.col("pair")]
-    c = r.select("pair", (F.col("rx") - half).alias("rx"), (F.col("ry") - half).alias("ry"))
-    rx, ry = F.col("rx"), F.col("ry")
-    out = c.groupBy("pair").agg((F.sum(rx * ry) / F.sqrt(F.sum(rx * rx) * F.sum(ry * ry))).alias(name))
+    c = r.select("pair", "k", (F.col("rx") - half).alias("rx"), (F.col("ry") - half).alias("ry"))
+    k, rx, ry = F.col("k"), F.col("rx"), F.col("ry")
+    out = c.groupBy("pair").agg((F.sum(k * rx * ry) / F.sqrt(F.sum(k * rx * rx) * F.sum(k * ry * ry))).alias(name))
     side = [F.element_at(F.array(*[F.lit(p[k]) for p in pairs]), F.col("pair") + 1) for k in (0, 1)]
     return out.select(side[0].alias("a"), side[1].alias("b"), name)
 

@@ -6,6 +6,7 @@ bucket, and the offset of a bucket comes from a window over the small table of b
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -18,35 +19,63 @@ from recoup.functions.keys import digest
 IN_TASK_ROWS = 2_000_000
 """Largest number of rows one task may sort or one aggregate buffer may hold."""
 
-MAX_BUCKETS = 2_000
+TREE_BOUNDS = 500
+"""More cut points than this are searched by bisection in an array, not by a tree of comparisons."""
+
+CUTS_PER_PASS = 2_000
+"""Cut points taken from one pass of approximate percentiles; more are found bucket by bucket."""
 
 BROADCAST_ROWS = 100_000
 """A side is broadcast only after its rows were counted and stay below this."""
 
 
 def bucket_of(x: Column, bounds: Sequence[float]) -> Column:
-    """Index of the half-open bucket (b[i-1], b[i]] holding x, as a balanced comparison tree."""
+    """Index of the half-open bucket (b[i-1], b[i]] holding x; nulls lie in bucket -1, before all."""
     def tree(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
         return F.when(x <= F.lit(float(bounds[mid])), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return tree(0, len(bounds)).cast("int")
+    found = tree(0, len(bounds)) if len(bounds) <= TREE_BOUNDS else bisect(x, F.lit([float(b) for b in bounds]), len(bounds))
+    return F.when(x.isNull(), F.lit(-1)).otherwise(found).cast("int")
+
+
+def bisect(x: Column, bounds: Column, n: int | Column) -> Column:
+    """Number of the sorted ``bounds`` below x, by halving; n bounds its length."""
+    top = F.lit(n) if isinstance(n, int) else n
+    steps = max(1, n.bit_length()) if isinstance(n, int) else 31
+    start = F.struct(F.lit(0).cast("int").alias("lo"), top.cast("int").alias("hi"))
+
+    def half(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        right = (s["lo"] < s["hi"]) & (F.get(bounds, mid) < x)
+        return F.struct(F.when(right, mid + 1).otherwise(s["lo"]).cast("int").alias("lo"),
+                        F.when(right, s["hi"]).otherwise(F.when(s["lo"] < s["hi"], mid).otherwise(s["hi"])).cast("int").alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, half, lambda s: s["lo"])
 
 
 def bucket_bounds(df: DataFrame, order: str, rows_per_bucket: int = IN_TASK_ROWS) -> list[float]:
     """Cut points that split the values of ``order`` into buckets of roughly bounded size.
 
-    Expects one row per distinct value (per group), so equal values cannot overfill a bucket.
+    Values that fill more than a bucket alone must be set apart before (see ``ordered_position``)
+    or be one row each. There are as many cut points as buckets, so the driver holds one number
+    for every ``rows_per_bucket`` rows.
     """
     n = df.count()
     if n <= rows_per_bucket:
         return []
-    k = min(-(-n // rows_per_bucket) * 2, MAX_BUCKETS)
-    probs = [i / k for i in range(1, k)]
-    cuts = df.agg(F.percentile_approx(F.col(order).cast("double"), probs, 20_000)).first()[0] or []
-    return sorted(set(cuts))
+    k = -(-n // rows_per_bucket) * 2
+    value = F.col(order).cast("double")
+    probs = [i / min(k, CUTS_PER_PASS) for i in range(1, min(k, CUTS_PER_PASS))]
+    cuts = sorted(set(df.agg(F.percentile_approx(value, probs, 20_000)).first()[0] or []))
+    if k > CUTS_PER_PASS:  # each coarse bucket is cut again
+        inner = -(-k // CUTS_PER_PASS)
+        more = (df.groupBy(bucket_of(value, cuts).alias("_b")).agg(F.percentile_approx(value, [i / inner for i in range(1, inner)], 20_000).alias("q"))
+                .select(F.explode("q").alias("q")).distinct().collect())
+        cuts = sorted({*cuts, *(r["q"] for r in more if r["q"] is not None)})
+    return cuts
 
 
 def cumulate(df: DataFrame, order: str, sums: dict[str, str], by: Sequence[str] = (),
@@ -54,7 +83,8 @@ def cumulate(df: DataFrame, order: str, sums: dict[str, str], by: Sequence[str]
              tie: str | None = None) -> DataFrame:
     """Running totals of one row per (``by``, ``order``), or per (``by``, ``order``, ``tie``).
 
-    ``sums`` maps new column -> summed column; each total includes the current row.
+    ``sums`` maps new column -> summed column; each total includes the current row. A null order
+    comes first, or last if descending, however many buckets there are.
     """
     by = list(by)
     bounds = bucket_bounds(df, order, rows_per_bucket)
@@ -133,8 +163,10 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
         last.alias("last"))
     low = F.max(F.when(F.floor("h").between(F.col("first"), F.col("last")), F.col("value")))
     high = F.max(F.when(F.ceil("h").between(F.col("first"), F.col("last")), F.col("value")))
-    part = F.max(F.col("h") - F.floor("h"))
-    return hit.groupBy(*keys, "p").agg((low + (high - low) * part).alias("q"))
+    h = F.max("h")
+    # the built-in percentile's own order of operations, so both ways give the same last bit
+    q = F.when(low == high, low).otherwise((F.ceil(h) - h) * low + (h - F.floor(h)) * high)
+    return hit.groupBy(*keys, "p").agg(q.alias("q"))
 
 
 def quantile_list(df: DataFrame, column: str, probs: Sequence[float]) -> list[float]:
@@ -198,12 +230,12 @@ def group_thresholds(df: DataFrame, head: Column, tail: Column, quotas: DataFram
     which its quota is reached, and only that slice is ranked."""
     n = df.count()
     digits = 1
-    while n / 16 ** digits > rows_per_bucket and digits < 5:
+    while n / 16 ** digits > rows_per_bucket:
         digits += 1
     d = df.select(*by, head.alias("_head"), tail.alias("_tail")).withColumn("_prefix", F.substring("_head", 1, digits))
     counts = d.groupBy(*by, "_prefix").agg(F.count(F.lit(1)).alias("_n"))
     w = W.partitionBy(*by).orderBy("_prefix").rowsBetween(W.unboundedPreceding, W.currentRow)
-    size = W.partitionBy(*by)  # at most 16 ** digits rows of counts per group
+    size = W.partitionBy(*by)  # at most 16 counts for every rows_per_bucket rows
     counts = counts.withColumns({"_upto": F.sum("_n").over(w), "_size": F.sum("_n").over(size)})
     q = quotas.select(*[F.col(c).alias(f"_q_{c}") for c in by], F.col("quota").alias("_quota"))
     on = reduce(lambda a, c: a & c, [F.col(c).eqNullSafe(F.col(f"_q_{c}")) for c in by])
@@ -223,7 +255,7 @@ def shuffled_position(df: DataFrame, key: str, seed: str, name: str = "position"
     """1-based position of every row in digest order, within each group."""
     n = df.count()
     digits = 1
-    while n / 16 ** digits > rows_per_bucket and digits < 6:
+    while n / 16 ** digits > rows_per_bucket:
         digits += 1
     d = df.withColumn("_digest", digest(key, seed)).withColumn("_prefix", F.substring("_digest", 1, digits))
     return _positions(d, ["_digest", key], "_prefix", name, by).select(*df.columns, name)
@@ -233,21 +265,29 @@ def ordered_position(df: DataFrame, order: str, tie: str, name: str = "position"
                      by: Sequence[str] = (), rows_per_bucket: int = IN_TASK_ROWS) -> DataFrame:
     """1-based position of every row by (``order``, ``tie``), both numeric, within each group.
 
-    A value of ``order`` that fills more than one bucket alone is split again by its tie column.
+    Null orders come first. A value of ``order`` (or null) that fills more than a bucket alone has
+    a bucket of its own, which is cut again by its own tie column.
     """
-    bounds = bucket_bounds(df, order, rows_per_bucket)
-    first = bucket_of(F.col(order).cast("double"), bounds) if bounds else F.lit(0)
-    d = df.withColumn("_b1", first)
+    if df.count() <= rows_per_bucket:
+        return _positions(df.withColumn("_prefix", F.lit(0).cast("bigint")), [order, tie], "_prefix", name, by).select(*df.columns, name)
+    value = F.col(order).cast("double")
+    # at most one value for every rows_per_bucket rows
+    hot = [(r["v"], r["n"]) for r in df.groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > rows_per_bucket).collect()]
+    known = [v for v, _ in hot if v is not None]
+    rest = df.filter(value.isNotNull() & ~value.isin(known)) if known else df.filter(value.isNotNull())
+    bounds = sorted({*bucket_bounds(rest, order, rows_per_bucket), *known, *(math.nextafter(v, -math.inf) for v in known)})
     second = F.lit(0)
-    if bounds:
-        ties = bucket_bounds(df, tie, rows_per_bucket)
-        hot = (d.groupBy("_b1").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("lo"),
-                                    F.max(order).alias("hi"))
-               .filter((F.col("n") > rows_per_bucket) & (F.col("lo") == F.col("hi"))).collect())
-        values = sorted(r["lo"] for r in hot)  # at most one per bucket
-        if values and ties:
-            second = F.when(F.col(order).isin(values), bucket_of(F.col(tie).cast("double"), ties)).otherwise(0)
-    d = d.withColumn("_prefix", F.col("_b1").cast("bigint") * (MAX_BUCKETS + 1) + second)
+    if hot:
+        pieces = -(-max(n for _, n in hot) // rows_per_bucket) * 2
+        heavy = value.isin(known) if known else F.lit(False)
+        if any(v is None for v, _ in hot):
+            heavy = heavy | value.isNull()
+        cuts = (df.filter(heavy).groupBy(value.alias("v")).agg(F.percentile_approx(F.col(tie).cast("double"), [i / pieces for i in range(1, pieces)], 20_000).alias("q"))
+                .collect())
+        for r in cuts:
+            own = value.isNull() if r["v"] is None else value == F.lit(r["v"])
+            second = F.when(own, bucket_of(F.col(tie).cast("double"), sorted(set(r["q"] or []))) + 1).otherwise(second)
+    d = df.withColumn("_prefix", bucket_of(value, bounds).cast("bigint") * F.lit(1 << 32) + second)
     return _positions(d, [order, tie], "_prefix", name, by).select(*df.columns, name)
 
 

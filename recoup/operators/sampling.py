@@ -36,7 +36,7 @@ def split_n(df: DataFrame, key: str, seed: str, n: int) -> tuple[DataFrame, Data
 
 def draws(n: int, seed: str, spark, count: int | None = None) -> DataFrame:
     """``count`` draws with replacement from positions 1..n."""
-    pos = F.pmod(hex_number(digest("draw", seed), 1, 8), F.lit(int(n))) + 1
+    pos = F.pmod(hex_number(digest("draw", seed), 1, 15), F.lit(int(n))) + 1
     return (spark.range(1, (count or n) + 1).withColumnRenamed("id", "draw")
             .withColumn("position", pos))
 

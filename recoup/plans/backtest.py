@@ -143,15 +143,16 @@ mb AS (SELECT Pckg, Month, sum(debt*SR)/sum(debt) AS SR FROM w JOIN bb USING (ba
 @query("x8_deviation_matched_by_variable", _by_variable(VAL))
 def x8(t):
     pay, val, ben = random_sets(t)
-    return rounded(backtest.deviation_summary(backtest.matched_by_variable(pay, val, ben, "TOA", B)))
+    return rounded(backtest.deviation_summary(backtest.matched_by_variable(pay, val, ben, "TOA", B)).drop("Unmatched"))
 
 
 @query("x8_deviation_matched_by_variable_age", _by_variable(OLD))
 def x8b(t):
     pay, val, ben = age_sets(t)
-    return rounded(backtest.deviation_summary(backtest.matched_by_variable(pay, val, ben, "TOA", B)))
+    return rounded(backtest.deviation_summary(backtest.matched_by_variable(pay, val, ben, "TOA", B)).drop("Unmatched"))
 
 
+#: The variables of the component matching.
 PCA = ["LoanAmount", "TOA", "Principal", "D_ContractDateToImportDate", "DPD", "ExternalAgency", "Bailiff",
        "ClosedExecution", "PopulationInCity", "Age", "LastPaymentAmount", "M_LastPaymentToImportDate", "MeanSalary", "IfMan"]
 
@@ -159,7 +160,7 @@ PCA = ["LoanAmount", "TOA", "Principal", "D_ContractDateToImportDate", "DPD", "E
 def _by_components(sets):
     pay, val, ben = sets
     man = (F.col("Gender") == "MALE").cast("int")
-    return backtest.matched_by_components(pay, val.withColumn("IfMan", man), ben.withColumn("IfMan", man), PCA, 5, 2, B)
+    return backtest.matched_by_components(pay, val.withColumn("IfMan", man), ben.withColumn("IfMan", man), PCA, 5, 10, B)
 
 
 @query("x9_deviation_matched_by_components")

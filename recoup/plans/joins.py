@@ -62,14 +62,13 @@ def j5(t):
 @query("j6_interval_join", """
 SELECT c.CaseId, y.Land AS BandLand, y.Product AS BandProduct
 FROM cases c JOIN (SELECT Land, Product, round(quantile_cont(TOA,0.4),2) AS lo, round(quantile_cont(TOA,0.5),2) AS hi
-  FROM cases WHERE Land IS NOT NULL GROUP BY 1,2) y ON c.Principal <= y.hi AND y.lo <= c.TOA
-WHERE c.TOA < 30000""")
+  FROM cases WHERE Land IS NOT NULL GROUP BY 1,2) y ON c.Principal <= y.hi AND y.lo <= c.TOA""")
 def j6(t):
     q = ranks.exact_quantiles(t.cases.filter("Land IS NOT NULL"), ["TOA"], [0.4, 0.5], ["Land", "Product"])
     y = q.groupBy(F.col("Land").alias("BandLand"), F.col("Product").alias("BandProduct")).agg(
         rnd(F.max(F.when(F.col("p") == 0.4, F.col("q"))), 2).alias("lo"),
         rnd(F.max(F.when(F.col("p") == 0.5, F.col("q"))), 2).alias("hi"))
-    x = t.cases.filter("TOA < 30000").select("CaseId", "Principal", "TOA")
+    x = t.cases.select("CaseId", "Principal", "TOA")
     return joins.overlap(x, y, "CaseId", "Principal", "TOA", "lo", "hi").select(
         "CaseId", "BandLand", "BandProduct")
 
@@ -148,7 +147,7 @@ def j13(t):
 @query("j14_fetch_by_keys", f"""
 WITH r AS (SELECT CaseId, TOA, row_number() OVER (ORDER BY {md('CaseId', 'pos')}, CaseId) AS pos FROM cases),
 n AS (SELECT count(*) AS n FROM cases),
-d AS (SELECT i AS draw, 1 + cast('0x'||substr(md5(concat(cast(i as varchar),'-draw')),1,8) as bigint) % (SELECT n FROM n) AS pos
+d AS (SELECT i AS draw, 1 + cast('0x'||substr(md5(concat(cast(i as varchar),'-draw')),1,15) as bigint) % (SELECT n FROM n) AS pos
   FROM (SELECT unnest(range(1, (SELECT n FROM n)+1)) AS i))
 SELECT draw, CaseId, TOA FROM d JOIN r USING (pos)""")
 def j14(t):

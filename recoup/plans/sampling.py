@@ -102,7 +102,7 @@ def r10(t):
 @query("r11_class_balancing", f"""
 WITH r AS (SELECT CaseId, Suc, row_number() OVER (PARTITION BY Suc ORDER BY {md('CaseId', 'pos')}, CaseId) AS position FROM success6),
 n AS (SELECT Suc, count(*) AS n FROM success6 GROUP BY 1),
-d AS (SELECT Suc, i AS draw, 1 + cast('0x'||substr(md5(concat(cast(i as varchar),'-bal',cast(Suc as varchar))),1,8) as bigint) % n AS position FROM n, (SELECT unnest(range(1,7001)) AS i))
+d AS (SELECT Suc, i AS draw, 1 + cast('0x'||substr(md5(concat(cast(i as varchar),'-bal',cast(Suc as varchar))),1,15) as bigint) % n AS position FROM n, (SELECT unnest(range(1,7001)) AS i))
 SELECT draw, CaseId, Suc FROM d JOIN r USING (Suc, position)""")
 def r11(t):
     s = features.success6(t.case_events, t.cases).select("CaseId", "Suc")

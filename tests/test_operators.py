@@ -33,7 +33,7 @@ def test_interval_join_equals_brute_force(spark):
     ys = [(j, v, v + rnd.uniform(0, 20)) for j, v in ((j, rnd.uniform(-10, 100)) for j in range(40))]
     x = spark.createDataFrame(xs, "i bigint, a double, b double")
     y = spark.createDataFrame(ys, "j bigint, c double, d double")
-    got = [(r["i"], r["j"]) for r in joins.overlap(x, y, "i", "a", "b", "c", "d", rows_per_cell=10, cells=8).collect()]
+    got = [(r["i"], r["j"]) for r in joins.overlap(x, y, "i", "a", "b", "c", "d", rows_per_cell=10).collect()]
     want = {(i, j) for i, a, b in xs for j, c, d in ys if a <= d and c <= b}
     assert len(got) == len(set(got)) and set(got) == want
 

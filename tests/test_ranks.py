@@ -24,7 +24,39 @@ def test_bucketed_quantiles_equal_builtin(rows):
     b = {(r["g"], r["p"]): r["q"] for r in ranks.exact_quantiles(df, ["x"], probs, ["g"], rows_per_task=20).collect()}
     assert a.keys() == b.keys() and len(a) == 10
     for k in a:
-        assert a[k] == pytest.approx(b[k], abs=1e-9)
+        assert a[k] == b[k]
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("rows_per_bucket", [10, 10_000])
+def test_cumulate_places_nulls_alike(spark, descending, rows_per_bucket):
+    data = [(None if i % 10 == 0 else float(i % 83), 1) for i in range(200)]
+    df = spark.createDataFrame(data, "x double, k int").groupBy("x").agg(F.sum("k").alias("n"))
+    got = {r["x"]: r["upto"] for r in ranks.cumulate(df, "x", {"upto": "n"}, (), descending, rows_per_bucket).collect()}
+    assert got[None] == (200 if descending else 20)
+    for x, upto in got.items():
+        if x is not None:
+            assert upto == sum(y is not None and (y >= x if descending else y <= x) for y, _ in data) + (0 if descending else 20)
+
+
+@pytest.mark.parametrize("rows_per_bucket", [25, 100, 100_000])
+def test_positions_with_nulls_and_a_hot_value_among_others(spark, rows_per_bucket):
+    rnd = random.Random(3)
+    data = [(i, None if i % 9 == 0 else 25.0 if rnd.random() < 0.6 else rnd.uniform(20, 30)) for i in range(1500)]
+    df = spark.createDataFrame(data, "id bigint, x double")
+    got = sorted((r["pos"], r["id"]) for r in ranks.ordered_position(df, "x", "id", "pos", rows_per_bucket=rows_per_bucket).collect())
+    want = [i for i, x in sorted(data, key=lambda d: (d[1] is not None, d[1] or 0.0, d[0]))]
+    assert got == list(enumerate(want, 1))
+
+
+def test_many_bounds_are_bisected(spark):
+    bounds = [float(i) * 1.5 for i in range(ranks.TREE_BOUNDS + 37)]
+    xs = [None, -1.0, 0.0, 0.1, 1.5, 1.6, 300.0, 804.0, 805.0, 1e9, float("nan")]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    many = [r[0] for r in df.select(ranks.bucket_of(F.col("x"), bounds)).collect()]
+    want = [-1 if x is None else len(bounds) if x != x else sum(b < x for b in bounds) for x in xs]
+    assert many == want
+    assert [r[0] for r in df.select(ranks.bucket_of(F.col("x"), bounds[:30])).collect()] == [min(w, 30) for w in want]
 
 
 @pytest.mark.parametrize("descending", [False, True])
