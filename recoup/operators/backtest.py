@@ -136,7 +136,7 @@ def weighted_curve(shares: DataFrame, curves: DataFrame, on: Sequence[str]) -> D
     whole = shares.groupBy("Pckg").agg(F.sum("_debt").alias("_whole"))
     j = shares.join(curves, list(on)).groupBy("Pckg", "Month").agg(
         (F.sum(F.col("_debt") * F.col("SR")) / F.sum("_debt")).alias("SR"), F.sum("_debt").alias("_met"))
-    return j.join(whole, "Pckg").select("Pckg", "Month", "SR", F.greatest(F.lit(0.0), 1 - F.col("_met") / F.col("_whole")).alias("Unmatched"))
+    return j.join(whole, "Pckg").select("Pckg", "Month", "SR", F.round(1 - F.col("_met") / F.col("_whole"), 9).alias("Unmatched"))
 
 
 def matched_by_variable(pay: DataFrame, val: DataFrame, ben: DataFrame, column: str = "TOA", b: int = 101) -> DataFrame:

@@ -76,13 +76,12 @@ def mixture(df: DataFrame, k: int):
 
 
 def cluster_sweep(df: DataFrame, ks: Sequence[int], fit: Callable) -> DataFrame:
-    """Class error and age error of the cluster rule for every k."""
+    """Class error and age error of the cluster rule for every k: two numbers a k reach the driver."""
     def one(k):
-        return fit(df, k).transform(df).transform(lambda d: cluster_rule(d, "prediction")).withColumn("K", F.lit(k))
-    out = None
-    for d in in_parallel([lambda k=k: one(k) for k in ks]):
-        out = d if out is None else out.unionByName(d)
-    return out
+        r = cluster_rule(fit(df, k).transform(df), "prediction").first()
+        return r["ClassError"], r["MSE"], k
+    rows = in_parallel([lambda k=k: one(k) for k in ks])
+    return df.sparkSession.createDataFrame(rows, "ClassError double, MSE double, K int")
 
 
 # Trees --------------------------------------------------------------------------------------

@@ -76,17 +76,17 @@ def m1(t):
 
 @query("m2_k_means_sweep")
 def m2(t):
-    return models.cluster_sweep(cluster_set(t), [2, 5, 10, 15, 20, 25, 30], lambda d, k: models.k_means(d, k, starts=1))
+    return models.cluster_sweep(cluster_set(t), range(2, 31), lambda d, k: models.k_means(d, k, starts=1))
 
 
 @query("m3_hierarchical_groups")
 def m3(t):
-    return models.cluster_sweep(cluster_set(t), [2, 5, 10, 20, 30], models.hierarchical)
+    return models.cluster_sweep(cluster_set(t), range(2, 31), models.hierarchical)
 
 
 @query("m4_gaussian_mixture")
 def m4(t):
-    return models.cluster_sweep(cluster_set(t), [2, 5, 10], models.mixture)
+    return models.cluster_sweep(cluster_set(t), range(2, 11), models.mixture)
 
 
 @query("m4_gaussian_mixture_assignment")
@@ -110,7 +110,7 @@ def t2(t):
 @query("t3_tree_pruned_by_cross_validation")
 def t3(t):
     trn, tst = target_sets(t)
-    rows, best = models.depth_by_cross_validation(trn.withColumn("fold", fold("CaseId", "cv", 5)), [1, 2, 3, 5, 8], "fold", 5)
+    rows, best = models.depth_by_cross_validation(trn.withColumn("fold", fold("CaseId", "cv", 5)), range(1, 11), "fold", 5)
     return frame_of(t, [(d, e, best.depth) for d, e in rows], "max_depth int, cv_error double, chosen_depth int")
 
 
@@ -128,42 +128,42 @@ def t4(t):
 @query("t5_bagging")
 def t5(t):
     trn, tst = target_sets(t)
-    return measured(t, "bagging", models.forest(trn, 20, "all"), trn, tst)
+    return measured(t, "bagging", models.forest(trn, 1000, "all"), trn, tst)
 
 
 @query("t6_random_forest")
 def t6(t):
     trn, tst = target_sets(t)
-    return measured(t, "forest", models.forest(trn, 30, "5"), trn, tst)
+    return measured(t, "forest", models.forest(trn, 1000, "5"), trn, tst)
 
 
 @query("t7_out_of_bag")
 def t7(t):
     trn, _ = target_sets(t)
-    v = models.out_of_bag(trn, "CaseId", 8)
+    v = models.out_of_bag(trn, "CaseId", 24)
     wrong = ((F.col("votes") / F.col("times") > 0.5).cast("double") != F.col("label")).cast("double")
     n = trn.count()
     return v.groupBy("times").agg(F.count(F.lit(1)).alias("n"), F.avg(wrong).alias("oob_error"),
-                                  (F.lit(1.0) - F.sum("times") / F.lit(8.0 * n)).alias("in_bag_share"))
+                                  (F.lit(1.0) - F.sum("times") / F.lit(24.0 * n)).alias("in_bag_share"))
 
 
 @query("t8_impurity_importance")
 def t8(t):
     trn, _ = target_sets(t)
-    return models.importances(models.forest(trn, 20, "5"), COLS, t.spark)
+    return models.importances(models.forest(trn, 500, "5"), COLS, t.spark)
 
 
 @query("t9_permutation_importance")
 def t9(t):
     trn, tst = target_sets(t)
-    m = models.forest(trn, 10, "5")
+    m = models.forest(trn, 200, "5")
     return models.permutation_importance(tst, "CaseId", COLS, lambda d: m.transform(models.assemble(d, COLS)))
 
 
 @query("t10_tree_sizes")
 def t10(t):
     trn, _ = target_sets(t)
-    return models.tree_sizes(models.forest(trn, 20, "5"), t.spark)
+    return models.tree_sizes(models.forest(trn, 500, "5"), t.spark)
 
 
 @query("t10_tree_listing")
@@ -175,7 +175,7 @@ def t10b(t):
 @query("t11_partial_dependence")
 def t11(t):
     trn, tst = target_sets(t)
-    m = models.forest(trn, 10, "5")
+    m = models.forest(trn, 200, "5")
     grid = bands.edges(trn, "TOA", 15)
     return models.partial_dependence(tst.drop("features"), "TOA", grid, lambda d: models.probability(m.transform(models.assemble(d, COLS))))
 
@@ -183,13 +183,13 @@ def t11(t):
 @query("t12_gradient_boosting")
 def t12(t):
     trn, tst = target_sets(t)
-    return measured(t, "boosting", models.boosted(trn, 20), trn, tst)
+    return measured(t, "boosting", models.boosted(trn, 100), trn, tst)
 
 
 @query("t13_best_iteration")
 def t13(t):
     trn, tst = target_sets(t)
-    m = models.boosted(trn, 20)
+    m = models.boosted(trn, 100)
     loss = m.evaluateEachIteration(tst)
     best = min(range(len(loss)), key=lambda i: loss[i]) + 1
     return frame_of(t, [(i + 1, float(v), i + 1 == best) for i, v in enumerate(loss)], "iteration int, loss double, best boolean")
@@ -200,7 +200,7 @@ def t14(t):
     trn, _ = target_sets(t)
     rows = []
     for kind, depth in (("discrete", 1), ("real", 2), ("gentle", 3)):
-        rows += models.adaptive_boosting(trn, "CaseId", 5, kind, depth)[1]
+        rows += models.adaptive_boosting(trn, "CaseId", 10, kind, depth)[1]
     return frame_of(t, rows, "kind string, round int, error double")
 
 
@@ -208,14 +208,14 @@ def t14(t):
 def t15(t):
     trn, tst = target_sets(t)
     d = trn.withColumn("is_val", fold("CaseId", "val", 5) == 0)
-    m = models.boosted(d, 30, 3, 0.1, 0.7, "onethird", "is_val")
+    m = models.boosted(d, 100, 3, 0.1, 0.7, "onethird", "is_val")
     return measured(t, f"stopped_after_{m.getNumTrees}", m, trn, tst)
 
 
 @query("t16_scoring_history")
 def t16(t):
     trn, tst = target_sets(t)
-    return models.scoring_history(models.boosted(trn, 12), {"train": trn, "validation": tst})
+    return models.scoring_history(models.boosted(trn, 30), {"train": trn, "validation": tst})
 
 
 def _grid_frame(t, rows):
