@@ -30,14 +30,14 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """``base**i`` and its inverse modulo 2^64 for i below n (at least)."""
     have = _POWERS.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, 2 * PIECE_BYTES)
+        size = max(n, PIECE_BYTES + 256)
         out = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, b, np.uint64)
             p[0] = 1
             out.append(np.cumprod(p, dtype=np.uint64))
         have = out[0], out[1]
-        if size <= 4 * PIECE_BYTES:  # tables for a single huge text are not kept
+        if size <= 2 * PIECE_BYTES:  # tables for a single huge text are not kept
             _POWERS[base] = have
     return have
 

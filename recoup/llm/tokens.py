@@ -15,7 +15,7 @@ import sys
 from array import array
 
 #: Distinct chunks of a generation; a worker keeps two.
-KEPT_CHUNKS = 400_000
+KEPT_CHUNKS = 300_000
 
 #: White space or control characters other than space and line break.
 _OTHER = re.compile(r"[^\S \n]|[\x00-\x09\x0b-\x1f]")
@@ -92,8 +92,7 @@ class _Chunks(dict):
 
     def __missing__(self, text: str) -> bytes:
         if "\n" in text and len(text) > 1:
-            head, tail = text.split("\n", 1)
-            return self[head] + (self["\n"] if self.encoder.spaced else b"") + self[tail]
+            return (self["\n"] if self.encoder.spaced else b"").join([self[part] for part in text.split("\n")])
         out = self.before.get(text)
         if out is None:
             out = self.encoder.chunk(text)
