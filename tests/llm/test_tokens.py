@@ -16,8 +16,8 @@ FILES = [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)]
 def test_chunks_give_the_library_s_ids(name, spaced):
     e = tokens.Encoder(tokens.vocabulary(name), spaced)
 
-    @settings(max_examples=300, deadline=None)
-    @given(st.text(alphabet=st.one_of(st.sampled_from("abAB  \n\n.,!?'\"-_*&12é日ŉİıΣſ½\x01\x00\t\r ́"), st.characters()), max_size=40))
+    @settings(max_examples=500, deadline=None)
+    @given(st.text(alphabet=st.one_of(st.sampled_from("abAB  \n\n.,!?'\"-_*&12é日ŉİıΣſ½\x01\x00\t\r ́"), st.characters(exclude_categories=["Cs"])), max_size=40))
     def same(text):
         assert e.encode(text) == (e.whole(text) if text else b"")
 
