@@ -116,8 +116,10 @@ def pack_documents(docs: DataFrame, path: str, end: int = 1, id_col: str = "doc_
                             doc_tokens=list(c[3]), sequence_id=list(c[4]), offset=list(c[5]))
 
         for part in pieces(batches, 1):
-            for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                ids = enc.encode(text) + tail
+            flat_ids, first = enc.column(part.column(1))
+            flat_ids = flat_ids.tobytes()
+            for doc, a, b in zip(part.column(0).to_pylist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                ids = flat_ids[4 * a:4 * b] + tail
                 total = len(ids) // 4
                 start = 0
                 while total - start >= capacity:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recoup.llm.arrow import batch_of, schemas
-from recoup.llm.text import pieces
+from recoup.llm.text import flat, pieces
 from recoup.llm.tokens import encoder
 from recoup.session import spread, stored
 
@@ -130,40 +130,40 @@ class Table:
         return out
 
 
-def tokenized(docs: DataFrame, path: str, end: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc, n, ids`` for every row: ids as unsigned 16-bit (32-bit if an id needs it), end included."""
+def id_type(size: int) -> str:
+    """Stored form of ids below ``size``."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def tokenized(docs: DataFrame, path: str, end: int, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc, ids`` for every row: ids as little-endian integers of the size's type, end included."""
     docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    schema, arrow = schemas([("doc", docs.schema["doc"].dataType), ("n", T.LongType()), ("ids", T.BinaryType())])
-    tail = np.array([end], "<u4").tobytes()
+    schema, arrow = schemas([("doc", docs.schema["doc"].dataType), ("ids", T.BinaryType())])
+    kind = np.dtype(id_type(size))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path, True)
         for part in pieces(batches, 1):
-            ids = [enc.encode(t) + tail for t in part.column(1).to_pylist()]
-            yield batch_of(arrow, doc=part.column(0), n=[len(x) // 4 for x in ids], ids=[pack(x) for x in ids])
+            ids, first = enc.column(part.column(1))
+            ids = np.insert(ids, first[1:], end)
+            if len(ids) and int(ids.max()) >= size:
+                raise ValueError("an id beyond the vocabulary's size")
+            ends = (first + np.arange(len(first))) * kind.itemsize
+            packed = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(ids.astype(kind))])
+            yield batch_of(arrow, doc=part.column(0), ids=packed)
 
     return spread(docs).mapInArrow(run, schema)
 
 
-def pack(ids: bytes) -> bytes:
-    """32-bit ids in 16 bits where all fit; an odd first byte tells which."""
-    wide = np.frombuffer(ids, "<u4")
-    return b"\x02" + wide.astype("<u2").tobytes() if not len(wide) or wide.max() < 1 << 16 else b"\x04" + ids
-
-
-def unpack(packed: bytes) -> np.ndarray:
-    return np.frombuffer(packed, "<u2" if packed[0] == 2 else "<u4", offset=1).astype(np.uint32)
-
-
 def counted(tokens: DataFrame, size: int) -> np.ndarray:
     """How often each id below ``size`` occurs; one row per id reaches the driver."""
     schema, arrow = schemas([("id", T.IntegerType()), ("n", T.LongType())])
+    kind = id_type(size)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for part in pieces(batches, 0):
-            ids = np.concatenate([unpack(x) for x in part.column(0).to_pylist()])
-            total += np.bincount(ids, minlength=size)
+            total += np.bincount(flat(part.column(0))[0].view(kind), minlength=size)
         yield batch_of(arrow, id=np.flatnonzero(total).astype(np.int32), n=total[total > 0])
 
     out = np.zeros(size, np.int64)
@@ -172,13 +172,13 @@ def counted(tokens: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def write_blocks(tokens: DataFrame, table: Table, path: str) -> None:
+def write_blocks(tokens: DataFrame, table: Table, path: str, size: int) -> None:
     """Blocks of ids in ascending document order: ``part, at, docs, sizes, n, block``.
 
     part numbers the range of documents, at counts the part's ids before the block. Null ids come
     first, rows that share an id follow each other in the order of their ids.
     """
-    spark = tokens.sparkSession
+    spark, kind = tokens.sparkSession, id_type(size)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     schema, arrow = schemas([("part", T.IntegerType()), ("at", T.LongType()), ("docs", T.ArrayType(tokens.schema["doc"].dataType)),
                              ("sizes", T.ArrayType(T.LongType())), ("n", T.LongType()), ("block", T.BinaryType())])
@@ -192,7 +192,7 @@ def write_blocks(tokens: DataFrame, table: Table, path: str) -> None:
 
         for piece in pieces(batches, 1):
             for doc, packed in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist(), strict=True):
-                held.append(unpack(packed))
+                held.append(np.frombuffer(packed, kind))
                 docs.append(doc)
                 count += len(held[-1])
                 if count >= BLOCK_IDS:
@@ -234,7 +234,7 @@ def round_trip(docs: DataFrame, path: str, folder: str, end: int = 0, size: int
     Null and empty texts hold the end id alone. Rows that share an id stay separate documents.
     Other columns are not read. ``size`` bounds the ids of the vocabulary.
     """
-    tokens = stored(tokenized(docs, path, end, id_col, text_col), "tokens")
+    tokens = stored(tokenized(docs, path, end, size, id_col, text_col), "tokens")
     table = Table(counted(tokens, size))
-    write_blocks(tokens, table, folder)
+    write_blocks(tokens, table, folder, size)
     return read_blocks(docs.sparkSession, folder, table).withColumnRenamed("doc", id_col)

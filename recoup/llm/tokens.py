@@ -1,47 +1,55 @@
 """Whole texts to token ids with the ``tokenizers`` library, each distinct chunk encoded once per worker.
 
 Both tokenizers first cut a text into words that never reach over the boundary before a space (a
-space opens a new word), around a line break between two other characters, or between a letter or
-digit and the punctuation that closes a chunk (an apostrophe aside, which may open a suffix). A text is cut there, and the ids of a chunk are looked up; only
-chunks a worker has not met are encoded. Texts that hold white space in any other form are encoded
-in one piece. The lookup is bounded (two generations, so that frequent chunks stay) and only ever
-holds what the library returned.
+space opens a new word), around a line break between two other characters, or between an ASCII
+letter or digit and punctuation after it (an apostrophe aside, which may open a suffix). The texts
+of a piece are cut there all at once, equal chunks are found by their hash, and the ids of each
+distinct chunk are looked up; only chunks a worker has not met are encoded. Texts that hold white
+space in any other form are encoded in one piece. The lookup is bounded (two generations, so that
+frequent chunks stay) and only ever holds what the library returned.
 """
 from __future__ import annotations
 
 import os
-import re
 import sys
 from array import array
 
+import numpy as np
+import pyarrow as pa
+
+from recoup.llm.text import LOWER, flat, span_hash
+
 #: Distinct chunks of a generation; a worker keeps two.
 KEPT_CHUNKS = 300_000
 
-#: White space or control characters other than space and line break.
-_OTHER = re.compile(r"[^\S \n]|[\x00-\x09\x0b-\x1f]")
-_OTHER_ASCII = [chr(c) for c in range(32) if c != 10]
 _CLOSING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_SPACE, _BREAK, _PLAIN, _CLOSE, _ODD, _LEAD = 1, 2, 3, 4, 5, 6
 
-#: Byte-level vocabularies write printable Latin-1 bytes as themselves, the others from U+0100 on.
-_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
-_SYMBOLS = {b: chr(256 + n) for n, b in enumerate(_HIDDEN)}
 
+def _kinds() -> np.ndarray:
+    kind = np.zeros(256, np.uint8)
+    kind[:32] = _ODD
+    kind[32], kind[10] = _SPACE, _BREAK
+    kind[[b for b in range(128) if chr(b).isalnum()]] = _PLAIN
+    kind[list(_CLOSING.encode())] = _CLOSE
+    kind[[0xC2, 0xE1, 0xE2, 0xE3]] = _LEAD  # first bytes of the white space beyond ASCII
+    return kind
 
-def plain(text: str) -> bool:
-    """Whether all white space is single spaces and line breaks between two other characters."""
-    if text[0] in " \n" or text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
-        return False
-    return not any(c in text for c in _OTHER_ASCII) if text.isascii() else not _OTHER.search(text)
 
+_KIND = _kinds()
+
+#: Byte-level vocabularies write printable Latin-1 bytes as themselves, the others from U+0100 on.
+_HIDDEN = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+_SYMBOLS = {b: chr(256 + n) for n, b in enumerate(_HIDDEN)}
 
 assert sys.byteorder == "little" and array("I").itemsize == 4  # the ids' bytes are taken as they are
 
 
 class Encoder:
-    """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes.
+    """Ids of texts, as little-endian unsigned 32-bit integers.
 
     spaced: the space before a word belongs to the word (byte-level vocabularies); otherwise white
-    space is dropped.
+    space is dropped and the vocabulary is of lower case.
     """
 
     def __init__(self, path: str, spaced: bool) -> None:
@@ -57,10 +65,11 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def chunk(self, text: str) -> bytes:
+    def chunk(self, raw: bytes) -> bytes:
+        text = raw.decode()
         base = text.rstrip(_CLOSING)
         if len(base) < len(text) and base[-1:].isalnum():
-            return self.kept[base] + self.kept[text[len(base):]]
+            return self.kept[base.encode()] + self.kept[text[len(base):].encode()]
         space = self.spaced and text[0] == " "
         word = text[1:] if space else text
         if word.isalpha() and (word.isascii() or max(word) < "\u0180" and "\u0130" not in word):  # one Latin word: the model alone
@@ -72,15 +81,77 @@ class Encoder:
         return self.whole(text)
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not plain(text):
-            return self.whole(text)
+        return self.column(pa.array([text], pa.large_string()))[0].tobytes()
+
+    def column(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows end to end, and where each row begins (and the end); null is empty."""
+        raw, offsets = flat(col)
+        rows = len(offsets) - 1
+        kind = _KIND[raw]
+        odd = self._odd(raw, offsets, kind)
+        before = np.empty_like(kind)
+        before[:1] = 0
+        before[1:] = kind[:-1]
+        blank = (kind == _SPACE) | (kind == _BREAK)
+        after_blank = (before == _SPACE) | (before == _BREAK)
+        opens = (kind == _CLOSE) & (before == _PLAIN)
+        if self.spaced:
+            opens |= blank | (before == _BREAK)
+        else:
+            opens |= after_blank
+        edge = offsets[:-1][np.diff(offsets) > 0]
+        opens[edge] = True
         if self.spaced:
-            return b"".join(map(self.kept.__getitem__, text.replace(" ", "\x01 ").split("\x01")))
-        if text.isascii():
-            text = text.lower()
-        return b"".join(map(self.kept.__getitem__, text.split(" ")))
+            start = np.flatnonzero(opens)
+            end = np.r_[start[1:], len(raw)] if len(start) else start
+        else:
+            opens &= ~blank
+            stop = np.flatnonzero(opens | blank)
+            start = np.flatnonzero(opens)
+            end = np.r_[stop, len(raw)][np.searchsorted(stop, start, "right")]
+        row = np.searchsorted(offsets, start, "right") - 1
+        if odd.any():
+            keep = ~odd[row]
+            start, end, row = start[keep], end[keep], row[keep]
+        low = raw if self.spaced else np.frombuffer(LOWER, np.uint8)[raw]
+        _, at, of = np.unique(span_hash(low, start, end), return_index=True, return_inverse=True)
+        text = low.tobytes()
+        out = list(map(self.kept.__getitem__, [text[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]))
+        size = np.fromiter(map(len, out), np.int64, len(out)) // 4
+        known = np.frombuffer(b"".join(out), "<u4")
+        each = size[of]
+        ends = np.cumsum(each)
+        ids = known[np.repeat((np.cumsum(size) - size)[of] - ends + each, each) + np.arange(int(each.sum()))]
+        count = np.bincount(row, weights=each, minlength=rows).astype(np.int64)
+        if not odd.any():
+            return ids, np.r_[0, np.cumsum(count)]
+        first = np.r_[0, np.cumsum(count)]
+        parts = [ids[first[r]:first[r + 1]] for r in range(rows)]
+        for r in np.flatnonzero(odd):
+            parts[r] = np.frombuffer(self.whole(col[int(r)].as_py()), "<u4")
+        return np.concatenate(parts), np.r_[0, np.cumsum([len(p) for p in parts])]
+
+    @staticmethod
+    def _odd(raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Rows with white space other than single spaces and line breaks between two characters."""
+        rows = len(offsets) - 1
+        odd = np.zeros(rows, bool)
+        if not len(raw):
+            return odd
+        blank = (kind == _SPACE) | (kind == _BREAK)
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[offsets] = True
+        bad = kind == _ODD
+        bad[1:] |= blank[1:] & blank[:-1] & ~edge[1:-1]
+        bad |= blank & (edge[:-1] | edge[1:])
+        at = np.flatnonzero(bad)
+        lead = np.flatnonzero(kind == _LEAD)
+        lead = lead[lead < len(raw) - 1]
+        first, second = raw[lead], raw[lead + 1]
+        wide = ((first == 0xC2) & ((second == 0x85) | (second == 0xA0))) | ((first == 0xE1) & (second == 0x9A)) \
+            | ((first == 0xE2) & ((second == 0x80) | (second == 0x81))) | ((first == 0xE3) & (second == 0x80))
+        odd[np.searchsorted(offsets, np.r_[at, lead[wide]], "right") - 1] = True
+        return odd
 
 
 class _Chunks(dict):
@@ -88,18 +159,16 @@ class _Chunks(dict):
 
     def __init__(self, encoder: Encoder) -> None:
         self.encoder = encoder
-        self.before: dict[str, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
-    def __missing__(self, text: str) -> bytes:
-        if "\n" in text and len(text) > 1:
-            return (self["\n"] if self.encoder.spaced else b"").join([self[part] for part in text.split("\n")])
-        out = self.before.get(text)
+    def __missing__(self, raw: bytes) -> bytes:
+        out = self.before.get(raw)
         if out is None:
-            out = self.encoder.chunk(text)
+            out = self.encoder.chunk(raw)
         if len(self) >= KEPT_CHUNKS:
             self.before = dict(self)
             self.clear()
-        self[text] = out
+        self[raw] = out
         return out
 
 

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -62,9 +63,17 @@ def test_checkpoints_decode_alone_and_damage_is_seen():
         table.encode(np.array([int(np.flatnonzero(np.bincount(ids) == 0)[0])]))
 
 
-def test_pack_keeps_wide_ids():
-    for ids in ([], [1, 65_535], [1, 65_536]):
-        assert rans.unpack(rans.pack(np.array(ids, "<u4").tobytes())).tolist() == ids
+def test_wide_vocabularies_keep_their_ids():
+    assert rans.id_type(1 << 16) == "<u2" and rans.id_type((1 << 16) + 1) == "<u4"
+
+
+@pytest.mark.parametrize(("name", "spaced"), FILES)
+def test_a_column_is_its_rows(name, spaced):
+    e = tokens.Encoder(tokens.vocabulary(name), spaced)
+    texts = ["One two, three.", None, "", " lead", "tail ", "a  b", "x\ty", "wide\u00a0space", "thin\u2009space", "plain again, and again.", "\n", "end\nline.\nmore", "é, è. ç", "A.B,C d'e's 'tis"] * 2
+    ids, first = e.column(pa.array(texts, pa.string()))
+    for r, t in enumerate(texts):
+        assert ids[first[r]:first[r + 1]].tobytes() == (e.whole(t) if t else b"")
 
 
 def test_documents_read_back(spark, awkward, nothing, tmp_path):
