@@ -38,6 +38,8 @@ TOXIC_TEXTS, CLEAN_TEXTS, TEXT_WINDOWS = 1200, 1800, 16
 SHARED, SHARED_LEAST, SHARED_PART = 12, 3, 0.005
 STEPS, WARM, BATCH, RATE, DECAY = 330, 0.4, 512, 0.005, 0.5
 CHUNK = 2048
+#: Standard deviations that count as one unit of a vector at the start; most passes over the windows.
+DEVIATIONS, EPOCHS = 4.0, 12
 #: Share of the training texts kept for calibration, and of a batch's words read without their vector.
 CALIBRATION, DROPPED = 0.25, 0.25
 #: Parameters without weight decay.
@@ -308,9 +310,9 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int =
     active = np.ones(len(row), bool)
     moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     steps, tick = np.arange(WINDOW), 0
-    warm = True
-    while tick < STEPS:
-        warm = warm and tick < WARM * STEPS
+    warm, most = True, min(STEPS, EPOCHS * max(1, -(-len(row) // BATCH)))
+    while tick < most:
+        warm = warm and tick < WARM * most
         if not warm:
             now = np.concatenate([net.logits(net.gates(net.inputs(sub)), local, length[a:a + CHUNK])
                                   for a in range(0, len(row), CHUNK)
@@ -328,7 +330,7 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int =
             x[rng.random(len(x)) < DROPPED, :WORD_DIM] = 0  # some words are read by their characters alone
             g = net.gradient(sub, x, local, length[at], target[at], balance[at])
             tick += 1
-            rate = RATE * max(0.1, 1 - tick / STEPS) * np.sqrt(1 - 0.999 ** tick) / (1 - 0.9 ** tick)
+            rate = RATE * max(0.1, 1 - tick / most) * np.sqrt(1 - 0.999 ** tick) / (1 - 0.9 ** tick)
             for k, v in g.items():
                 m, s = moment[k]
                 m += 0.1 * (v - m)
@@ -342,20 +344,26 @@ def train(texts: list[str], labels: np.ndarray, weights: np.ndarray, seed: int =
 
 
 def start_from_counts(net: Network, d: Distinct, pair: np.ndarray, labels: np.ndarray) -> None:
-    """Set the first coordinate of word and n-gram vectors to their smoothed log odds, from the
-    numbers of toxic and clean texts with the word (pairs of distinct word and text)."""
-    totals = np.array([(labels == 0).sum(), (labels == 1).sum()])
+    """Set the first coordinate of word and n-gram vectors to how far their number of toxic texts
+    (pairs of distinct word and text) lies from its expectation, in standard deviations."""
     by = np.stack([np.bincount(pair[0], weights=labels[pair[1]] == v, minlength=len(d.hash)) for v in (0, 1)])
     size = np.diff(d.gram_first)
     of_gram = np.stack([np.bincount(d.grams, weights=np.repeat(c, size), minlength=CHAR_BUCKETS) for c in by])
+    share = by[1].sum() / max(1.0, by.sum())
 
-    def odds(c: np.ndarray) -> np.ndarray:
-        rate = (c + 3.0) / (totals[:, None] + 6.0)
-        return (0.5 * np.clip(np.log(rate[1] / rate[0]), -4, 4)).astype(np.float32)
+    def excess(c: np.ndarray) -> np.ndarray:
+        expected = c.sum(axis=0) * share
+        return np.clip((c[1] - expected) / np.sqrt(expected * (1 - share) + 1) / DEVIATIONS, -2, 2).astype(np.float32)
 
     at = net.places(d.hash)
-    net.p["word"][at[at > 0], 0] = odds(by)[at > 0]
-    net.p["char"][:, 0] = odds(of_gram) * (of_gram.sum(axis=0) > 0)
+    net.p["word"][at[at > 0], 0] = excess(by)[at > 0]
+    net.p["char"][:, 0] = excess(of_gram)
+    # the first state of each direction starts out reading these coordinates
+    for side, k in (("f", 0), ("b", HIDDEN)):
+        net.p["x" + side][:, 2 * HIDDEN] = 0
+        net.p["x" + side][[0, WORD_DIM], 2 * HIDDEN] = 0.6, 0.4
+        net.p["att"][k] = net.p["out"][k] = 3.0
+    net.p["bias"][0] = -2.0
 
 
 def calibrate(net: Network, d: Distinct, labels: np.ndarray, weights: np.ndarray) -> None:
