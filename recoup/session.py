@@ -64,7 +64,10 @@ def spread(scan: DataFrame) -> DataFrame:
     """Give a plain file scan at least one task per core.
 
     A table in one small row group is read by one task, and so would be all that is computed
-    on it; a large table already has more splits than cores and is left alone.
+    on it; a large table already has more splits than cores and is left alone, and so is a frame
+    that comes from a shuffle (to ask for its partitions would run the shuffle).
     """
+    if "Exchange" in scan._jdf.queryExecution().executedPlan().toString():
+        return scan
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
