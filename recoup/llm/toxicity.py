@@ -41,7 +41,7 @@ CHUNK = 2048
 #: Standard deviations that count as one unit of a vector at the start; most passes over the windows.
 DEVIATIONS, EPOCHS = 4.0, 12
 #: Share of the training texts kept for calibration, and of a batch's words read without their vector.
-CALIBRATION, DROPPED = 0.25, 0.25
+CALIBRATION, DROPPED = 0.25, 0.5
 #: Parameters without weight decay.
 KEPT = ("bias", "word", "char")
 _GRAM_BASE = 0x9E3779B97F4A7C15 | 1
@@ -361,7 +361,7 @@ def start_from_counts(net: Network, d: Distinct, pair: np.ndarray, labels: np.nd
     # the first state of each direction starts out reading these coordinates
     for side, k in (("f", 0), ("b", HIDDEN)):
         net.p["x" + side][:, 2 * HIDDEN] = 0
-        net.p["x" + side][[0, WORD_DIM], 2 * HIDDEN] = 0.6, 0.4
+        net.p["x" + side][[0, WORD_DIM], 2 * HIDDEN] = 0.6, 1.0
         net.p["att"][k] = net.p["out"][k] = 3.0
     net.p["bias"][0] = -2.0
 
