@@ -26,7 +26,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption
     figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary
     table tbody td tfoot th thead title tr ul""".split())
-HIDDEN = frozenset("""applet audio button canvas datalist head iframe input math noembed noframes noscript object option
+HIDDEN = frozenset("""applet audio button canvas datalist head iframe input noembed noframes noscript object option
     progress rp script select style svg template textarea title video""".split())
 #: Elements whose content is not markup.
 RAW = frozenset("iframe noembed noframes script style textarea title xmp".split())
@@ -45,6 +45,8 @@ BOILERPLATE_WORDS = frozenset("""ad ads adslot advert advertisement advertising
     comment comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr header login masthead menu menus modal
     nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies
     reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tagcloud toolbar widget widgets""".split())
+#: A word of boilerplate after one of these says what a wrapper has or lacks, not what it is.
+_ABOUT = frozenset("has have no not non with without hide show".split())
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 #: Cost of a label change between neighbours of one container, and along a container's chain.
@@ -53,12 +55,30 @@ _SCALE = 1000
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/]++)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+_TOKEN = re.compile(r"\S+")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SENTENCE = re.compile(r"[.!?;:,。](?:\s|$)")
 
 
+def _named(value: str, article: bool) -> tuple[float, bool, bool]:
+    """Evidence of a class or id for content, whether a word of it names boilerplate, and whether
+    it names the head of the text."""
+    content = head = against = False
+    for token in _TOKEN.findall(value):
+        words = [w.lower() for w in _WORD.findall(token)]
+        about = next((k for k, w in enumerate(words) if w in _ABOUT), len(words))
+        named = {w for w in words[:about] if w in BOILERPLATE_WORDS}
+        entry = any(w in CONTENT_WORDS for w in words[:about])
+        if "header" in named and (article or entry):  # the head of the text, not of the page
+            named.discard("header")
+            head = True
+        against |= bool(named)
+        content |= entry
+    return (0.0 if against or head else 2.0 if content else 0.0), against, head
+
+
 class _Element:
-    __slots__ = ("tag", "good", "bad", "hidden", "link", "article", "number", "depth", "buffer", "parent")
+    __slots__ = ("tag", "good", "bad", "hidden", "link", "article", "number", "depth", "buffer", "parent", "up", "down", "named", "core", "chars", "linked", "cores", "shut")
 
     def __init__(self, tag: str, parent: _Element | None, number: int) -> None:
         self.tag, self.parent, self.number = tag, parent, number
@@ -69,17 +89,17 @@ class _Element:
         self.article = parent.article if parent else False
         self.depth = parent.depth + 1 if parent else 0
         self.buffer: _Block | None = parent.buffer if parent else None
+        self.up = self.down = 0.0  # own evidence, without the words that name boilerplate
+        self.named = self.core = False
+        self.shut = parent.shut if parent else False
+        self.chars = self.linked = self.cores = 0  # characters, those in links, and articles inside
 
     def weigh(self, attributes: str) -> bool:
         """Take up the element's own evidence; whether it speaks against content."""
         tag = self.tag
         before = self.bad
-        own = ELEMENTS.get(tag, 0.0)
-        if tag == "header" and self.article:
-            own = -1.0
-        self.take(own)
-        if tag == "article":
-            self.article = True
+        own, head = ELEMENTS.get(tag, 0.0), False
+        core = tag in ("article", "main")
         if tag == "a":
             self.link = True
         if tag in HIDDEN:
@@ -88,21 +108,59 @@ class _Element:
             for name, *values in _ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), entities.unescape(values[0] or values[1] or values[2])
                 if name == "role":
-                    self.take(ROLES.get(value.strip().lower(), 0.0))
+                    role = value.strip().lower()
+                    self.take(ROLES.get(role, 0.0))
+                    core |= role in ("article", "main")
                 elif name in ("class", "id") and tag not in ("html", "body"):
-                    words = {w.lower() for w in _WORD.findall(value)}
-                    if words & BOILERPLATE_WORDS:
-                        self.take(-12.0)
-                    elif words & CONTENT_WORDS:
-                        self.take(2.0)
+                    evidence, against, entry = _named(value, self.article)
+                    self.take(evidence)
+                    self.named |= against
+                    head |= entry
                 elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and "display:none" in value.replace(" ", "").lower()):
                     self.hidden = True
+        if tag == "header" and (self.article or head):
+            own = 0.0 if head else -1.0
+        self.take(own)
+        self.shut |= self.down <= -12.0
+        if core:
+            self.core = not (self.article or self.named or self.hidden or self.shut)
+            self.article = True
+        if self.named:
+            self.bad = -12.0
         return self.bad < before
 
     def take(self, evidence: float) -> None:
+        self.up, self.down = max(self.up, evidence), min(self.down, evidence)
         self.good, self.bad = max(self.good, evidence), min(self.bad, evidence)
 
 
+def _settle(elements: list[_Element]) -> None:
+    """Final evidence of all elements, parents before children.
+
+    A word that names boilerplate counts in full unless the element has evidence of its own against
+    it: all article and main parts of the page are inside (it wraps them), or there are none and most
+    of the page's text outside links is inside; then the word counts the less the larger that share is.
+    """
+    for e in reversed(elements):
+        e.cores += e.core
+        if e.parent:
+            e.parent.chars += e.chars
+            e.parent.linked += e.linked
+            e.parent.cores += e.cores
+    top = elements[0]
+    plain = top.chars - top.linked
+    for e in elements:
+        bad = e.down
+        if e.named:
+            share = (e.chars - e.linked) / plain if plain and e.linked <= e.chars / 2 else 0.0
+            if not top.cores:
+                bad = min(bad, -24.0 * min(0.5, 1 - share))
+            elif e.cores < top.cores or e.cores > 1 and share < 0.5:
+                bad = -12.0
+        e.good = max(e.parent.good, e.up) if e.parent else e.up
+        e.bad = min(e.parent.bad, bad) if e.parent else bad
+
+
 class _Block:
     """A run of text between block boundaries."""
 
@@ -121,6 +179,7 @@ def blocks(page: str) -> list[tuple[str, int, _Element]]:
     count = 0
     top = _Element("", None, 0)
     top.buffer = _Block(top)
+    elements = [top]
 
     def part(element: _Element) -> None:
         element.buffer = _Block(element)
@@ -135,8 +194,11 @@ def blocks(page: str) -> list[tuple[str, int, _Element]]:
             block.order = len(found)
             found.append(block)
         block.parts.append(text)
+        size = len(text.strip())
+        element.chars += size
         if element.link:
             block.linked += len(text)
+            element.linked += size
 
     at, size = 0, len(page)
     while at < size:
@@ -200,6 +262,7 @@ def blocks(page: str) -> list[tuple[str, int, _Element]]:
             continue
         count += 1
         element = _Element(tag, top, count)
+        elements.append(element)
         against = element.weigh(m[3])
         if tag in BLOCKS or against:
             part(element)  # inline boilerplate is a block beside the one it stands in
@@ -208,6 +271,7 @@ def blocks(page: str) -> list[tuple[str, int, _Element]]:
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(page, at)
             at = end.start() if end else size
+    _settle(elements)
     out = []
     for b in found:
         text = " ".join("".join(b.parts).split())

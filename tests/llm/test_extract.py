@@ -65,3 +65,33 @@ def test_rows(spark):
     assert len(got) == 5 and sorted(len(r["text"]) for r in got)[:2] == [0, 0] and {r["text_"] for r in got} == {"x", "y", None, "z", "q"}
     assert max(len(r["text"]) for r in got) == 30_000 * 12 - 2
     assert extract.extract(df.limit(0)).count() == 0
+
+
+TEXT = "<h1>A title</h1><p>This is a long paragraph of text, with commas. And sentences that go on.</p><p>Another long paragraph, and it has many words. Yes, it does.</p>"
+WANT = "A title\n\nThis is a long paragraph of text, with commas. And sentences that go on.\n\nAnother long paragraph, and it has many words. Yes, it does."
+
+
+def test_words_about_a_wrapper_do_not_drop_the_article():
+    for page in ("<div class='wrap has-sidebar'>%s</div>", "<article class='post no-comments'>%s</article>", "<main id='page-with-menu'>%s</main>",
+                 "<div class='sidebar-layout'><article>%s</article></div>", "<div class='menu-open wrap'><main>%s</main></div>", "<article class='post sponsored'>%s</article>"):
+        rest = "<nav><a href=x>Home</a> <a href=y>About</a></nav>", "<footer>Terms of the site.</footer>"
+        assert extract.main_text(rest[0] + page % TEXT + rest[1]) == WANT, page
+
+
+def test_the_head_of_an_article_is_kept():
+    body = TEXT.replace("<h1>A title</h1>", "")
+    for head in ("<header class='entry-header'><h1>A title</h1></header>", "<div class='article-header'><h1>A title</h1></div>"):
+        for page in ("<article>%s</article>", "<main>%s</main>", "<div>%s</div>"):
+            assert extract.main_text(page % (head + body)) == WANT, (head, page)
+
+
+def test_words_that_name_boilerplate_still_drop_it():
+    comments = "<p>I love this, really. What a great article, thanks to all of you.</p>" * 9
+    for page in ("<article>%s</article><div id='comments'>%s</div>", "<article>%s</article><div id='comments'><article class='comment'>%s</article></div>",
+                 "<article>%s<div class='related-stories'>%s</div></article>", "<main>%s<section class='post-comments'>%s</section></main>",
+                 "<div class='sidebar-layout'><article>%s</article><section id='related'><article>%s</article></section></div>"):
+        assert extract.main_text(page % (TEXT, comments)) == WANT, page
+
+
+def test_formulas_are_text():
+    assert extract.main_text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>") == "So x=2 holds."
