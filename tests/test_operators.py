@@ -225,3 +225,24 @@ def test_csv_round_trip(spark):
     stores.write_csv(df, path)
     assert "1,5" in "".join(r[0] for r in spark.read.text(path).collect())
     assert {tuple(r) for r in stores.read_csv(spark, path, df.schema).collect()} == {tuple(r) for r in df.collect()}
+
+
+@pytest.mark.parametrize("reach", [None, 8])
+def test_bootstrap_votes_equal_a_search_of_every_bag(spark, reach):
+    df = spark.createDataFrame(points(90), "id bigint, v array<double>, label int, f int").drop("f")
+    got = {(r["id"], r["rep"], r["k"]): r["pred"] for r in neighbours.bootstrap_votes(df, "id", "v", "label", [1, 5, 9], 2, reach).collect()}
+    want = {}
+    reps = sampling.replicates(df, "id", 2)
+    for b in (1, 2):
+        bag, oob = reps.filter((F.col("rep") == b) & (F.col("w") > 0)), reps.filter((F.col("rep") == b) & (F.col("w") == 0))
+        votes = neighbours.vote(neighbours.knn(bag, oob, "id", "v", 9), bag, "id", "label", [1, 5, 9], weight="w")
+        want |= {(r["id"], b, r["k"]): r["pred"] for r in votes.collect()}
+    assert got == want and len({b for _, b, _ in got}) == 2
+
+
+def test_the_bootstrap_of_neighbours_takes_thirty_replicates(spark, monkeypatch):
+    from recoup.plans import queries
+    seen, votes = [], neighbours.bootstrap_votes
+    monkeypatch.setattr(neighbours, "bootstrap_votes", lambda *a: seen.append(a[5]) or votes(*a[:5], 1))
+    queries()["m8_knn_bootstrap"](spark, "/root/testdata/sf0.001")
+    assert seen == [30]
