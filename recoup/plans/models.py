@@ -81,12 +81,12 @@ def m2(t):
 
 @query("m3_hierarchical_groups")
 def m3(t):
-    return models.cluster_sweep(cluster_set(t), [2, 5, 10, 20, 30], models.hierarchical)
+    return models.cluster_sweep(cluster_set(t), range(2, 31), models.hierarchical)
 
 
 @query("m4_gaussian_mixture")
 def m4(t):
-    return models.cluster_sweep(cluster_set(t), range(2, 11), models.mixture)
+    return models.cluster_sweep(cluster_set(t), range(2, 31), models.mixture)
 
 
 @query("m4_gaussian_mixture_assignment")

@@ -246,3 +246,13 @@ def test_the_bootstrap_of_neighbours_takes_thirty_replicates(spark, monkeypatch)
     monkeypatch.setattr(neighbours, "bootstrap_votes", lambda *a: seen.append(a[5]) or votes(*a[:5], 1))
     queries()["m8_knn_bootstrap"](spark, "/root/testdata/sf0.001")
     assert seen == [30]
+
+
+def test_cluster_sweeps_run_every_size_of_the_reference(spark, monkeypatch):
+    from recoup.operators import models
+    from recoup.plans import queries
+    seen = {}
+    monkeypatch.setattr(models, "cluster_sweep", lambda d, ks, fit: seen.update({fit.__name__: list(ks)}))
+    for name in ("m3_hierarchical_groups", "m4_gaussian_mixture"):
+        queries()[name](spark, "/root/testdata/sf0.001")
+    assert seen == {"hierarchical": list(range(2, 31)), "mixture": list(range(2, 31))}
