@@ -140,13 +140,20 @@ def weighted_curve(shares: DataFrame, curves: DataFrame, on: Sequence[str]) -> D
 
 
 def matched_by_variable(pay: DataFrame, val: DataFrame, ben: DataFrame, column: str = "TOA", b: int = 101) -> DataFrame:
-    """Deviations against a benchmark matched by the bands of one variable."""
+    """Deviations against a benchmark matched by the bands of one variable.
+
+    Raises an error if a package has debt in a band without benchmark cases.
+    """
     from recoup.operators.bands import supplied
+    from recoup.session import stored
 
     edges = sorted(set(averaged_edges(val, column, "Pckg").first()))  # six numbers
     band = supplied(column, edges, column)
-    curves = bootstrap(pay, ben.withColumn("band", band).filter("band IS NOT NULL"), b, ["band"])
-    debt = val.withColumn("band", band).groupBy("Pckg", "band").agg(F.sum("TOA").alias("_debt"))
+    curves = stored(bootstrap(pay, ben.withColumn("band", band).filter("band IS NOT NULL"), b, ["band"]), "curves")
+    debt = stored(val.withColumn("band", band).groupBy("Pckg", "band").agg(F.sum("TOA").alias("_debt")), "debt")
+    lost = debt.filter("_debt > 0").join(curves.select("band").distinct(), "band", "left_anti").orderBy("Pckg", "band").first()
+    if lost:
+        raise ValueError(f"package {lost['Pckg']} has debt in band {lost['band']}, which holds no benchmark cases")
     return deviations(curve(pay, val, ["Pckg"]), weighted_curve(debt, curves, ["band"]), per_package=True)
 
 

@@ -256,3 +256,12 @@ def test_cluster_sweeps_run_every_size_of_the_reference(spark, monkeypatch):
     for name in ("m3_hierarchical_groups", "m4_gaussian_mixture"):
         queries()[name](spark, "/root/testdata/sf0.001")
     assert seen == {"hierarchical": list(range(2, 31)), "mixture": list(range(2, 31))}
+
+
+def test_debt_without_benchmark_cases_is_an_error(spark):
+    val = spark.createDataFrame([(i, 100.0 * (1 + i % 10), i % 2) for i in range(40)], "CaseId bigint, TOA double, Pckg int")
+    ben = spark.createDataFrame([(100 + i, 100.0 * (1 + i % 10)) for i in range(40)], "CaseId bigint, TOA double")
+    pay = spark.createDataFrame([(i, m, 1.0) for i in [*range(40), *range(100, 140)] for m in range(1, 13)], "CaseId bigint, Month int, Payment double")
+    assert backtest.matched_by_variable(pay, val, ben, "TOA", 3).agg(F.max("Unmatched")).first()[0] == 0
+    with pytest.raises(ValueError, match="no benchmark cases"):
+        backtest.matched_by_variable(pay, val, ben.filter("TOA < 600"), "TOA", 3)
