@@ -58,7 +58,7 @@ class Pair:
     def __init__(self, byte_file: str, piece_file: str) -> None:
         import sentencepiece
 
-        self.a = encoder(byte_file, True)
+        self.a = encoder(byte_file, True, plain=True)
         vocab = self.a.tokenizer.get_vocab()
         code = {chr(b): b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b}
         code |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if chr(b) not in code)}

@@ -5,7 +5,7 @@ space opens a new word), around a line break between two other characters, or be
 letter or digit and punctuation after it (an apostrophe aside, which may open a suffix). The texts
 of a piece are cut there all at once, equal chunks are found by their hash, and the ids of each
 distinct chunk are looked up; only chunks a worker has not met are encoded. Texts that hold white
-space in any other form are encoded in one piece. The lookup is bounded (two generations, so that
+space in any other form, or the text of an added token, are encoded in one piece. The lookup is bounded (two generations, so that
 frequent chunks stay) and only ever holds what the library returned.
 """
 from __future__ import annotations
@@ -16,6 +16,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from recoup.llm.text import LOWER, flat, span_hash
 
@@ -49,16 +50,18 @@ class Encoder:
     """Ids of texts, as little-endian unsigned 32-bit integers.
 
     spaced: the space before a word belongs to the word (byte-level vocabularies); otherwise white
-    space is dropped and the vocabulary is of lower case.
+    space is dropped and the vocabulary is of lower case. plain: the texts of added tokens are
+    ordinary text; otherwise they become their own ids, as the library does unless told.
     """
 
-    def __init__(self, path: str, spaced: bool) -> None:
+    def __init__(self, path: str, spaced: bool, plain: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenize = self.tokenizer.model.tokenize
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        self.added = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced = spaced
         self.kept = _Chunks(self)
 
@@ -89,6 +92,8 @@ class Encoder:
         rows = len(offsets) - 1
         kind = _KIND[raw]
         odd = self._odd(raw, offsets, kind)
+        for content in self.added:
+            odd |= pc.fill_null(pc.match_substring(col, content, ignore_case=True), False).to_numpy(zero_copy_only=False)
         before = np.empty_like(kind)
         before[:1] = 0
         before[1:] = kind[:-1]
@@ -131,9 +136,9 @@ class Encoder:
             parts[r] = np.frombuffer(self.whole(col[int(r)].as_py()), "<u4")
         return np.concatenate(parts), np.r_[0, np.cumsum([len(p) for p in parts])]
 
-    @staticmethod
-    def _odd(raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """Rows with white space other than single spaces and line breaks between two characters."""
+    def _odd(self, raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """Rows with white space other than single spaces and line breaks between two characters; a
+        space before the first one may belong to its word."""
         rows = len(offsets) - 1
         odd = np.zeros(rows, bool)
         if not len(raw):
@@ -143,7 +148,8 @@ class Encoder:
         edge[offsets] = True
         bad = kind == _ODD
         bad[1:] |= blank[1:] & blank[:-1] & ~edge[1:-1]
-        bad |= blank & (edge[:-1] | edge[1:])
+        led = (kind == _SPACE) if self.spaced else np.zeros(len(raw), bool)
+        bad |= blank & ((edge[:-1] & ~led) | edge[1:])
         at = np.flatnonzero(bad)
         lead = np.flatnonzero(kind == _LEAD)
         lead = lead[lead < len(raw) - 1]
@@ -172,14 +178,14 @@ class _Chunks(dict):
         return out
 
 
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ENCODERS: dict[tuple[str, bool, bool], Encoder] = {}
 
 
-def encoder(path: str, spaced: bool) -> Encoder:
+def encoder(path: str, spaced: bool, plain: bool = False) -> Encoder:
     """The worker's encoder of a vocabulary file; tasks of one worker share it."""
-    if (path, spaced) not in _ENCODERS:
-        _ENCODERS[path, spaced] = Encoder(path, spaced)
-    return _ENCODERS[path, spaced]
+    if (path, spaced, plain) not in _ENCODERS:
+        _ENCODERS[path, spaced, plain] = Encoder(path, spaced, plain)
+    return _ENCODERS[path, spaced, plain]
 
 
 def vocabulary(name: str) -> str:

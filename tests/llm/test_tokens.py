@@ -13,18 +13,44 @@ from .conftest import ROWS
 FILES = [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)]
 
 
+def library(name, text, plain=False):
+    """Ids of a tokenizer of its own, as the library loads it."""
+    from tokenizers import Tokenizer
+
+    if (name, plain) not in LOADED:
+        LOADED[name, plain] = Tokenizer.from_file(tokens.vocabulary(name))
+        if plain:
+            LOADED[name, plain].encode_special_tokens = True
+    return np.array(LOADED[name, plain].encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+LOADED = {}
+
+
+@pytest.mark.parametrize("plain", [False, True])
 @pytest.mark.parametrize(("name", "spaced"), FILES)
-def test_chunks_give_the_library_s_ids(name, spaced):
-    e = tokens.Encoder(tokens.vocabulary(name), spaced)
+def test_chunks_give_the_library_s_ids(name, spaced, plain):
+    e = tokens.Encoder(tokens.vocabulary(name), spaced, plain)
 
     @settings(max_examples=500, deadline=None)
-    @given(st.text(alphabet=st.one_of(st.sampled_from("abAB  \n\n.,!?'\"-_*&12é日ŉİıΣſ½\x01\x00\t\r ́"), st.characters(exclude_categories=["Cs"])), max_size=40))
+    @given(st.text(alphabet=st.one_of(st.sampled_from("abAB  \n\n.,!?'\"-_*&12é日ŉİıΣſ½\x01\x00\t\r ́"), st.characters(exclude_categories=["Cs"])), max_size=40))
     def same(text):
-        assert e.encode(text) == (e.whole(text) if text else b"")
+        assert e.encode(text) == library(name, text, plain)
 
     same()
-    for text in ["it's. don't, I'll.'s we've", "a<|endoftext|>b <|endoftext|>", "Hello World.\nNew line, here!!! ***", "x" * 3000, "word... word.' 3.14, 5% (a) [b]."]:
-        assert e.encode(text) == e.whole(text)
+    for text in ["it's. don't, I'll.'s we've", "a<|endoftext|>b <|endoftext|>", "a <|endoftext|> b", "x <|STARTOFTEXT|><|startoftext|>\n.", "Hello World.\nNew line, here!!! ***",
+                 " led by a space", "  two", " ", " \n", "x" * 3000, "word... word.' 3.14, 5% (a) [b]."]:
+        assert e.encode(text) == library(name, text, plain)
+
+
+def test_slices_of_a_column():
+    texts = [None, "", " a b", "c <|endoftext|> d", "e  f", "g\nh", "i"] * 3
+    col = pa.array(texts, pa.large_string())
+    for name, spaced in FILES:
+        e = tokens.Encoder(tokens.vocabulary(name), spaced)
+        for at in range(0, len(texts), 4):
+            ids, first = e.column(col.slice(at, 5))
+            assert [ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)] == [library(name, t or "") for t in texts[at:at + 5]]
 
 
 def test_generations_keep_ids(monkeypatch):
