@@ -180,66 +180,6 @@ def t11(t):
     return models.partial_dependence(tst.drop("features"), "TOA", grid, lambda d: models.probability(m.transform(models.assemble(d, COLS))))
 
 
-@query("t12_gradient_boosting")
-def t12(t):
-    trn, tst = target_sets(t)
-    return measured(t, "boosting", models.boosted(trn, 100), trn, tst)
-
-
-@query("t13_best_iteration")
-def t13(t):
-    trn, tst = target_sets(t)
-    m = models.boosted(trn, 100)
-    loss = m.evaluateEachIteration(tst)
-    best = min(range(len(loss)), key=lambda i: loss[i]) + 1
-    return frame_of(t, [(i + 1, float(v), i + 1 == best) for i, v in enumerate(loss)], "iteration int, loss double, best boolean")
-
-
-@query("t14_adaptive_boosting")
-def t14(t):
-    trn, _ = target_sets(t)
-    rows = []
-    for kind, depth in (("discrete", 1), ("real", 2), ("gentle", 3)):
-        rows += models.adaptive_boosting(trn, "CaseId", 10, kind, depth)[1]
-    return frame_of(t, rows, "kind string, round int, error double")
-
-
-@query("t15_boosting_early_stop")
-def t15(t):
-    trn, tst = target_sets(t)
-    d = trn.withColumn("is_val", fold("CaseId", "val", 5) == 0)
-    m = models.boosted(d, 100, 3, 0.1, 0.7, "onethird", "is_val")
-    return measured(t, f"stopped_after_{m.getNumTrees}", m, trn, tst)
-
-
-@query("t16_scoring_history")
-def t16(t):
-    trn, tst = target_sets(t)
-    return models.scoring_history(models.boosted(trn, 30), {"train": trn, "validation": tst})
-
-
-def _grid_frame(t, rows):
-    return frame_of(t, [(i + 1, r["depth"], r["rate"], r["auc"]) for i, r in enumerate(rows)], "rank int, depth int, rate double, auc double")
-
-
-def _boost(d, c):
-    return models.boosted(d, 6, c["depth"], c["rate"])
-
-
-@query("t17_grid_search")
-def t17(t):
-    trn, tst = target_sets(t)
-    return _grid_frame(t, models.search(trn, tst, [{"depth": d, "rate": r} for d in (2, 3, 4) for r in (0.05, 0.2)], _boost))
-
-
-@query("t18_random_search")
-def t18(t):
-    trn, tst = target_sets(t)
-    combos = [{"depth": d, "rate": round(0.01 * r, 2)} for d in range(1, 6) for r in range(1, 31)]
-    rows = models.search(trn, tst, combos, _boost, budget=5)
-    return _grid_frame(t, rows).withColumn("share_searched", F.lit(len(rows) / len(combos)))
-
-
 @query("t19_median_by_parameter_pair", f"""
 WITH s AS (SELECT {un('CaseId', 'f19')} % 5 AS f, TOA, Age, Suc FROM scored), g AS (SELECT unnest([0.3e0,0.4e0,0.5e0,0.6e0]) AS th), h AS (SELECT unnest([0e0,0.1e0,0.2e0]) AS w),
 a AS (SELECT th, w, f, avg(cast((0.55e0-0.4e0*TOA/50000e0+w*cast(Age BETWEEN 30 AND 50 as int) > th)::int = Suc as int)) AS acc FROM s, g, h GROUP BY 1,2,3)
