@@ -161,11 +161,11 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     known = stored(base.mapInArrow(facts, fact), "facts")
     # equal texts are one: all but the first have every window in it
-    firsts = stored(known.where(F.col("doc").isNotNull() & (F.col("n_words") >= width)).groupBy("key").agg(
-        F.min("doc").alias("first"), F.any_value("names").alias("names")), "texts")
-    held = firsts.select("key", "first", F.explode("names").alias("name"))
-    shared = held.groupBy("name").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("name")
-    named = held.join(shared, "name", "left_semi").groupBy("key", "first").agg(F.collect_set("name").alias("names"))
+    long = known.where(F.col("doc").isNotNull() & (F.col("n_words") >= width))
+    firsts = stored(long.groupBy("key").agg(F.min("doc").alias("first")), "texts")
+    held = long.select("key", F.explode("names").alias("name"))
+    shared = stored(held.groupBy("name").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a < b").select("name"), "names")
+    named = held.join(shared, "name", "left_semi").groupBy("key").agg(F.collect_set("name").alias("names")).join(firsts, "key")
     # texts of one key but other ids are copies; those of the first id are judged
     near = base.where(F.col("doc").isNotNull()).join(named.withColumnRenamed("first", "doc"), ["key", "doc"]).select("doc", "key", "text", "names")
     near = stored(near, "sharing")
@@ -184,8 +184,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield batch_of(window_arrow, h=h.view(np.int64), c=(c >> np.uint64(32)).astype(np.uint32).view(np.int32),
                                doc=part.column(0).take(pa.array(row)), key=part.column(1).take(pa.array(row)), at=(at - w.first[row]).astype(np.int32))
 
-    window = stored(near.mapInArrow(windows, window_schema), "windows")
-    first = window.groupBy("h", "c").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h", "c", "first")
+    # windows are named twice rather than written; their first documents are written, so that a join
+    # with a window that very many texts share can be split
+    window = near.mapInArrow(windows, window_schema)
+    first = stored(window.groupBy("h", "c").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").select("h", "c", "first"), "windows")
     hits = window.join(first, ["h", "c"]).where("doc > first").groupBy("doc", "key").agg(F.collect_set("at").alias("hits"))
     repeated = near.select("doc", "key", "text").dropDuplicates(["doc", "key"]).join(hits, ["doc", "key"]).select("doc", "key", "text", "hits")
 
