@@ -6,16 +6,12 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-import pandas as pd
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression,
-                                       MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
-from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,29 +57,6 @@ def cluster_rule(df: DataFrame, cluster: str) -> DataFrame:
     return g.agg((1 - F.sum(right) / F.sum("n")).alias("ClassError"), (F.sum("sse") / F.sum("n")).alias("MSE"))
 
 
-def k_means(df: DataFrame, k: int, starts: int = 10, seed: int = 1):
-    """Best of several starts by within-cluster cost."""
-    fits = in_parallel([lambda s=s: KMeans(k=k, seed=seed + s, maxIter=100, featuresCol="features").fit(df) for s in range(starts)])
-    return min(fits, key=lambda m: m.summary.trainingCost)
-
-
-def hierarchical(df: DataFrame, k: int):
-    return BisectingKMeans(k=k, seed=1, featuresCol="features").fit(df)
-
-
-def mixture(df: DataFrame, k: int):
-    return GaussianMixture(k=k, seed=1, featuresCol="features").fit(df)
-
-
-def cluster_sweep(df: DataFrame, ks: Sequence[int], fit: Callable) -> DataFrame:
-    """Class error and age error of the cluster rule for every k: two numbers a k reach the driver."""
-    def one(k):
-        r = cluster_rule(fit(df, k).transform(df), "prediction").first()
-        return r["ClassError"], r["MSE"], k
-    rows = in_parallel([lambda k=k: one(k) for k in ks])
-    return df.sparkSession.createDataFrame(rows, "ClassError double, MSE double, K int")
-
-
 # Trees --------------------------------------------------------------------------------------
 
 def tree(train: DataFrame, impurity: str = "gini", min_leaf: int = 50, depth: int = 5, weight: str | None = None):
@@ -97,13 +70,8 @@ def forest(train: DataFrame, trees: int, subset: str, min_leaf: int = 20, depth:
                                   minInstancesPerNode=min_leaf, maxDepth=depth, seed=1).fit(train)
 
 
-def boosted(train: DataFrame, rounds: int, depth: int = 3, rate: float = 0.1, rows: float = 1.0, subset: str = "all",
-            validation: str | None = None):
-    est = GBTClassifier(labelCol="label", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=rate,
-                        subsamplingRate=rows, featureSubsetStrategy=subset, minInstancesPerNode=20, seed=1)
-    if validation:
-        est = est.setParams(validationIndicatorCol=validation, validationTol=0.001)
-    return est.fit(train)
+def boosted(train: DataFrame, rounds: int, depth: int = 3, rate: float = 0.1):
+    return GBTClassifier(labelCol="label", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=rate, minInstancesPerNode=20, seed=1).fit(train)
 
 
 def depth_by_cross_validation(train: DataFrame, depths: Sequence[int], fold: str, folds: int):
@@ -179,76 +147,6 @@ def partial_dependence(df: DataFrame, column: str, grid: Sequence[float], predic
     return predict(d).groupBy(column).agg(F.avg("score").alias("score"))
 
 
-def staged_scores(model, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """Margin of a boosted model after every round, as an array column.
-
-    Each tree is applied once; the rounds are a running sum over one short array.
-    """
-    d = df
-    for i, t in enumerate(model.trees):
-        d = t.setPredictionCol(f"_t{i}").transform(d)
-    parts = F.array(*[F.col(f"_t{i}") * F.lit(float(w)) for i, w in enumerate(model.treeWeights)])
-    staged = d.select(*keep, parts.alias("_p"))
-    upto = F.aggregate("_p", F.array().cast("array<double>"), lambda a, x: F.array_append(a, F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + x))
-    return staged.select(*keep, F.posexplode(upto).alias("round", "margin"))
-
-
-def scoring_history(model, sets: dict[str, DataFrame]) -> DataFrame:
-    """Log loss and AUC by number of trees for named sets."""
-    from recoup.operators.ranks import cumulate
-    out = None
-    for name, d in sets.items():
-        s = staged_scores(model, d, ["label"])
-        c = s.groupBy("round", "margin").agg(F.sum("label").alias("g"), F.count(F.lit(1)).alias("n"))
-        cum = cumulate(c, "margin", {"upto": "n"}, ["round"])
-        g, b = F.sum("g"), F.sum(F.col("n") - F.col("g"))
-        rank = F.sum(F.col("g") * (F.col("upto") - (F.col("n") - 1) / 2.0))
-        # The boosted margin is half the log odds.
-        z = F.col("margin") * 2.0
-        loss = F.sum(F.col("n") * (F.log1p(F.exp(-F.abs(z))) + F.greatest(z, F.lit(0.0))) - F.col("g") * z) / F.sum("n")
-        r = cum.groupBy("round").agg(loss.alias("logloss"), ((rank - g * (g + 1) / 2.0) / (g * b)).alias("auc"))
-        r = r.select(F.lit(name).alias("part"), (F.col("round") + 1).alias("trees"), "logloss", "auc")
-        out = r if out is None else out.unionByName(r)
-    return out
-
-
-def adaptive_boosting(df: DataFrame, key: str, rounds: int, kind: str = "discrete", depth: int = 2, keep_every: int = 3):
-    """Adaptive boosting with labels 0/1: returns the weighted stages and the error per round.
-
-    Row weights are a column; the frame is written out every few rounds to cut its lineage.
-    """
-    y = F.col("label") * 2.0 - 1.0
-    d = stored(df.select(key, "label", "features").withColumns({"w": F.lit(1.0), "margin": F.lit(0.0)}), "boost")
-    stages, history = [], []
-    for r in range(rounds):
-        total = d.agg(F.sum("w"), F.count(F.lit(1))).first()
-        d = d.withColumn("w", F.col("w") * F.lit(total[1] / total[0]))
-        if kind == "gentle":
-            m = DecisionTreeRegressor(labelCol="y", featuresCol="features", maxDepth=depth, weightCol="w", minInstancesPerNode=10, seed=1).fit(d.withColumn("y", y))
-            f = F.col("prediction")
-            p = m.transform(d)
-            a = 1.0
-        else:
-            m = tree(d, depth=depth, min_leaf=10, weight="w")
-            p = m.transform(d)
-            if kind == "real":
-                q = F.greatest(F.lit(1e-5), F.least(F.lit(1 - 1e-5), vector_to_array("probability")[1]))
-                f, a = F.lit(0.5) * F.log(q / (1 - q)), 1.0
-            else:
-                miss = (F.col("prediction") != F.col("label")).cast("double")
-                e = float(p.agg(F.sum(F.col("w") * miss) / F.sum("w")).first()[0])
-                e = min(max(e, 1e-10), 1 - 1e-10)
-                a = 0.5 * math.log((1 - e) / e)
-                f = F.col("prediction") * 2.0 - 1.0
-        p = p.withColumn("_f", F.lit(a) * f)
-        d = p.select(key, "label", "features", (F.col("w") * F.exp(-y * F.col("_f"))).alias("w"), (F.col("margin") + F.col("_f")).alias("margin"))
-        stages.append((a, m))
-        if (r + 1) % keep_every == 0 or r == rounds - 1:
-            d = stored(d, "boost")
-        history.append((kind, r + 1, float(d.agg(F.avg(((F.col("margin") > 0).cast("int") != F.col("label")).cast("double"))).first()[0])))
-    return stages, history
-
-
 # Searches and ensembles --------------------------------------------------------------------
 
 def auc_of(model, df: DataFrame) -> float:
@@ -261,14 +159,6 @@ def random_order(combos: Sequence[dict], seed: str) -> list[dict]:
     return sorted(combos, key=lambda c: hashlib.md5(f"{sorted(c.items())}-{seed}".encode()).hexdigest())
 
 
-def search(train: DataFrame, test: DataFrame, combos: Sequence[dict], fit: Callable[[DataFrame, dict], object], budget: int | None = None) -> list[dict]:
-    """Fit combinations in random order up to a budget of models; AUC on the hold-out."""
-    chosen = random_order(combos, "grid")[:budget]
-    auc = in_parallel([lambda c=c: auc_of(fit(train, c), test) for c in chosen])
-    rows = [{**c, "auc": a} for c, a in zip(chosen, auc)]
-    return sorted(rows, key=lambda r: -r["auc"])
-
-
 def out_of_fold(df: DataFrame, key: str, fold: str, folds: int, learners: dict[str, Callable[[DataFrame], object]]) -> DataFrame:
     """Out-of-fold scores of every learner, one column each, joined by key."""
     def one(name, k):
@@ -285,54 +175,13 @@ def stack(oof: DataFrame, names: Sequence[str]):
     return LogisticRegression(labelCol="label", featuresCol="stacked", regParam=0.01).fit(assemble(oof, names, "stacked"))
 
 
-def cosine_features(df: DataFrame, columns: Sequence[str], m: int, gamma: float = 0.1, seed: int = 1) -> DataFrame:
-    """Random cosine features of a radial kernel over scaled columns: one matrix product per
-    Arrow batch, since m x p terms are too many for generated code."""
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, math.sqrt(2 * gamma), (len(columns), m))
-    b = rng.uniform(0.0, 2 * math.pi, m)
-
-    @F.pandas_udf("array<double>")
-    def project(rows: pd.Series) -> pd.Series:
-        x = np.stack(rows.to_numpy())
-        return pd.Series(list(math.sqrt(2.0 / m) * np.cos(x @ w + b)))
-
-    return df.withColumn("kernel", array_to_vector(project(F.array(*columns))))
-
-
-def linear_margin(train: DataFrame, features: str = "features", reg: float = 0.01):
-    return LinearSVC(labelCol="label", featuresCol=features, regParam=reg, maxIter=30).fit(train)
-
-
-def one_vs_rest(train: DataFrame):
-    return OneVsRest(classifier=LinearSVC(maxIter=20, regParam=0.01), labelCol="label", featuresCol="features").fit(train)
-
-
-def one_vs_one(train: DataFrame, classes: Sequence[int], df: DataFrame, key: str) -> DataFrame:
-    """Pairwise fits and a vote, ties to the smallest class."""
-    pairs = [(a, b) for i, a in enumerate(classes) for b in classes[i + 1:]]
-
-    def one(a, b):
-        d = train.filter(F.col("label").isin(a, b)).withColumn("label", (F.col("label") == b).cast("double"))
-        return linear_margin(d)
-    fits = in_parallel([lambda a=a, b=b: one(a, b) for a, b in pairs])
-    out = df
-    for i, m in enumerate(fits):
-        out = m.setPredictionCol(f"_p{i}").setRawPredictionCol(f"_r{i}").transform(out)
-    tally = []
-    for c in classes:
-        votes = F.lit(0)
-        for i, (a, b) in enumerate(pairs):
-            if c in (a, b):
-                votes = votes + (F.col(f"_p{i}") == (1.0 if c == b else 0.0)).cast("int")
-        tally.append(F.struct(votes.alias("v"), F.lit(-c).alias("neg")))
-    return out.select(key, "label", (-F.array_max(F.array(*tally))["neg"]).cast("double").alias("prediction"))
-
-
-def network(train: DataFrame, layers: Sequence[int], seed: int = 1):
+def network(train: DataFrame, layers: Sequence[int], seed: int = 1, limit: int = 400, tolerance: float = 1e-5):
+    """The fitted network, its iterations, and whether the loss settled before the limit."""
     scaled = StandardScaler(inputCol="features", outputCol="scaled", withMean=True)
-    net = MultilayerPerceptronClassifier(labelCol="label", featuresCol="scaled", layers=list(layers), maxIter=60, seed=seed)
-    return Pipeline(stages=[scaled, net]).fit(train)
+    net = MultilayerPerceptronClassifier(labelCol="label", featuresCol="scaled", layers=list(layers), maxIter=limit, tol=tolerance, seed=seed)
+    model = Pipeline(stages=[scaled, net]).fit(train)
+    steps = model.stages[-1].summary().totalIterations
+    return model, steps, steps < limit
 
 
 def agreement(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

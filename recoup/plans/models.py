@@ -1,10 +1,8 @@
-"""Clusters, trees, ensembles, margins, networks and their searches."""
+"""Trees, ensembles and their comparison."""
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
 from recoup.functions.columns import rnd
@@ -28,25 +26,6 @@ def target_sets(t):
     return sampling.split(stored(d, "target"), "CaseId", "trn", 0.6)
 
 
-AGR = ["TOA", "Principal", "D_ContractDateToImportDate", "Age", "NoCalls", "NoCallsCl", "NoVisits", "NoLettRec", "NoPay", "IfCard", "IfMan"]
-
-
-def agreement_sets(t):
-    """Cases offered an agreement in the first quarter, standardised, with the signing target."""
-    a = features.agreement3(t.case_events)
-    d = t.cases.filter("LastPaymentAmount IS NOT NULL AND MeanSalary IS NOT NULL AND Age > -1").join(a, "CaseId")
-    d = d.withColumns({"IfCard": (F.col("Product") == "Credit card").cast("int"), "IfMan": (F.col("Gender") == "MALE").cast("int"),
-                       "label": (F.col("IfSigned") == 1).cast("double")})
-    d = d.select("CaseId", "label", *[F.col(c).cast("double").alias(c) for c in AGR])
-    trn, tst = sampling.split(stored(d, "agreement"), "CaseId", "trn", 0.6)
-    p = bands.scale_params(trn, AGR)
-
-    def prep(x):
-        s = bands.apply_scale(x, p, "_s").select("CaseId", "label", *[F.coalesce(F.col(f"{c}_s"), F.lit(0.0)).alias(c) for c in AGR])
-        return models.assemble(s, AGR)
-    return stored(prep(trn), "trn"), stored(prep(tst), "tst")
-
-
 def measured(t, name, model, trn, tst):
     return frame_of(t, [(name, models.accuracy(model.transform(trn)), models.accuracy(model.transform(tst)))],
                     "model string, train_accuracy double, test_accuracy double")
@@ -62,39 +41,6 @@ def s7(t):
     return PipelineModel.load(path).transform(tst).select("CaseId", "label", "prediction")
 
 
-def cluster_set(t):
-    c = t.cases.filter("Gender IS NOT NULL AND Product = 'Credit card' AND DPD IS NOT NULL").select("CaseId", "Gender", "Age", "TOA", "DPD")
-    s = bands.apply_scale(c, bands.scale_params(c, ["TOA", "DPD"]), "_std")
-    return stored(models.assemble(s, ["TOA_std", "DPD_std"]), "clusters")
-
-
-@query("m1_k_means")
-def m1(t):
-    d = cluster_set(t)
-    return models.k_means(d, 5).transform(d).select("CaseId", F.col("prediction").alias("cluster"))
-
-
-@query("m2_k_means_sweep")
-def m2(t):
-    return models.cluster_sweep(cluster_set(t), range(2, 31), lambda d, k: models.k_means(d, k, starts=1))
-
-
-@query("m3_hierarchical_groups")
-def m3(t):
-    return models.cluster_sweep(cluster_set(t), range(2, 31), models.hierarchical)
-
-
-@query("m4_gaussian_mixture")
-def m4(t):
-    return models.cluster_sweep(cluster_set(t), range(2, 31), models.mixture)
-
-
-@query("m4_gaussian_mixture_assignment")
-def m4b(t):
-    d = cluster_set(t)
-    return models.mixture(d, 5).transform(d).select("CaseId", F.col("prediction").alias("cluster"))
-
-
 @query("t1_tree_gini")
 def t1(t):
     trn, tst = target_sets(t)
@@ -210,82 +156,3 @@ def t20(t):
                .select("label", *learners, F.col("stacked_score").alias("stacked")), "stacked")
     from recoup.plans.linear import leaderboard
     return leaderboard(s.withColumn("label", F.col("label").cast("int")), "label", {n: F.col(n) for n in [*learners, "stacked"]}, 0.5)
-
-
-@query("t21_linear_margin")
-def t21(t):
-    trn, tst = agreement_sets(t)
-    return measured(t, "linear", models.linear_margin(trn), trn, tst)
-
-
-@query("t22_nonlinear_margin")
-def t22(t):
-    from pyspark.ml.feature import PolynomialExpansion
-    trn, tst = agreement_sets(t)
-    poly = PolynomialExpansion(degree=2, inputCol="features", outputCol="kernel")
-    pa, pb = (stored(poly.transform(d), "poly") for d in (trn, tst))
-    out = measured(t, "polynomial", models.linear_margin(pa, "kernel"), pa, pb)
-    a, b = (stored(models.cosine_features(d, AGR, 64), "kernel") for d in (trn, tst))
-    return out.unionByName(measured(t, "radial", models.linear_margin(a, "kernel"), a, b))
-
-
-@query("t23_multi_class_margin")
-def t23(t):
-    trn, tst = agreement_sets(t)
-    # Three classes by size of the debt, predicted from the other variables.
-    band = t.cases.select("CaseId", (F.when(F.col("TOA") <= 5000, 0).when(F.col("TOA") <= 15000, 1).otherwise(2)).cast("double").alias("band"))
-    cols = [c for c in AGR if c not in ("TOA", "Principal")]
-
-    def multi(d):
-        return models.assemble(d.drop("features", "label").join(band.withColumnRenamed("band", "label"), "CaseId"), cols)
-    a, b = stored(multi(trn), "multi"), stored(multi(tst), "multi")
-    rest = models.one_vs_rest(a).transform(b).select("CaseId", "label", "prediction")
-    pair = models.one_vs_one(a, [0, 1, 2], b, "CaseId")
-    return (rest.withColumn("method", F.lit("one_vs_rest")).unionByName(pair.withColumn("method", F.lit("one_vs_one")))
-            .groupBy("method", "label", "prediction").agg(F.count(F.lit(1)).alias("n")))
-
-
-@query("t24_margin_tuning")
-def t24(t):
-    from pyspark.ml.classification import LinearSVC
-    trn, _ = agreement_sets(t)
-    rows = []
-    for gamma in (0.02, 0.1):
-        d = stored(models.cosine_features(trn, AGR, 32, gamma).withColumn("fold", fold("CaseId", "cv", 3)), "kernel")
-        est = LinearSVC(featuresCol="kernel", labelCol="label", maxIter=15)
-        grid = ParamGridBuilder().addGrid(est.regParam, [0.1, 0.01]).build()
-        cv = CrossValidator(estimator=est, estimatorParamMaps=grid, evaluator=BinaryClassificationEvaluator(labelCol="label"),
-                            numFolds=3, foldCol="fold", parallelism=models.PARALLEL_FITS).fit(d)
-        rows += [(gamma, r, float(a)) for r, a in zip((0.1, 0.01), cv.avgMetrics)]
-    return frame_of(t, rows, "gamma double, penalty double, cv_auc double")
-
-
-@query("t25_variable_subset_search")
-def t25(t):
-    trn, tst = agreement_sets(t)
-
-    def one(cols):
-        a, b = (models.assemble(d.drop("features"), cols) for d in (trn, tst))
-        return len(cols), ",".join(cols), models.accuracy(models.linear_margin(a).transform(b))
-    rows = models.in_parallel([lambda c=c: one(c) for c in models.subsets(AGR, [3, 5, 7], 4)])
-    r = frame_of(t, rows, "P int, variables string, Acc double")  # one row per fitted subset
-    return r.groupBy("P").agg(F.max("Acc").alias("Max"), *[F.percentile("Acc", F.lit(q)).alias(f"Q{int(q * 100):02d}")
-                                                         for q in (0.05, 0.25, 0.5, 0.75, 0.95)], F.min("Acc").alias("Min"))
-
-
-@query("t26_network")
-def t26(t):
-    trn, tst = agreement_sets(t)
-    p = len(AGR)
-    out = None
-    for layers in ([p, 6, 2], [p, 6, 4, 2], [p, 18, 9, 5, 2]):
-        r = measured(t, "-".join(map(str, layers)), models.network(trn, layers), trn, tst)
-        out = r if out is None else out.unionByName(r)
-    return out
-
-
-@query("t27_model_agreement")
-def t27(t):
-    trn, tst = agreement_sets(t)
-    a = models.network(trn, [len(AGR), 6, 2]).transform(tst)
-    return models.agreement(a, models.linear_margin(trn).transform(tst), "CaseId")

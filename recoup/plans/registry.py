@@ -15,7 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 MODULES = ["sources", "verbs", "joins", "aggregates", "windows", "bands", "quality", "profile",
-           "outliers", "sampling", "neighbours", "components", "models", "boosting", "linear", "scoring",
+           "outliers", "sampling", "neighbours", "components", "models", "clusters", "boosting", "margins", "linear", "scoring",
            "backtest"]
 
 
