@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -119,6 +119,18 @@ class Fitted:
         return min(self.history, key=lambda h: (sign * h[score], h["round"]))["round"]
 
 
+def fold_losses(models: Sequence[Fitted]) -> list[float]:
+    """Mean loss by round over all rows that the models leave out, as far as all have come."""
+    n = [m.history[0]["valid_rows"] if m.history else 0 for m in models]
+    upto = min(len(m.history) for m in models)
+    return [sum(k * m.history[i]["valid_loss"] for k, m in zip(n, models, strict=True)) / sum(n) for i in range(upto)]
+
+
+def no_better(losses: Sequence[float], rounds: int) -> bool:
+    """Whether the last ``rounds`` losses are all no less than the least one before."""
+    return len(losses) > rounds and min(losses[-rounds:]) >= min(losses[:-rounds])
+
+
 # ---- blocks
 
 _BLOCK = ["block", "codes", "label", "part", "id"]
@@ -424,10 +436,11 @@ def _request(paths: Iterable[tuple], slots: dict[tuple, int]) -> tuple:
 
 
 def fit(df: DataFrame, key: str, columns: Sequence[str], configs: Sequence[Config], label: str = "label", part: str = "part",
-        bins: int = 64, at_once: int = 200) -> list[Fitted]:
+        bins: int = 64, at_once: int = 200, until: Callable[[list[Fitted]], bool] | None = None) -> list[Fitted]:
     """All models over ``df``: ``label`` 0 or 1, ``part`` the fold (0 to 254) or ``HOLD_OUT``, numeric
     ``columns`` (null is a bin of its own, below all values). Edges are taken from the rows that are
-    not held out. Models grow ``at_once`` at a time."""
+    not held out. Models grow ``at_once`` at a time; ``until`` looks at their histories after every
+    step and may end them all."""
     columns = list(columns)
     edges = bin_edges(df.where(F.col(part) != HOLD_OUT), columns, bins)
     width = max(len(e) for e in edges) + 2
@@ -435,7 +448,7 @@ def fit(df: DataFrame, key: str, columns: Sequence[str], configs: Sequence[Confi
     size = {(r[part], r[label]): r["count"] for r in df.select(F.col(part).cast("int").alias(part), F.col(label).cast("int").alias(label)).groupBy(part, label).count().collect()}
     out: list[Fitted] = []
     for at in range(0, len(configs), at_once):
-        out += _fit_some(table, columns, edges, width, size, list(configs[at:at + at_once]))
+        out += _fit_some(table, columns, edges, width, size, list(configs[at:at + at_once]), until)
     return out
 
 
@@ -447,7 +460,7 @@ def _start(config: Config, size: dict) -> float:
     return math.log(one / (all_ - one)) if 0 < one < all_ else 0.0
 
 
-def _fit_some(table: DataFrame, columns: list[str], edges: list[np.ndarray], width: int, size: dict, configs: list[Config]) -> list[Fitted]:
+def _fit_some(table: DataFrame, columns: list[str], edges: list[np.ndarray], width: int, size: dict, configs: list[Config], until: Callable | None) -> list[Fitted]:
     spark = table.sparkSession
     sc = spark.sparkContext
     name = uuid.uuid4().hex
@@ -474,7 +487,7 @@ def _fit_some(table: DataFrame, columns: list[str], edges: list[np.ndarray], wid
     try:
         while True:
             open_ = [g for g in growing if not g.over]
-            if not open_:
+            if not open_ or (until and until(models)):
                 return models
             requests, slots, back = [], 0, {}
             for g in open_:

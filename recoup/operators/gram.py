@@ -9,7 +9,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -214,16 +213,92 @@ def _rss(m: Moments, y: str, x: Sequence[str]) -> float:
     return ols(m, y, x).rss if x else float(m.block([y], [y])[0, 0])
 
 
+def independent(m: Moments, x: Sequence[str], tolerance: float = 1e-9) -> list[str]:
+    """The columns that are no linear combination of those before them."""
+    s = m.block(x, x)
+    d = np.sqrt(np.maximum(np.diag(s), 1e-300))
+    r = s / np.outer(d, d)
+    kept: list[int] = []
+    for j in range(len(x)):
+        if s[j, j] <= 0:
+            continue
+        left = 1.0 if not kept else 1.0 - r[j, kept] @ np.linalg.solve(r[np.ix_(kept, kept)], r[kept, j])
+        if left > tolerance:
+            kept.append(j)
+    return [x[j] for j in kept]
+
+
+def best_subsets(m: Moments, y: str, x: Sequence[str], top: int) -> list[list[str]]:
+    """The columns of least residual sum of squares for every size, by branch and bound.
+
+    A node keeps some columns for good and may still drop others. Dropping a set raises the residual
+    sum by at least the largest single rise in it, and by at least the sum of the single rises over
+    the largest eigenvalue of their correlation: both bound what is left to drop from below. The
+    column whose loss costs most is decided first, and dropped last.
+    """
+    s = m.block([*x, y], [*x, y])
+    scale = np.sqrt(np.diag(s))
+    r = s / np.outer(scale, scale)
+    p = len(x)
+    full = np.linalg.inv(r[:p, :p])
+    out = []
+    start = full @ r[:p, p]
+    rss_full = 1.0 - r[:p, p] @ start
+
+    def rss(cols: list[int]) -> float:
+        return float(1.0 - r[p, cols] @ np.linalg.solve(r[np.ix_(cols, cols)], r[cols, p]))
+
+    backward: dict[int, list[int]] = {p: list(range(p))}
+    for k in range(p - 1, 0, -1):
+        backward[k] = min(([c for c in backward[k + 1] if c != j] for j in backward[k + 1]), key=rss)
+    forward: list[int] = []
+    for k in range(1, top + 1):
+        forward = forward + [min((j for j in range(p) if j not in forward), key=lambda j: rss([*forward, j]))]
+        best = min((sorted(forward), sorted(backward[k])), key=rss)
+        found = [rss(best), best]
+
+        def visit(cols: np.ndarray, free: np.ndarray, inverse: np.ndarray, b: np.ndarray, now: float, k: int = k, found: list = found) -> None:
+            """cols: what is left; free: which of it may be dropped; inverse and coefficients of cols."""
+            drop = len(cols) - k
+            if drop == 0:
+                if now < found[0] - 1e-13:
+                    found[:] = [now, sorted(cols.tolist())]
+                return
+            at = np.flatnonzero(free)
+            if len(at) < drop:
+                return
+            d = np.sqrt(np.diag(inverse)[at])
+            rise = (b[at] / d) ** 2
+            least = np.sort(rise)[:drop]
+            low = least[-1]
+            if drop > 1 and now + low < found[0]:
+                low = max(low, least.sum() / np.linalg.eigvalsh(inverse[np.ix_(at, at)] / np.outer(d, d))[-1])
+            if now + low >= found[0] - 1e-13:
+                return
+            j = at[rise.argmax()]
+            kept = free.copy()
+            kept[j] = False
+            visit(cols, kept, inverse, b, now, k, found)
+            rest = np.arange(len(cols)) != j
+            column = inverse[rest, j]
+            visit(cols[rest], free[rest], inverse[np.ix_(rest, rest)] - np.outer(column, column) / inverse[j, j],
+                  b[rest] - column * b[j] / inverse[j, j], now + b[j] ** 2 / inverse[j, j], k, found)
+
+        visit(np.arange(p), np.ones(p, bool), full, start, float(rss_full))
+        out.append([x[j] for j in found[1]])
+    return out
+
+
 def selection(m: Moments, y: str, x: Sequence[str], method: str = "forward", max_size: int | None = None) -> list[dict]:
     """Best model per size with R2, adjusted R2, Cp and BIC, by exhaustive, forward or backward
     search; every candidate is a sub-matrix, the data are not read again."""
-    x = list(x)
-    top = max_size or len(x)
+    x = independent(m, list(x))
+    top = min(max_size or len(x), len(x))
     tss, n = float(m.block([y], [y])[0, 0]), m.n
     sigma2 = ols(m, y, x).sigma2
     sets: list[list[str]] = []
     if method == "exhaustive":
-        sets = [list(min(combinations(x, k), key=lambda c: _rss(m, y, c))) for k in range(1, top + 1)]
+        sets = best_subsets(m, y, x, top)
     elif method == "forward":
         cur: list[str] = []
         for _ in range(top):

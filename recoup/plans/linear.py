@@ -232,11 +232,34 @@ def l13(t):
 
 
 SEL = [*X, "IfCard", "IfWoman"]
+#: All variables; a column that follows from those before it is left out of the search.
+ALL = ["TOA", "Principal", "Interest", "Other", "LoanAmount", "D_ContractDateToImportDate", "DPD", "ExternalAgency", "Bailiff", "ClosedExecution",
+       "Age", "LastPaymentAmount", "M_LastPaymentToImportDate", "GDPPerCapita", "MeanSalary", "PopulationInCity", "LegalTransfer", "SignedAgreement",
+       "Reach", "NoCallClient", "NoLetRec", "NoPay", "Pay6", "IfCard", "IfWoman", "LstPay_2", "LstPay_3"]
 
 
 def selection_table(t):
-    m = gram.moments(regression_set(t), [*SEL, "Pay712log"])
-    return [r for method in ("exhaustive", "forward", "backward") for r in gram.selection(m, "Pay712log", SEL, method)]
+    m = gram.moments(regression_set(t), [*ALL, "Pay712log"])
+    return [r for method in ("exhaustive", "forward", "backward") for r in gram.selection(m, "Pay712log", ALL, method)]
+
+
+# Size 1 is the largest squared correlation; size 2 the best pair from the correlations of all pairs.
+SIZES = "WITH " + SET.replace("JOIN (SELECT CaseId, NoPay, NoCallClient FROM behaviour6) USING (CaseId)", "JOIN behaviour6 USING (CaseId)") + f""",
+wide AS (SELECT Pay712log, {", ".join(f"cast({c} as double) AS {c}" for c in ALL if c not in ("IfCard", "IfWoman", "LstPay_2", "LstPay_3"))},
+  cast(Product = 'Credit card' as double) AS IfCard, cast(Gender = 'FEMALE' as double) AS IfWoman,
+  cast(LastPaymentAmount > 50 AND LastPaymentAmount <= 300 as double) AS LstPay_2, cast(LastPaymentAmount > 300 as double) AS LstPay_3 FROM rs),
+tall AS (UNPIVOT (SELECT row_number() OVER () AS r, * FROM wide) ON {", ".join(ALL)} INTO NAME v VALUE x),
+one AS (SELECT v, corr(x, Pay712log) AS ry FROM tall GROUP BY v),
+two AS (SELECT a.v AS v, b.v AS w, corr(a.x, b.x) AS rx FROM tall AS a JOIN tall AS b ON a.r = b.r AND a.v < b.v GROUP BY a.v, b.v)
+SELECT 1 AS size, round(max(ry * ry), 8) AS r2 FROM one
+UNION ALL SELECT 2, round(max((p.ry * p.ry + q.ry * q.ry - 2 * p.ry * q.ry * rx) / (1 - rx * rx)), 8)
+FROM two JOIN one AS p ON p.v = two.v JOIN one AS q ON q.v = two.w WHERE 1 - rx * rx > 1e-9"""
+
+
+@query("l14_best_subset_small", SIZES)
+def l14b(t):
+    m = gram.moments(regression_set(t), [*ALL, "Pay712log"])
+    return frame_of(t, [(r["size"], round(r["r2"], 8)) for r in gram.selection(m, "Pay712log", ALL, "exhaustive", 2)], "size int, r2 double")
 
 
 @query("l14_variable_selection")

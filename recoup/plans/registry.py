@@ -51,7 +51,7 @@ def with_fixtures(sql: str) -> str:
 
     visit(sql)
     sql = sql.strip()
-    head = ",\n".join(f"{n} AS ({FIXTURES[n].strip()})" for n in needed)
+    head = ",\n".join(f"{n} AS MATERIALIZED ({FIXTURES[n].strip()})" for n in needed)
     if not head:
         return sql
     if re.match(r"(?i)with\s+recursive\s", sql):

@@ -121,6 +121,16 @@ def test_area_under_the_curve_and_margins(table):
     assert m.best("valid_loss") == min(m.history, key=lambda h: h["valid_loss"])["round"]
 
 
+def test_folds_end_together(table):
+    df, _ = table
+    fits = boosting.fit(df, "k", list("abcd"), [Config(str(k), 300, 3, 0.3, 5, leave=k) for k in range(3)], bins=16,
+                        until=lambda ms: boosting.no_better(boosting.fold_losses(ms), 6))
+    losses = boosting.fold_losses(fits)
+    assert len(losses) < 300 and min(losses) == losses[len(losses) - 7]
+    n = [m.history[0]["valid_rows"] for m in fits]
+    assert abs(losses[2] - sum(k * m.history[2]["valid_loss"] for k, m in zip(n, fits, strict=True)) / sum(n)) < 1e-12
+
+
 def test_stop_rule(table):
     df, _ = table
     free, held = boosting.fit(df, "k", list("abcd"), [Config("free", 60, 3, 0.3, 5), Config("held", 60, 3, 0.3, 5, patience=2)], bins=16)

@@ -1,3 +1,4 @@
+import itertools
 import math
 import random
 
@@ -135,6 +136,23 @@ def test_shrinkage_and_components_reach_least_squares(table):
     assert gram.hold_out_mse(m, "y", COLS, gram.ols(m, "y", COLS).intercept, b) == pytest.approx(e)
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_best_subsets_equal_full_enumeration(seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(200, 12)) @ (np.eye(12) + 0.4 * rng.normal(size=(12, 12)))
+    x[:, 11] = x[:, 0] + x[:, 1]  # follows from the others
+    y = x[:, :5] @ rng.normal(size=5) + 2 * rng.normal(size=200)
+    names = [f"c{i}" for i in range(12)]
+    z = np.column_stack([x, y])
+    c = z - z.mean(0)
+    m = gram.Moments(200.0, [*names, "y"], z.mean(0), c.T @ c)
+    free = gram.independent(m, names)
+    assert free == names[:11]
+    for k, got in enumerate(gram.best_subsets(m, "y", free, 11), 1):
+        want = min(itertools.combinations(free, k), key=lambda s: gram.ols(m, "y", s).rss)
+        assert sorted(got) == sorted(want)
+
+
 def test_selection_methods_agree_on_clear_signal(table):
     m = gram.moments(table[0], COLS[:6] + ["y"])
     for method in ("exhaustive", "forward", "backward"):
