@@ -5,10 +5,11 @@ band and replicate are columns, so all packages and replicates run in the same j
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from recoup.functions.keys import digest
 from recoup.operators import components, ranks, sampling
 from recoup.operators.gram import group_moments
 from recoup.operators.joins import sized
+from recoup.session import stored
 
 MONTHS = 12
 # Quantiles reported for bootstrap curves.
@@ -145,8 +147,6 @@ def matched_by_variable(pay: DataFrame, val: DataFrame, ben: DataFrame, column:
     Raises an error if a package has debt in a band without benchmark cases.
     """
     from recoup.operators.bands import supplied
-    from recoup.session import stored
-
     edges = sorted(set(averaged_edges(val, column, "Pckg").first()))  # six numbers
     band = supplied(column, edges, column)
     curves = stored(bootstrap(pay, ben.withColumn("band", band).filter("band IS NOT NULL"), b, ["band"]), "curves")
@@ -225,8 +225,6 @@ def matched_by_components(pay: DataFrame, val: DataFrame, ben: DataFrame, column
     the depth is found by going up from no component until the first failure. A package that
     fails with a single component is matched as one cell with the whole benchmark, and it is an
     error if even that holds fewer than ``min_ratio`` times its cases: no debt is left unmatched."""
-    from recoup.session import stored
-
     val = stored(val.select("CaseId", "TOA", "Pckg", *[c for c in columns if c != "TOA"]), "val")
     fits = package_components(val, columns)
     probs = [i / quantiles for i in range(quantiles + 1)]
@@ -281,31 +279,76 @@ def repeated_match(pay: DataFrame, ref: DataFrame, need: DataFrame, cells: Seque
                    draws: int) -> DataFrame:
     """Monthly and cumulative recovery of repeated matched draws (rep, Month, SR, SRcml).
 
-    ``need`` holds the wanted rows per cell. Reference rows outside the wanted cells leave
-    before they are repeated per draw.
+    ``need`` holds the wanted rows per cell. The draws are found on a narrow frame of keys and cells
+    (those of reference rows in wanted cells): one threshold per draw and cell. Payments are read
+    once: each row has its draws as an array of flags, and a batch of rows adds to the sums of all
+    draws as one matrix product.
     """
     on = reduce(lambda a, c: a & c, [ref[c].eqNullSafe(need[c]) for c in cells])
-    inside = ref.join(sized(need.select(*cells)), on, "left_semi")
-    wide = inside.select("CaseId", "TOA", *cells).join(wide_payments(pay), "CaseId")
+    need = sized(need)
+    inside = stored(ref.join(need, on).select("CaseId", "TOA", *[ref[c] for c in cells]), "inside")
+    blocks = -(-draws // 4)
     # A digest orders four draws: eight hex digits each, equal digits in order of the key.
-    e = wide.withColumn("_block", F.explode(F.sequence(F.lit(1), F.lit(-(-draws // 4)))))
-    e = e.withColumn("_d", digest("CaseId", F.concat(F.lit("m"), F.col("_block").cast("string"))))
-    e = e.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    e = e.withColumn("rep", (F.col("_block") - 1) * 4 + F.col("_i") + 1).filter(F.col("rep") <= draws)
-    digits = F.substring(F.col("_d"), F.col("_i") * 8 + 1, F.lit(8))
-    quota = need.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(draws)))).select(
-        "rep", *cells, (F.col("wanted") * ratio).alias("quota"))
-    got = ranks.smallest(e, "CaseId", "", quota, ["rep", *cells], order=(digits, F.col("CaseId")))
-    sums = got.groupBy("rep").agg(F.sum("TOA").alias("T"), *[F.sum(f"p{m}").alias(f"s{m}") for m in range(1, MONTHS + 1)])
+    digests = F.array(*[digest("CaseId", f"m{i + 1}") for i in range(blocks)])
+    e = inside.select("CaseId", *cells, F.posexplode(digests).alias("_block", "_d"))
+    e = e.select("CaseId", *cells, F.explode(F.array(*[F.struct((F.col("_block") * 4 + i + 1).alias("rep"), F.substring("_d", 8 * i + 1, 8).alias("digits"))
+                                                       for i in range(4)])).alias("x")).select("CaseId", *cells, "x.*").filter(F.col("rep") <= draws)
+    quota = need.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(draws)))).select("rep", *cells, (F.col("wanted") * ratio).alias("quota"))
+    limits = ranks.group_thresholds(e, F.col("digits"), F.col("CaseId"), quota, ["rep", *cells], False, rows=inside.count() * draws)
+    # one row per cell: the thresholds of its draws in order
+    tops = limits.groupBy(*[F.col(f"_t_{c}") for c in cells]).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("_t_rep", "_top", "_last"))), lambda x: F.struct(x["_top"].alias("top"), x["_last"].alias("last"))).alias("_limits"))
+    same = reduce(lambda a, c: a & c, [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in cells])
+    wide = inside.select("CaseId", "TOA", *cells).join(wide_payments(pay), "CaseId").join(sized(tops), same).withColumn("_digests", digests)
+
+    def taken(limit, i):
+        own = F.substring(F.col("_digests")[F.floor(i / 4).cast("int")], (i % 4) * 8 + 1, F.lit(8))
+        return ((own < limit["top"]) | ((own == limit["top"]) & (F.col("CaseId") <= limit["last"]))).cast("double")
+
+    numbers = ["TOA", *[f"p{m}" for m in range(1, MONTHS + 1)]]
+    flagged = wide.select(F.transform("_limits", taken).alias("flags"), *[F.col(c).cast("double").alias(c) for c in numbers])
+
+    def added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                flags = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, draws)
+                sums = flags.T @ np.column_stack([b.column(i + 1).to_numpy(zero_copy_only=False) for i in range(len(numbers))])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, draws + 1, dtype=np.int32)), *[pa.array(c) for c in sums.T]], ["rep", *numbers])
+
+    sums = flagged.mapInArrow(added, "rep int, " + ", ".join(f"{c} double" for c in numbers)).groupBy("rep").agg(*[F.sum(c).alias(c) for c in numbers])
     running = F.lit(0.0)
     points = []
     for m in range(1, MONTHS + 1):
-        running = running + F.col(f"s{m}")
-        points.append(F.struct(F.lit(m).alias("Month"), (F.col(f"s{m}") / F.col("T")).alias("SR"),
-                               (running / F.col("T")).alias("SRcml")))
+        running = running + F.col(f"p{m}")
+        points.append(F.struct(F.lit(m).alias("Month"), (F.col(f"p{m}") / F.col("TOA")).alias("SR"), (running / F.col("TOA")).alias("SRcml")))
     return sums.select("rep", F.explode(F.array(*points)).alias("x")).select("rep", "x.*")
 
 
+def component_cells(smp: DataFrame, ref: DataFrame, columns: Sequence[str], most: int = 3, bands: int = 5,
+                    min_ratio: int = 5) -> tuple[DataFrame, DataFrame, int]:
+    """The sample and the reference with the cells of the sample's first principal components: as many
+    (at most ``most``) as leave every cell of the sample ``min_ratio`` times as many reference rows."""
+    one = smp.select("CaseId", "TOA", F.lit(1).alias("Pckg"), *[c for c in columns if c != "TOA"])
+    fits = package_components(one, columns)
+    scores = stored(component_columns(one, columns, fits, own=True), "scores")
+    probs = [i / bands for i in range(bands + 1)]
+    depth = len(scores.columns) - 2
+    edges: dict[tuple[int, int], list[float]] = {}
+    for r in ranks.exact_quantiles(scores, [f"c{j}" for j in range(depth)], probs, ["Pckg"]).collect():
+        edges.setdefault((r["Pckg"], int(r["variable"][1:])), []).append(r["q"])
+    edges = {k: sorted(v) for k, v in edges.items()}
+    s = stored(component_columns(one, columns, fits, True, edges), "bands")
+    r = stored(component_columns(ref, columns, fits, False, edges), "bands")
+    for d in range(min(most, depth), -1, -1):
+        want = s.groupBy(cell_at(d).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+        have = r.groupBy(cell_at(d).alias("cell")).agg(F.count(F.lit(1)).alias("m"))
+        low = want.join(have, "cell", "left").agg(F.min(F.coalesce("m", F.lit(0)) / F.col("n"))).first()[0]
+        if d == 0 or low >= min_ratio:
+            break
+    return (smp.select("CaseId", "TOA").join(s.select("CaseId", cell_at(d).alias("cell")), "CaseId"),
+            ref.select("CaseId", "TOA").join(r.select("CaseId", cell_at(d).alias("cell")), "CaseId"), d)
+
+
 def draw_statistics(draws: DataFrame) -> DataFrame:
     def five(c, tail):
         return [F.percentile(c, F.lit(0.25)).alias(f"Q25{tail}"), F.percentile(c, F.lit(0.5)).alias(f"Q50{tail}"),

@@ -225,10 +225,10 @@ def smallest(df: DataFrame, key: str, seed: str, quota: int | DataFrame, by: Seq
 
 
 def group_thresholds(df: DataFrame, head: Column, tail: Column, quotas: DataFrame, by: Sequence[str],
-                     small: bool, rows_per_bucket: int = 20_000) -> DataFrame:
+                     small: bool, rows_per_bucket: int = 20_000, rows: int | None = None) -> DataFrame:
     """One threshold (digits, tie column) per group: counts by hex prefix locate the slice of each group in
-    which its quota is reached, and only that slice is ranked."""
-    n = df.count()
+    which its quota is reached, and only that slice is ranked. ``rows`` is the size of ``df``, if known."""
+    n = df.count() if rows is None else rows
     digits = 1
     while n / 16 ** digits > rows_per_bucket:
         digits += 1

@@ -187,30 +187,48 @@ def x10(t):
     return a.join(b, "Month").join(c, "Month")
 
 
-CELLS = ["Product", "TOAcell"]
+CELLS = ["b0", "b1", "b2"]
+#: Three given components of standardised columns, for the draws that SQL repeats.
+GIVEN = [{"TOA": 0.7, "Principal": 0.7}, {"Age": 0.7, "D_ContractDateToImportDate": -0.7}, {"Age": 0.7, "D_ContractDateToImportDate": 0.7}]
+GIVEN_COLUMNS = ["TOA", "Principal", "Age", "D_ContractDateToImportDate"]
 
 
-def match_sets(t):
-    """A hidden-rule sample and the rest, in cells of product and debt quintile of the sample."""
-    from recoup.operators import bands
+def hidden_sample(t):
+    """A sample by a hidden rule, and the rest."""
     p = F.when(F.col("TOA") >= 15000, F.lit(0.14)).otherwise(F.lit(0.06))
     smp_rule = uniform("CaseId", "smp") < p
-    c = t.cases.select("CaseId", "TOA", "Product")
-    smp, ref = c.filter(smp_rule), c.filter(~smp_rule)
-    e = bands.edges(smp, "TOA", 5)
-    cell = bands.cut("TOA", e, True)
-    return smp.withColumn("TOAcell", cell), ref.withColumn("TOAcell", cell), features.payments(t.case_events, c)
-
-
-MATCH = f"""c AS (SELECT CaseId, TOA, Product, {u('CaseId', 'smp')} < CASE WHEN TOA >= 15000 THEN 0.14e0 ELSE 0.06e0 END AS smp FROM cases),
-e AS (SELECT list_sort(list_distinct(quantile_cont(TOA,[0,0.2,0.4,0.6,0.8,1.0]))) AS b FROM c WHERE smp),
-x AS (SELECT c.*, cast(CASE WHEN TOA >= b[1] AND TOA <= b[len(b)] THEN greatest(len(list_filter(b, lambda z: z < TOA)),1) END as int) AS TOAcell FROM c, e),
-need AS (SELECT Product, TOAcell, count(*) AS wanted FROM x WHERE smp GROUP BY 1,2),
-rr AS (SELECT x.CaseId, x.TOA, g.j AS rep, row_number() OVER (PARTITION BY g.j, x.Product, x.TOAcell ORDER BY substr(md5(concat(cast(x.CaseId as varchar),'-m',cast((g.j-1)//4+1 as varchar))),cast(8*((g.j-1)%4)+1 as int),8), x.CaseId) AS i, wanted
- FROM x JOIN need USING (Product, TOAcell), (SELECT unnest(range(1,102)) AS j) g WHERE NOT smp),
-pp AS (SELECT CaseId, Month, coalesce(PaymentAmount,0e0) AS Payment FROM case_events),
+    return t.cases.filter(smp_rule), t.cases.filter(~smp_rule)
+
+
+def match_sets(t):
+    """The sample and the reference in five bands of each given component of the sample."""
+    from recoup.operators import bands
+    smp, ref = hidden_sample(t)
+    scale = bands.scale_params(smp, GIVEN_COLUMNS)
+
+    def scored(d):
+        z = {c: (F.col(c) - F.lit(a)) / F.lit(b) for c, (a, b) in scale.items()}
+        return d.select("CaseId", "TOA", *[F.round(sum(F.lit(w) * z[c] for c, w in g.items()), 6).alias(f"s{j}") for j, g in enumerate(GIVEN)])
+    smp, ref = scored(smp), scored(ref)
+    cells = {f"b{j}": bands.cut(f"s{j}", bands.edges(smp, f"s{j}", 5), True) for j in range(len(GIVEN))}
+    return smp.withColumns(cells), ref.withColumns(cells), features.payments(t.case_events, t.cases)
+
+
+_SCALED = ", ".join(f"avg({c}) AS m_{c}, stddev_samp({c}) AS d_{c}" for c in GIVEN_COLUMNS)
+_SCORES = ", ".join("round(" + " + ".join(f"({w}e0) * (({c} - m_{c}) / d_{c})" for c, w in g.items()) + f", 6) AS s{j}" for j, g in enumerate(GIVEN))
+_EDGES = ", ".join(f"list_sort(list_distinct(quantile_cont(s{j}, [0,0.2,0.4,0.6,0.8,1.0]))) AS e{j}" for j in range(3))
+_BANDS = ", ".join(f"cast(CASE WHEN s{j} >= e{j}[1] AND s{j} <= e{j}[len(e{j})] THEN greatest(len(list_filter(e{j}, lambda z: z < s{j})), 1) END as int) AS b{j}" for j in range(3))
+MATCH = f"""k AS MATERIALIZED (SELECT CaseId, {', '.join(GIVEN_COLUMNS)}, {u('CaseId', 'smp')} < CASE WHEN TOA >= 15000 THEN 0.14e0 ELSE 0.06e0 END AS smp FROM cases),
+z AS (SELECT {_SCALED} FROM k WHERE smp),
+c AS MATERIALIZED (SELECT CaseId, TOA, smp, {_SCORES} FROM k, z),
+e AS (SELECT {_EDGES} FROM c WHERE smp),
+x AS MATERIALIZED (SELECT c.CaseId, c.TOA, c.smp, {_BANDS} FROM c, e),
+need AS (SELECT b0, b1, b2, count(*) AS wanted FROM x WHERE smp GROUP BY ALL),
+rr AS (SELECT x.CaseId, x.TOA, g.j AS rep, row_number() OVER (PARTITION BY g.j, b0, b1, b2 ORDER BY substr(md5(concat(cast(x.CaseId as varchar),'-m',cast((g.j-1)//4+1 as varchar))),cast(8*((g.j-1)%4)+1 as int),8), x.CaseId) AS i, wanted
+ FROM x JOIN need USING (b0, b1, b2), (SELECT unnest(range(1,102)) AS j) g WHERE NOT smp),
+pp AS MATERIALIZED (SELECT CaseId, Month, coalesce(PaymentAmount,0e0) AS Payment FROM case_events),
 dm AS (SELECT rep, Month, sum(Payment)/sum(TOA) AS SR FROM rr JOIN pp USING (CaseId) WHERE i <= wanted*5 GROUP BY 1,2),
-dc AS (SELECT rep, Month, SR, sum(SR) OVER (PARTITION BY rep ORDER BY Month) AS SRcml FROM dm)"""
+dc AS MATERIALIZED (SELECT rep, Month, SR, sum(SR) OVER (PARTITION BY rep ORDER BY Month) AS SRcml FROM dm)"""
 
 
 def _draws(t):
@@ -219,6 +237,17 @@ def _draws(t):
     return smp, ref, pay, backtest.repeated_match(pay, ref, need, CELLS, 5, B)
 
 
+@query("x11_matching_by_components")
+def x11b(t):
+    """The same draws in cells of the sample's own principal components."""
+    man = (F.col("Gender") == "MALE").cast("int")
+    smp, ref = (d.filter("Gender IS NOT NULL").withColumn("IfMan", man).dropna("any", subset=PCA) for d in hidden_sample(t))
+    smp, ref, depth = backtest.component_cells(smp, ref, PCA)
+    need = smp.groupBy("cell").agg(F.count(F.lit(1)).alias("wanted"))
+    draws = backtest.repeated_match(features.payments(t.case_events, t.cases), ref, need, ["cell"], 5, B)
+    return rounded(backtest.draw_statistics(draws)).withColumn("components", F.lit(depth))
+
+
 @query("x11_repeated_matching", f"""WITH {MATCH} SELECT Month, """ + ", ".join(
     f"round(quantile_cont({c},0.25),6) AS Q25{s}, round(quantile_cont({c},0.5),6) AS Q50{s}, round(quantile_cont({c},0.75),6) AS Q75{s}, round(avg({c}),6) AS Avg{s}, round(stddev_samp({c}),6) AS Std{s}"
     for c, s in (("SR", ""), ("SRcml", "Cml"))) + " FROM dc GROUP BY 1")
