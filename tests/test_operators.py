@@ -283,3 +283,42 @@ def test_debt_without_benchmark_cases_is_an_error(spark):
     assert backtest.matched_by_variable(pay, val, ben, "TOA", 3).agg(F.max("Unmatched")).first()[0] == 0
     with pytest.raises(ValueError, match="no benchmark cases"):
         backtest.matched_by_variable(pay, val, ben.filter("TOA < 600"), "TOA", 3)
+
+
+def _cloud(spark, n, dim, seed):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dim))
+    return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>").repartition(4), x
+
+
+def test_distances_per_query_grow_slower_than_rows(spark, monkeypatch):
+    """Rows that the queries' cells hold, counted at two sizes: four times the rows, far less than four times the work."""
+    seen = []
+    plain = neighbours._block_join
+
+    def counted(q, t, sizes, k, bar, chunk):
+        seen.append(sum(sizes.get(r["cell"], 0) * r["count"] for r in q.groupBy("cell").count().collect()))
+        return plain(q, t, sizes, k, bar, chunk)
+
+    monkeypatch.setattr(neighbours, "_block_join", counted)
+    work = []
+    for n in (1000, 4000):
+        df, x = _cloud(spark, n, 2, 5)
+        ask = df.where("id % 10 = 0")
+        seen.clear()
+        got = {(r["id"], r["rank"]): r["neighbour"] for r in neighbours.knn(df, ask, "id", "v", 3).collect()}
+        work.append(sum(seen) / (n / 10))
+        for i in range(0, n, 100):
+            d = np.sqrt(((x - x[i]) ** 2).sum(1))
+            assert [got[i, r] for r in (1, 2, 3)] == np.lexsort((np.arange(n), d))[:3].tolist()
+    assert work[1] < 2.5 * work[0] and work[1] < 0.25 * 4000
+
+
+def test_hashed_neighbours_recall(spark):
+    df, _ = _cloud(spark, 3000, 4, 6)
+    ask = df.where("id % 20 = 0")
+    exact = neighbours.knn(df, ask, "id", "v", 10, exclude_self=True)
+    found = neighbours.knn_hashed(df, ask, "id", "v", 10, tables=12, rows=600, exclude_self=True)
+    assert neighbours.recall(found, exact, "id") >= 0.9
+    d = {(r["id"], r["neighbour"]): r["dist"] for r in exact.collect()}
+    assert all(abs(d[r["id"], r["neighbour"]] - r["dist"]) < 1e-12 for r in found.collect() if (r["id"], r["neighbour"]) in d)
