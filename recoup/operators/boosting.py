@@ -20,7 +20,7 @@ from dataclasses import dataclass, field, replace
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recoup.session import stored
@@ -41,7 +41,8 @@ KEPT_BYTES = 256 << 20
 
 @dataclass(frozen=True)
 class Config:
-    """One model. ``loss``: bernoulli (gradient boosting), discrete, real or gentle (adaptive).
+    """One model. ``loss``: bernoulli (gradient boosting), discrete, real or gentle (adaptive), bag
+    (one tree of a bag: a row counts as often as the frame's ``bag`` array says).
 
     leave: the fold it leaves out and is scored on; None trains on all folds and is scored on the
     hold-out. patience: it stops when no moving average of that many scores (area under the curve
@@ -73,6 +74,7 @@ class Tree:
     cut: np.ndarray
     left: np.ndarray
     value: np.ndarray
+    gain: np.ndarray  # fall of the squared error at the node
 
     def apply(self, codes: np.ndarray) -> np.ndarray:
         node = np.zeros(len(codes), np.int64)
@@ -133,7 +135,7 @@ def no_better(losses: Sequence[float], rounds: int) -> bool:
 
 # ---- blocks
 
-_BLOCK = ["block", "codes", "label", "part", "id"]
+_BLOCK = ["block", "codes", "label", "part", "id", "bag"]
 
 
 def _codes(columns: list[pa.Array], edges: list[np.ndarray]) -> np.ndarray:
@@ -152,10 +154,11 @@ def bin_edges(df: DataFrame, columns: Sequence[str], bins: int) -> list[np.ndarr
     return [np.unique(np.array(q, float)) for q in found]
 
 
-def blocks(df: DataFrame, key: str, columns: Sequence[str], edges: list[np.ndarray], label: str, part: str) -> DataFrame:
-    """``block, codes, label, part, id``: rows as bytes, in blocks named by what they hold; id is a
-    hash of the key, from which samples of rows are drawn."""
+def blocks(df: DataFrame, key: str, columns: Sequence[str], edges: list[np.ndarray], label: str, part: str, bag: Column | None = None) -> DataFrame:
+    """``block, codes, label, part, id, bag``: rows as bytes, in blocks named by what they hold; id is
+    a hash of the key, from which samples of rows are drawn, bag the row's counts by model."""
     size = BLOCK_ROWS
+    last = 3 + len(columns)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -163,10 +166,12 @@ def blocks(df: DataFrame, key: str, columns: Sequence[str], edges: list[np.ndarr
                 x = b.slice(at, size)
                 raw = [a.tobytes() for a in (
                     _codes([x.column(i + 3) for i in range(len(edges))], edges), x.column(0).to_numpy().astype(np.uint8),
-                    x.column(1).to_numpy().astype(np.uint8), x.column(2).to_numpy())]
+                    x.column(1).to_numpy().astype(np.uint8), x.column(2).to_numpy(),
+                    x.column(last).flatten().to_numpy(zero_copy_only=False).astype(np.uint8))]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.md5(b"".join(raw)).hexdigest()]), *[pa.array([a], pa.binary()) for a in raw]], _BLOCK)
 
-    return df.select(F.col(label).cast("int"), F.col(part).cast("int"), F.xxhash64(key), *[F.col(c).cast("double") for c in columns]).mapInArrow(
+    return df.select(F.col(label).cast("int"), F.col(part).cast("int"), F.xxhash64(key), *[F.col(c).cast("double") for c in columns],
+                     bag if bag is not None else F.array().cast("array<tinyint>")).mapInArrow(
         run, ", ".join(f"{c} {'string' if c == 'block' else 'binary'}" for c in _BLOCK))
 
 
@@ -218,7 +223,7 @@ class _Grown:
 
 def _advance(fit: str, block: tuple, starts: list[float], grown: _Grown, upto: list[int]) -> np.ndarray:
     """Margins of the block, a row per model."""
-    name, codes, _, _, _, state = block
+    name, codes, _, _, _, _, state = block
     kept = _KEPT.get((fit, name))
     if kept is None or any(k < f for k, f in zip(kept[0], grown.first, strict=True)):
         margin = np.frombuffer(state, float).reshape(len(starts), -1).copy() if len(state) else np.repeat(np.array(starts)[:, None], len(codes), 1)
@@ -251,7 +256,7 @@ def _scores(config: Config, y: np.ndarray, margin: np.ndarray) -> np.ndarray:
 
 def _add_up(requests: list, block: tuple, configs: list[Config], margin: np.ndarray, width: int) -> dict[int, np.ndarray]:
     """Histograms ``(3, columns, bins)`` by slot, and scores by model (keys below zero)."""
-    _, codes, label, part, ids, _ = block
+    _, codes, label, part, ids, bag, _ = block
     p = codes.shape[1]
     cell = codes.astype(np.int32) + np.arange(p, dtype=np.int32) * width
     out: dict[int, np.ndarray] = {}
@@ -266,7 +271,12 @@ def _add_up(requests: list, block: tuple, configs: list[Config], margin: np.ndar
         if config.rows < 1.0:
             train = train & _drawn(ids, config.seed, round_no, config.rows)
         rows = np.flatnonzero(train)
-        g, h = _gradients(config.loss, label[rows].astype(float), margin[m][rows])
+        if config.loss == "bag":
+            rows = rows[bag[rows, m] > 0]
+            h = bag[rows, m].astype(float)
+            g = h * (2.0 * label[rows] - 1.0)
+        else:
+            g, h = _gradients(config.loss, label[rows].astype(float), margin[m][rows])
 
         def visit(node: tuple, at: np.ndarray) -> None:
             slot, splits = node
@@ -305,6 +315,7 @@ class _Node:
     depth: int
     stat: tuple[float, float, float]
     split: tuple[int, int] | None = None
+    gain: float = 0.0
     left: int = -1
     closed: bool = False
 
@@ -395,7 +406,7 @@ class _Growing:
             return
         k, cut = divmod(at, gain.shape[1])
         column = int(columns[k])
-        n.split, n.closed, n.left = (column, cut), False, len(self.nodes)
+        n.split, n.gain, n.closed, n.left = (column, cut), best, False, len(self.nodes)
         for side, s in ((0, low[:, k, cut]), (1, high[:, k, cut])):
             child = _Node((*n.path, (column, cut, side)), n.depth + 1, tuple(s))
             child.closed = child.depth >= c.depth or child.stat[2] < 2 * c.min_rows
@@ -410,7 +421,7 @@ class _Growing:
         leaf = column < 0
         if c.loss == "bernoulli":
             value = c.rate * g / np.maximum(h, 1e-12)
-        elif c.loss == "gentle":
+        elif c.loss in ("gentle", "bag"):
             value = c.rate * g / np.maximum(h, 1e-300)
         elif c.loss == "real":
             share = np.clip((1.0 + g / np.maximum(h, 1e-300)) / 2.0, 1e-5, 1.0 - 1e-5)
@@ -419,7 +430,7 @@ class _Growing:
             wrong = float((h[leaf] - np.abs(g[leaf])).sum() / 2.0 / h[leaf].sum())
             wrong = min(max(wrong, 1e-10), 1.0 - 1e-10)
             value = c.rate * 0.5 * math.log((1.0 - wrong) / wrong) * np.where(g >= 0, 1.0, -1.0)
-        return Tree(column, cut, left, np.where(leaf, value, 0.0))
+        return Tree(column, cut, left, np.where(leaf, value, 0.0), np.array([n.gain for n in self.nodes]))
 
 
 def _request(paths: Iterable[tuple], slots: dict[tuple, int]) -> tuple:
@@ -436,18 +447,20 @@ def _request(paths: Iterable[tuple], slots: dict[tuple, int]) -> tuple:
 
 
 def fit(df: DataFrame, key: str, columns: Sequence[str], configs: Sequence[Config], label: str = "label", part: str = "part",
-        bins: int = 64, at_once: int = 200, until: Callable[[list[Fitted]], bool] | None = None) -> list[Fitted]:
+        bins: int = 64, at_once: int = 200, until: Callable[[list[Fitted]], bool] | None = None,
+        bag: Callable[[int, int], Column] | None = None) -> list[Fitted]:
     """All models over ``df``: ``label`` 0 or 1, ``part`` the fold (0 to 254) or ``HOLD_OUT``, numeric
     ``columns`` (null is a bin of its own, below all values). Edges are taken from the rows that are
     not held out. Models grow ``at_once`` at a time; ``until`` looks at their histories after every
-    step and may end them all."""
+    step and may end them all. ``bag`` gives the column of the counts of models a to b."""
     columns = list(columns)
     edges = bin_edges(df.where(F.col(part) != HOLD_OUT), columns, bins)
     width = max(len(e) for e in edges) + 2
-    table = stored(blocks(df, key, columns, edges, label, part), "blocks")
+    plain = None if bag else stored(blocks(df, key, columns, edges, label, part), "blocks")
     size = {(r[part], r[label]): r["count"] for r in df.select(F.col(part).cast("int").alias(part), F.col(label).cast("int").alias(label)).groupBy(part, label).count().collect()}
     out: list[Fitted] = []
     for at in range(0, len(configs), at_once):
+        table = plain or stored(blocks(df, key, columns, edges, label, part, bag(at, min(at + at_once, len(configs)))), "blocks")
         out += _fit_some(table, columns, edges, width, size, list(configs[at:at + at_once]), until)
     return out
 
@@ -473,7 +486,7 @@ def _fit_some(table: DataFrame, columns: list[str], edges: list[np.ndarray], wid
     def decoded(r) -> tuple:
         label = np.frombuffer(r[2], np.uint8)
         return (r[0], np.frombuffer(r[1], np.uint8).reshape(len(label), p), label, np.frombuffer(r[3], np.uint8), np.frombuffer(r[4], np.int64),
-                bytes(r[5]) if r[5] is not None else b"")
+                np.frombuffer(r[5], np.uint8).reshape(len(label), -1), bytes(r[6]) if r[6] is not None else b"")
 
     def loaded(state: DataFrame):
         rdd = state.select(*_BLOCK, "state").rdd
@@ -546,7 +559,7 @@ def _saved(state, name, starts, grown, noted, rdd, loaded, p):
         for b in batches:
             for r in b.to_pylist():
                 codes = np.frombuffer(r["codes"], np.uint8).reshape(len(r["label"]), p)
-                r["state"] = _advance(name, (r["block"], codes, None, None, None, r["state"] or b""), starts, grown, noted).tobytes()
+                r["state"] = _advance(name, (r["block"], codes, None, None, None, None, r["state"] or b""), starts, grown, noted).tobytes()
                 yield pa.RecordBatch.from_pylist([r], b.schema)
 
     new = stored(state.mapInArrow(run, state.schema), "margins")

@@ -1,14 +1,14 @@
 """Models trained by MLlib, and the searches, ensembles and explanations built on them."""
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from itertools import combinations
 
 import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -16,11 +16,6 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recoup.functions.keys import digest
-from recoup.operators.ranks import shuffled_position
-from recoup.operators.sampling import poisson_count
-from recoup.session import stored
-
 PARALLEL_FITS = 4
 
 
@@ -70,10 +65,6 @@ def forest(train: DataFrame, trees: int, subset: str, min_leaf: int = 20, depth:
                                   minInstancesPerNode=min_leaf, maxDepth=depth, seed=1).fit(train)
 
 
-def boosted(train: DataFrame, rounds: int, depth: int = 3, rate: float = 0.1):
-    return GBTClassifier(labelCol="label", featuresCol="features", maxIter=rounds, maxDepth=depth, stepSize=rate, minInstancesPerNode=20, seed=1).fit(train)
-
-
 def depth_by_cross_validation(train: DataFrame, depths: Sequence[int], fold: str, folds: int):
     """Cross-validated error per tree depth; the smallest error wins."""
     est = DecisionTreeClassifier(labelCol="label", featuresCol="features", seed=1, minInstancesPerNode=20)
@@ -84,69 +75,12 @@ def depth_by_cross_validation(train: DataFrame, depths: Sequence[int], fold: str
     return [(d, 1.0 - a) for d, a in zip(depths, cv.avgMetrics)], cv.bestModel
 
 
-def out_of_bag(df: DataFrame, key: str, bags: int, depth: int = 5) -> DataFrame:
-    """Out-of-bag votes: per row the times it was left out and how often it was voted 1.
-
-    Bags are Poisson weights of the key, so a bag is a filter and a weight column.
-    """
-    def one(b):
-        d = df.withColumn("w", poisson_count(F.substring(digest(key, f"bag{b}"), 1, 8)).cast("double"))
-        m = tree(d.filter("w > 0"), min_leaf=10, depth=depth, weight="w")
-        return m.transform(d.filter("w = 0")).select(key, "label", "prediction")
-    out = None
-    for d in in_parallel([lambda b=b: one(b) for b in range(bags)]):
-        out = d if out is None else out.unionByName(d)
-    return out.groupBy(key, "label").agg(F.count(F.lit(1)).alias("times"), F.sum("prediction").alias("votes"))
-
-
-def importances(model, columns: Sequence[str], spark) -> DataFrame:
-    v = model.featureImportances.toArray()
-    return spark.createDataFrame([(c, float(x)) for c, x in zip(columns, v)], "variable string, importance double")
-
-
-def permutation_importance(df: DataFrame, key: str, columns: Sequence[str], predict: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Rise of the error when one column is shuffled.
-
-    Rows stand in a random order and take each column from the row a fixed number of places on:
-    one equi join on the position serves every column.
-    """
-    n = df.count()
-    placed = stored(shuffled_position(df.select(key, "label", *columns), key, "perm", "_pos"), "placed")
-    shift = max(1, n // 3)
-    donor = placed.select((F.pmod(F.col("_pos") - 1 + shift, F.lit(n)) + 1).alias("_pos"), *[F.col(c).alias(f"_d_{c}") for c in columns])
-    both = stored(placed.join(donor, "_pos"), "permuted")
-
-    def error(d):
-        p = predict(d)
-        wrong = (F.col("prediction") != F.col("label")).cast("double")
-        return p.agg(F.avg(wrong), F.stddev_samp(wrong)).first()
-    base = error(both)
-
-    def one(c):
-        return error(both.withColumn(c, F.col(f"_d_{c}")))
-    rows = in_parallel([lambda c=c: one(c) for c in columns])
-    se = max(float(base[1] or 0.0) / math.sqrt(n), 1e-12)
-    out = [(c, float(r[0] - base[0]), float((r[0] - base[0]) / se)) for c, r in zip(columns, rows)]
-    return df.sparkSession.createDataFrame(out, "variable string, rise double, scaled double")
-
-
-def tree_sizes(model, spark) -> DataFrame:
-    rows = [(i, t.numNodes, t.depth) for i, t in enumerate(model.trees)]
-    return spark.createDataFrame(rows, "tree int, nodes int, depth int")
-
-
 def tree_listing(model, spark) -> DataFrame:
     lines = model.toDebugString.splitlines()
     return spark.createDataFrame([(i, line.strip(), len(line) - len(line.lstrip())) for i, line in enumerate(lines)],
                                  "line int, rule string, indent int")
 
 
-def partial_dependence(df: DataFrame, column: str, grid: Sequence[float], predict: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Mean score with one variable held at each grid value for every row."""
-    d = df.drop(column).withColumn(column, F.explode(F.array(*[F.lit(float(g)) for g in grid])))
-    return predict(d).groupBy(column).agg(F.avg("score").alias("score"))
-
-
 # Searches and ensembles --------------------------------------------------------------------
 
 def auc_of(model, df: DataFrame) -> float:
@@ -171,8 +105,28 @@ def out_of_fold(df: DataFrame, key: str, fold: str, folds: int, learners: dict[s
     return df.select(key, "label").join(wide, key)
 
 
-def stack(oof: DataFrame, names: Sequence[str]):
-    return LogisticRegression(labelCol="label", featuresCol="stacked", regParam=0.01).fit(assemble(oof, names, "stacked"))
+def convex_weights(df: DataFrame, names: Sequence[str], label: str) -> dict[str, float]:
+    """Weights of the scores, none below zero and one in all, of least mean squared error. One pass
+    gives the moments; every support of the few scores is solved in closed form, and the best one
+    without a negative weight is the minimum."""
+    k = len(names)
+    sums = df.agg(*[F.avg(F.col(a) * F.col(b)).alias(f"g{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names)],
+                  *[F.avg(F.col(a) * F.col(label)).alias(f"c{i}") for i, a in enumerate(names)]).first()
+    g = np.array([[sums[f"g{i}_{j}"] for j in range(k)] for i in range(k)], float)
+    c = np.array([sums[f"c{i}"] for i in range(k)], float)
+    best, found = np.inf, np.zeros(k)
+    for size in range(1, k + 1):
+        for use in combinations(range(k), size):
+            at = list(use)
+            system = np.block([[g[np.ix_(at, at)], np.ones((size, 1))], [np.ones((1, size)), np.zeros((1, 1))]])
+            w = np.linalg.lstsq(system, np.r_[c[at], 1.0], rcond=None)[0][:size]
+            if w.min() < -1e-12:
+                continue
+            loss = w @ g[np.ix_(at, at)] @ w - 2 * w @ c[at]
+            if loss < best - 1e-15:
+                best, found = loss, np.zeros(k)
+                found[at] = w
+    return dict(zip(names, map(float, found), strict=True))
 
 
 def network(train: DataFrame, layers: Sequence[int], seed: int = 1, limit: int = 400, tolerance: float = 1e-5):

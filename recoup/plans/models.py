@@ -1,14 +1,16 @@
 """Trees, ensembles and their comparison."""
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import functions as F
 
 from recoup.functions.columns import rnd
 from recoup.functions.keys import fold
-from recoup.operators import bands, features, models, sampling
-from recoup.plans.fixture_sql import un
+from recoup.operators import bands, boosting, features, forests, models, sampling
+from recoup.plans.fixture_sql import boot, md, un
 from recoup.plans.linear import frame_of
 from recoup.plans.registry import query
 from recoup.session import stored
@@ -83,33 +85,55 @@ def t6(t):
     return measured(t, "forest", models.forest(trn, 1000, "5"), trn, tst)
 
 
+TREES = 1000
+_ENSEMBLES: dict[tuple, str] = {}
+
+
+def ensemble(t):
+    """The training rows and the forest of 1,000 trees on them (nodes under 100 rows stay whole), grown once for the state of the inputs
+    and read from its stored table by every later query."""
+    trn, tst = (d.drop("features") for d in target_sets(t))
+    state = (t.spark.sparkContext.applicationId, t.sf_dir, t.state("lineitem", "orders", "customer"))
+    if state not in _ENSEMBLES:
+        _ENSEMBLES[state] = forests.bagged(trn, "CaseId", COLS, TREES, per_split=5, min_rows=50).save(t.spark)
+    return trn, tst, forests.Bag.load(t.spark, _ENSEMBLES[state], COLS)
+
+
 @query("t7_out_of_bag")
 def t7(t):
-    trn, _ = target_sets(t)
-    v = models.out_of_bag(trn, "CaseId", 24)
+    trn, _, bag = ensemble(t)
+    v = bag.votes(trn, "CaseId", "label")
     wrong = ((F.col("votes") / F.col("times") > 0.5).cast("double") != F.col("label")).cast("double")
-    n = trn.count()
     return v.groupBy("times").agg(F.count(F.lit(1)).alias("n"), F.avg(wrong).alias("oob_error"),
-                                  (F.lit(1.0) - F.sum("times") / F.lit(24.0 * n)).alias("in_bag_share"))
+                                  (F.lit(1.0) - F.col("times") / F.lit(float(TREES))).alias("in_bag_share"))
+
+
+@query("t7_out_of_bag_times", f"""
+WITH complete AS (SELECT CaseId FROM cases WHERE Product = 'Cash loan' AND Age > -1 AND Other IS NOT NULL AND DPD IS NOT NULL AND ExternalAgency IS NOT NULL
+  AND Gender IS NOT NULL AND M_LastPaymentToImportDate IS NOT NULL AND Land IS NOT NULL AND PopulationInCity IS NOT NULL),
+l AS (SELECT CaseId, row_number() OVER (ORDER BY {md('CaseId', 'trn')}, CaseId) <= (SELECT floor(0.6*count(*)+1e-9) FROM complete) AS trn FROM complete),
+o AS (SELECT CaseId, count(*) FILTER ({boot('CaseId', 'j')} * 4294967296 < ceil(exp(-1.0) * 4294967296)) AS times FROM l, (SELECT unnest(range(1, {TREES + 1})) AS j) WHERE trn GROUP BY 1)
+SELECT times, count(*) AS n FROM o GROUP BY 1""")
+def t7b(t):
+    """How many rows were left out by how many trees."""
+    trn, _, bag = ensemble(t)
+    return bag.votes(trn, "CaseId", "label").groupBy("times").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("t8_impurity_importance")
 def t8(t):
-    trn, _ = target_sets(t)
-    return models.importances(models.forest(trn, 500, "5"), COLS, t.spark)
+    return frame_of(t, ensemble(t)[2].impurity_importance(), "variable string, importance double")
 
 
 @query("t9_permutation_importance")
 def t9(t):
-    trn, tst = target_sets(t)
-    m = models.forest(trn, 200, "5")
-    return models.permutation_importance(tst, "CaseId", COLS, lambda d: m.transform(models.assemble(d, COLS)))
+    trn, _, bag = ensemble(t)
+    return frame_of(t, bag.permutation_importance(trn, "CaseId", "label"), "variable string, rise double, scaled double")
 
 
 @query("t10_tree_sizes")
 def t10(t):
-    trn, _ = target_sets(t)
-    return models.tree_sizes(models.forest(trn, 500, "5"), t.spark)
+    return frame_of(t, ensemble(t)[2].sizes(), "tree int, nodes int, leaves int, depth int")
 
 
 @query("t10_tree_listing")
@@ -120,10 +144,8 @@ def t10b(t):
 
 @query("t11_partial_dependence")
 def t11(t):
-    trn, tst = target_sets(t)
-    m = models.forest(trn, 200, "5")
-    grid = bands.edges(trn, "TOA", 15)
-    return models.partial_dependence(tst.drop("features"), "TOA", grid, lambda d: models.probability(m.transform(models.assemble(d, COLS))))
+    trn, _, bag = ensemble(t)
+    return bag.dependence(trn, "TOA", bands.edges(trn, "TOA", 15))
 
 
 @query("t19_median_by_parameter_pair", f"""
@@ -141,18 +163,38 @@ def t19(t):
         rnd(F.percentile("acc", F.lit(0.5))).alias("median"))
 
 
-@query("t20_stacked_models")
-def t20(t):
+def stacked_scores(t):
+    """Scores on the hold-out of a logistic model, a forest of 500 trees and 200 rounds of boosting, and
+    their convex combination by the scores of five folds, each from models that left it out."""
     trn, tst = target_sets(t)
-    learners = {"logistic": lambda d: LogisticRegression(featuresCol="features", labelCol="label").fit(d),
-                "forest": lambda d: models.forest(d, 10, "5"), "boosting": lambda d: models.boosted(d, 5)}
-    oof = stored(models.out_of_fold(trn.withColumn("fold", fold("CaseId", "cv", 3)), "CaseId", "fold", 3, learners), "oof")
-    meta = models.stack(oof, list(learners))
-    fits = {n: f(trn) for n, f in learners.items()}
+    learners = {"logistic": lambda d: LogisticRegression(featuresCol="features", labelCol="label").fit(d), "forest": lambda d: models.forest(d, 500, "5")}
+    names = [*learners, "boosting"]
+    trn = stored(trn.withColumn("fold", fold("CaseId", "cv", 5)), "folds")
+    rows = trn.drop("features").withColumnRenamed("fold", "part").unionByName(tst.drop("features").withColumn("part", F.lit(boosting.HOLD_OUT)))
+    plan = boosting.Config("boosting", 200, 3, 0.05, 50, rows=0.5)
+    *by_fold, full = boosting.fit(rows, "CaseId", COLS, [*[replace(plan, leave=k) for k in range(5)], plan])
+
+    def boosted(m, d):
+        best = m.best("valid_loss") if m.config.leave is not None else round(sum(x.best("valid_loss") for x in by_fold) / 5)
+        return m.margins(d, "CaseId", best).select("CaseId", (1 / (1 + F.exp(-F.col("margin")))).alias("boosting"))
+
+    left = boosted(by_fold[0], trn.filter("fold = 0"))
+    for k in range(1, 5):
+        left = left.unionByName(boosted(by_fold[k], trn.filter(F.col("fold") == k)))
+    oof = stored(models.out_of_fold(trn, "CaseId", "fold", 5, learners).join(left, "CaseId"), "oof")
+    weights = models.convex_weights(oof, names, "label")
     wide = tst.select("CaseId", "label", "features")
-    for n, m in fits.items():
-        wide = models.probability(m.transform(wide), n).drop("rawPrediction", "probability", "prediction")
-    s = stored(models.probability(meta.transform(models.assemble(wide, list(learners), "stacked")), "stacked_score")
-               .select("label", *learners, F.col("stacked_score").alias("stacked")), "stacked")
+    for n, f in learners.items():
+        wide = models.probability(f(trn).transform(wide), n).drop("rawPrediction", "probability", "prediction")
+    wide = wide.join(boosted(full, tst), "CaseId")
+    mix = sum(F.lit(w) * F.col(n) for n, w in weights.items())
+    return stored(wide.select(F.col("label").cast("int").alias("label"), *names, mix.alias("stacked")), "stacked"), names, weights
+
+
+@query("t20_stacked_models")
+def t20(t):
+    scores, names, weights = stacked_scores(t)
     from recoup.plans.linear import leaderboard
-    return leaderboard(s.withColumn("label", F.col("label").cast("int")), "label", {n: F.col(n) for n in [*learners, "stacked"]}, 0.5)
+    board = leaderboard(scores, "label", {n: F.col(n) for n in [*names, "stacked"]}, 0.5)
+    weight = F.create_map(*[F.lit(x) for n in names for x in (n, weights[n])])
+    return board.withColumn("weight", weight[F.col(board.columns[0])])

@@ -1,6 +1,7 @@
 """Input tables: the stored base tables and the case / monthly-panel tables built on them."""
 from __future__ import annotations
 
+import hashlib
 import os
 
 from pyspark.sql import DataFrame, SparkSession
@@ -128,23 +129,30 @@ class Tables:
     def base(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
-    def _kept(self, name: str, build) -> DataFrame:
+    def state(self, *names: str) -> str:
+        """What the files of the named tables are at the moment: their paths, sizes and times."""
+        out = []
+        for name in names:
+            files = self.base(name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+            out += sorted(f"{r[0]} {r[1]} {r[2]}" for r in files.collect())  # one row per file
+        return hashlib.md5("\n".join(out).encode()).hexdigest()
+
+    def _kept(self, name: str, build, *inputs: str) -> DataFrame:
         app = self.spark.sparkContext.applicationId
-        key = (app, self.sf_dir, name)
+        key = (app, self.sf_dir, name, self.state(*inputs))
         if key not in _STORED:
-            folder = self.sf_dir.strip("/").replace("/", "_")
-            path = os.path.join(shared_dir(self.spark), app, folder, name)
+            path = os.path.join(shared_dir(self.spark), app, f"{name}-{key[-1]}-{hashlib.md5(self.sf_dir.encode()).hexdigest()[:8]}")
             build().write.mode("overwrite").parquet(path)
             _STORED[key] = path
         return self.spark.read.parquet(_STORED[key])
 
     @property
     def cases(self) -> DataFrame:
-        return self._kept("cases", lambda: build_cases(spread(self.orders), self.customer))
+        return self._kept("cases", lambda: build_cases(spread(self.orders), self.customer), "orders", "customer")
 
     @property
     def case_events(self) -> DataFrame:
-        return self._kept("case_events", lambda: build_case_events(spread(self.lineitem), self.cases))
+        return self._kept("case_events", lambda: build_case_events(spread(self.lineitem), self.cases), "lineitem", "orders", "customer")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in BASE:
