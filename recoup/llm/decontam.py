@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recoup.llm.arrow import batch_of, schemas
+from recoup.llm.rows import named, own_rows
 from recoup.llm.text import Words, count_words, grams, mix, pieces, words
 from recoup.session import spread, stored
 
@@ -73,10 +74,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     n_hit counts the words inside any occurrence of an item's window, items is the sorted array
     of the ids of items with such a window. Null and empty texts have no words and no hits. Rows
-    that share an id (or a null id) share the hits of all of them. An item without words has no
+    that share an id (or a null id) are judged each by its own text. An item without words has no
     window; repeated items are all listed. Other columns of either table are not read.
     """
-    docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    id_type = docs.schema[id_col].dataType
+    docs = docs.select(own_rows(docs, id_col, text_col).alias("doc"), F.col(text_col).alias("text"))
     known = stored(_item_windows(items.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")), n), "windows")
     classes = sorted(r["t"] for r in known.select("t").distinct().collect())  # n values at most
     doc_type = docs.schema["doc"].dataType
@@ -124,10 +126,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     hit = (found.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("start", "t"))).alias("w"))
            .select("doc", F.expr("""aggregate(w, struct(0 as upto, 0L as n), (a, x) -> struct(
                greatest(a.upto, x.start + x.t) as upto, a.n + greatest(0, x.start + x.t - greatest(a.upto, x.start)) as n)).n""").alias("n_hit")))
-    named = found.select("doc", "t", "hash").distinct().join(whole, ["t", "hash"]).groupBy("doc").agg(F.collect_set("item").alias("items"))
-    both = hit.join(named, hit["doc"].eqNullSafe(named["doc"])).select(hit["doc"].alias("d"), "n_hit", "items")
-    return sized.join(both, sized["doc"].eqNullSafe(both["d"]), "left").select(
-        F.col("doc").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+    hit_items = found.select("doc", "t", "hash").distinct().join(whole, ["t", "hash"]).groupBy("doc").agg(F.collect_set("item").alias("items"))
+    both = hit.join(hit_items, hit["doc"].eqNullSafe(hit_items["doc"])).select(hit["doc"].alias("d"), "n_hit", "items")
+    out = sized.join(both, sized["doc"].eqNullSafe(both["d"]), "left")
+    return out.select(
+        named(out, "doc", id_type).alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce(F.sort_array("items"), F.array().cast(T.ArrayType(items.schema[item_col].dataType))).alias("items"))
 
 

@@ -8,6 +8,7 @@ two smallest sums are too close is rejected.
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -34,7 +35,9 @@ UNKNOWN = "und"
 SHORT_BYTES = 256
 ROTATIONS = 12
 
-_GAPS = re.compile(r"[\W\d_]+")
+#: Number signs that are no letters (superscripts, fractions, Roman numerals) part words like digits.
+_NUMBERS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+_GAPS = re.compile(rf"[\W\d_{_NUMBERS}]+")
 
 
 def letters(text: str | None) -> bytes:

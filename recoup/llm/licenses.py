@@ -3,14 +3,17 @@
 Every rolling pair of words of every text is joined, by hash, to the positions of the same pair in
 the license templates. Hits on one diagonal (word position minus template position) support the same
 alignment. Votes are summed by diagonal; diagonals of a template that lie within GAP words are
-merged, so inserted or missing words do not break a match; the merged span is accepted if its votes
-cover a share of the template. A base phrase is a template that needs every pair on one diagonal.
+merged, so inserted or missing words do not break a match; a merged span, or one diagonal of it, is
+accepted if its pairs, in the template's order and each counted once, cover a share of the template.
+A base phrase is a template that needs every pair on one diagonal.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from recoup.llm.rows import named, own_rows
+
 #: Phrases whose places are counted word by word, and their labels.
 PHRASES = [
     ("gnu general public license", "gpl"),
@@ -73,11 +76,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_base counts the places of the phrases; first_word and last_word are the smallest and largest
     word at which one starts, else null. labels joins the phrases' labels and those of accepted
     spans. score is the share of its pairs that the best accepted span has, 0 without one. Null and
-    empty texts have no words. Rows that share an id (or a null id) share the matches of all of
-    them. Other columns are not read.
+    empty texts have no words. Rows that share an id (or a null id) are scanned each by its own text.
+    Other columns are not read.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).alias("doc"), word_array(F.col(text_col)).alias("w"))
+    id_type = docs.schema[id_col].dataType
+    docs = docs.select(own_rows(docs, id_col, text_col).alias("doc"), word_array(F.col(text_col)).alias("w"))
     lead = (F.element_at("w", 1) == "").cast("int")
     sized = docs.select("doc", (F.size("w") - lead - F.when(F.size("w") > lead, (F.element_at("w", -1) == "").cast("int")).otherwise(0)).cast("long").alias("n_words"))
     # the following word is looked up in the array beside it, so no row of a pair is built before the join
@@ -88,25 +92,32 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hits = (pairs.withColumn("pair", F.xxhash64("a", "b")).join(F.broadcast(known), "pair")
             .select("doc", "template", "label", "base", "need", "span", "pos", "at", (F.col("pos") - F.col("at")).alias("diagonal"),
                     ((F.col("a") == F.col("first")) & (F.col("b") == F.col("second"))).alias("same")))
-    # votes by diagonal
+    # votes by diagonal: the template's pairs that it holds
     votes = hits.groupBy("doc", "template", "label", "base", "need", "span", "diagonal").agg(
-        F.size(F.collect_set(F.when(F.col("same"), F.col("at")))).alias("votes"), F.min("pos").alias("low"), F.max("pos").alias("high"))
+        F.collect_set(F.when(F.col("same"), F.struct("pos", "at"))).alias("held"), F.min("pos").alias("low"), F.max("pos").alias("high"))
     # neighbouring diagonals of a template are one alignment; a base phrase keeps each on its own
     order = Window.partitionBy("doc", "template").orderBy("diagonal")
     fresh = F.coalesce(F.col("base") | (F.col("diagonal") - F.lag("diagonal").over(order) > GAP), F.lit(True))
-    merged = (votes.withColumn("fresh", fresh.cast("int")).withColumn("match", F.sum("fresh").over(order))
-              .groupBy("doc", "template", "label", "base", "need", "span", "match")
-              .agg(F.sum("votes").alias("votes"), F.min("low").alias("low"), F.max("high").alias("high"), F.min("diagonal").cast("long").alias("start")))
-    # a span is verified by its votes, and by its length against the template's
-    found = merged.where(f"votes >= need and high - low + 2 <= span + {2 * GAP}")
+    chained = votes.withColumn("match", F.sum(fresh.cast("int")).over(order))
+    merged = (chained.groupBy("doc", "template", "label", "base", "need", "span", "match")
+              .agg(F.flatten(F.collect_list("held")).alias("held"), F.min("low").alias("low"), F.max("high").alias("high"),
+                   F.min("diagonal").cast("long").alias("start"), F.count(F.lit(1)).alias("n")))
+    # a diagonal of a longer chain is a candidate of its own
+    single = chained.where(~F.col("base")).select("doc", "template", "label", "base", "need", "span", "held", "low", "high", F.col("diagonal").cast("long").alias("start"))
+    both = merged.drop("match", "n").unionByName(single)
+    # a span is verified by its length against the template's, and by the pairs that follow each other
+    # in the template's order: no pair of the template counts twice
+    rising = F.aggregate(F.array_sort("held"), F.struct(F.lit(-1).alias("last"), F.lit(0).alias("n")), lambda s, x: F.when(
+        x["at"] > s["last"], F.struct(x["at"].alias("last"), (s["n"] + 1).alias("n"))).otherwise(s))["n"]
+    found = both.withColumn("votes", rising).where(f"votes >= need and high - low + 2 <= span + {2 * GAP}")
     own = F.col("base")
-    both = found.groupBy(F.col("doc").alias("d")).agg(
+    matches = found.groupBy(F.col("doc").alias("d")).agg(
         F.count(F.when(own, F.col("start"))).alias("n_base"), F.min(F.when(own, F.col("start"))).alias("first_word"),
         F.max(F.when(own, F.col("start"))).alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(own, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"),
         F.max(F.least(F.lit(1.0), F.col("votes") / (F.col("span") - 1))).alias("score"))
-    joined = sized.join(both, sized["doc"].eqNullSafe(both["d"]), "left")
+    joined = sized.join(matches, sized["doc"].eqNullSafe(matches["d"]), "left")
     return joined.select(
-        F.col("doc").alias(id_col), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
+        named(joined, "doc", id_type).alias(id_col), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         F.coalesce("base_labels", F.lit("")).alias("base_labels"), F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -39,6 +39,7 @@ class Table:
     """Scaled frequencies of the ids; they sum to 2^SCALE_BITS and every counted id has one."""
 
     def __init__(self, counts: np.ndarray) -> None:
+        self.counts = counts
         total = 1 << SCALE_BITS
         seen = counts > 0
         if not seen.any():
@@ -173,7 +174,8 @@ def counted(tokens: DataFrame, size: int) -> np.ndarray:
 
 
 def write_blocks(tokens: DataFrame, table: Table, path: str, size: int) -> None:
-    """Blocks of ids in ascending document order: ``part, at, docs, sizes, n, block``.
+    """The folder's ``table``, and its ``blocks`` in ascending document order: ``part, at, docs, sizes,
+    n, block``.
 
     part numbers the range of documents, at counts the part's ids before the block. Null ids come
     first, rows that share an id follow each other in the order of their ids.
@@ -202,13 +204,24 @@ def write_blocks(tokens: DataFrame, table: Table, path: str, size: int) -> None:
         if held:
             yield block()
 
+    raw = np.ascontiguousarray(table.counts, "<i8").tobytes()
+    spark.createDataFrame([(bytearray(raw), zlib.crc32(raw))], "counts binary, crc32 long").coalesce(1).write.parquet(f"{path}/table")
     (tokens.select("doc", "ids").repartitionByRange(parts, "doc").sortWithinPartitions("doc", "ids")
-     .mapInArrow(run, schema).write.parquet(path))
+     .mapInArrow(run, schema).write.parquet(f"{path}/blocks"))
 
 
-def read_blocks(spark: SparkSession, path: str, table: Table) -> DataFrame:
-    """``doc, start, n_tokens, ids_crc32`` for every document, from the blocks alone."""
-    blocks = spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str) -> Table:
+    """The frequency table of a folder of blocks: a number for every id of the vocabulary."""
+    (row,) = spark.read.parquet(f"{path}/table").collect()
+    if zlib.crc32(bytes(row["counts"])) != row["crc32"]:
+        raise ValueError("the frequency table is damaged")
+    return Table(np.frombuffer(bytes(row["counts"]), "<i8"))
+
+
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """``doc, start, n_tokens, ids_crc32`` for every document, from the folder alone."""
+    table = read_table(spark, path)
+    blocks = spark.read.parquet(f"{path}/blocks")
     # one row per part: its first id's place in the whole
     before = blocks.groupBy("part").agg(F.sum("n").alias("n")).select(
         "part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
@@ -237,4 +250,4 @@ def round_trip(docs: DataFrame, path: str, folder: str, end: int = 0, size: int
     tokens = stored(tokenized(docs, path, end, size, id_col, text_col), "tokens")
     table = Table(counted(tokens, size))
     write_blocks(tokens, table, folder, size)
-    return read_blocks(docs.sparkSession, folder, table).withColumnRenamed("doc", id_col)
+    return read_blocks(docs.sparkSession, folder).withColumnRenamed("doc", id_col)
