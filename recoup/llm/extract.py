@@ -1,9 +1,12 @@
 """Main text of web pages by a minimum cut.
 
-A page is cut into text blocks in page order. A small classifier turns markup and text into the log
-odds that a block is content; they become the capacities of its edges to the two terminals. Edges
-between neighbouring blocks and between blocks of one container are the smoothness. The minimum cut
-separates content from boilerplate.
+A page is cut into text blocks in page order. A logistic classifier, fitted on what the pages' own
+article and navigation parts hold, turns a block's text into log odds of content; the markup of the
+elements around it gives theirs. Blocks and elements are the nodes of a graph: the log odds become
+the capacities of their edges to the two terminals, and edges between neighbouring blocks, blocks of
+one container, a block and its element, and an element and the one around it are the smoothness. The
+minimum cut separates content from boilerplate: a short line of an article is kept for its container
+and neighbours, long comments go with theirs.
 """
 from __future__ import annotations
 
@@ -13,8 +16,10 @@ import re
 from collections import deque
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from recoup.llm.arrow import batch_of, schemas
@@ -35,6 +40,9 @@ _LIST, _TABLE = frozenset(("ul", "ol", "menu", "dir")), frozenset(("table",))
 _ENDS = {"li": (frozenset(("li",)), _LIST), "dt": (frozenset(("dt", "dd")), frozenset(("dl",))), "dd": (frozenset(("dt", "dd")), frozenset(("dl",))),
          "tr": (frozenset(("tr", "td", "th")), _TABLE), "td": (frozenset(("td", "th")), frozenset(("tr", "table"))), "th": (frozenset(("td", "th")), frozenset(("tr", "table")))}
 
+_SCOPES = frozenset().union(*[a | b for a, b in _ENDS.values()])
+_P_SCOPE = frozenset(("button", "td", "th", "table"))
+
 #: Evidence of elements, roles and words of class and id names, as log odds of content.
 ELEMENTS = {"article": 6.0, "main": 3.0, "nav": -12.0, "menu": -12.0, "footer": -12.0, "aside": -12.0, "header": -12.0, "form": -12.0,
             "dialog": -12.0, "search": -12.0, "fieldset": -6.0}
@@ -44,13 +52,15 @@ CONTENT_WORDS = frozenset("article content entry main post story text".split())
 BOILERPLATE_WORDS = frozenset("""ad ads adslot advert advertisement advertising adverts alert alerts banner breadcrumb breadcrumbs
     comment comments commentlist consent cookie cookies copyright disclaimer disqus footer gdpr header login masthead menu menus modal
     nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted promotion recommended related replies
-    reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tagcloud toolbar widget widgets""".split())
+    reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tagcloud thread threads toolbar widget widgets""".split())
 #: A word of boilerplate after one of these says what a wrapper has or lacks, not what it is.
 _ABOUT = frozenset("has have no not non with without hide show".split())
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 
 #: Cost of a label change between neighbours of one container, and along a container's chain.
 ADJACENT, PROXIMATE = 1.0, 0.6
+#: Cost of a label change between a block and its element, and between an element and the one around it.
+TIE, AROUND = 6.0, 0.8
 _SCALE = 1000
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
@@ -78,7 +88,8 @@ def _named(value: str, article: bool) -> tuple[float, bool, bool]:
 
 
 class _Element:
-    __slots__ = ("tag", "good", "bad", "hidden", "link", "article", "number", "depth", "buffer", "parent", "up", "down", "named", "core", "chars", "linked", "cores", "shut")
+    __slots__ = ("tag", "good", "bad", "hidden", "link", "article", "number", "depth", "buffer", "parent", "up", "down", "named", "core", "chars", "linked", "cores", "shut",
+                 "p", "ends")
 
     def __init__(self, tag: str, parent: _Element | None, number: int) -> None:
         self.tag, self.parent, self.number = tag, parent, number
@@ -93,6 +104,11 @@ class _Element:
         self.named = self.core = False
         self.shut = parent.shut if parent else False
         self.chars = self.linked = self.cores = 0  # characters, those in links, and articles inside
+        # the open paragraph in scope, and what an li, dt, dd, tr, td or th would end: looked up, not searched
+        self.p = self if tag == "p" else None if tag in _P_SCOPE or parent is None else parent.p
+        self.ends = parent.ends if parent else {}
+        if tag in _SCOPES:
+            self.ends = self.ends | {k: self if tag in ended else None for k, (ended, beyond) in _ENDS.items() if tag in ended or tag in beyond}
 
     def weigh(self, attributes: str) -> bool:
         """Take up the element's own evidence; whether it speaks against content."""
@@ -184,6 +200,17 @@ def blocks(page: str) -> list[tuple[str, int, _Element]]:
     def part(element: _Element) -> None:
         element.buffer = _Block(element)
 
+    still_open: dict[str, int] = {}
+
+    def leave(element: _Element) -> _Element:
+        """Close everything down to the element; its parent is the open one."""
+        gone = top
+        while gone is not element:
+            still_open[gone.tag] -= 1
+            gone = gone.parent
+        still_open[element.tag] -= 1
+        return element.parent
+
     def write(element: _Element, text: str) -> None:
         if element.hidden or not text:
             return
@@ -231,32 +258,23 @@ def blocks(page: str) -> list[tuple[str, int, _Element]]:
         at = m.end()
         tag = m[2].lower()
         if m[1]:
-            element = top
-            while element.parent and element.tag != tag:
-                element = element.parent
-            if element.parent:
-                top = element.parent
-                if tag in BLOCKS:
-                    part(top)
-            elif tag in BLOCKS:
+            if still_open.get(tag):
+                element = top
+                while element.tag != tag:
+                    element = element.parent
+                top = leave(element)
+            if tag in BLOCKS:
                 part(top)
             continue
         if tag == "br":
             write(top, " ") if top.buffer.order >= 0 else None
             continue
         if tag in BLOCKS:
-            closed = _ENDS.get(tag)
-            if closed:
-                element = top
-                while element.parent and element.tag not in closed[0] and element.tag not in closed[1]:
-                    element = element.parent
-                if element.parent and element.tag in closed[0]:
-                    top = element.parent
-            element = top
-            while element.parent and element.tag != "p" and element.tag not in ("button", "td", "th", "table"):
-                element = element.parent
-            if element.tag == "p":
-                top = element.parent
+            ended = top.ends.get(tag)
+            if ended:
+                top = leave(ended)
+            if top.p:
+                top = leave(top.p)
             part(top)
         if tag in VOID:
             continue
@@ -268,6 +286,7 @@ def blocks(page: str) -> list[tuple[str, int, _Element]]:
             part(element)  # inline boilerplate is a block beside the one it stands in
         if not m[3].endswith("/") or tag in BLOCKS or tag in RAW:
             top = element
+            still_open[tag] = still_open.get(tag, 0) + 1
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.IGNORECASE).search(page, at)
             at = end.start() if end else size
@@ -280,14 +299,68 @@ def blocks(page: str) -> list[tuple[str, int, _Element]]:
     return out
 
 
-def log_odds(text: str, linked: int, element: _Element) -> float:
-    """The classifier: evidence of the markup, and of length, sentences and links of the text."""
+#: Weights of the text's features, if no page shows what is content: one, log length, sentences, link
+#: share, share of capitals.
+PRIOR = np.array([-1.0, 1.2, 0.5, -4.0, -1.0])
+#: Bound of the classifier's log odds of a block, and what a paragraph's or heading's tag adds.
+BOUND, TAG = 3.0, 0.8
+
+
+def features(text: str, linked: int) -> list[float]:
+    """What the classifier is fitted on: a block's text, no tag of it or of what holds it."""
     length = len(text)
-    sentences = len(_SENTENCE.findall(text))
-    own = 0.6 * math.log1p(length / 40) + 0.4 * min(sentences, 4) - 1.0 - 4.0 * min(1.0, linked / length)
-    if element.tag == "p" or element.tag in _HEADINGS:
-        own += 0.8
-    return element.good + element.bad + max(-3.0, min(2.0, own))
+    capitals = sum(c.isupper() for c in text[:4000]) / min(length, 4000)
+    return [1.0, math.log1p(length / 40), min(len(_SENTENCE.findall(text)), 6) / 2, min(1.0, linked / length), min(1.0, 3 * capitals)]
+
+
+def evidence(element: _Element) -> float:
+    """Log odds of the markup around a block: of its element and all that hold it."""
+    return element.good + element.bad
+
+
+def fitted(x: np.ndarray, y: np.ndarray, steps: int = 25, pull: float = 1.0) -> np.ndarray:
+    """Logistic weights, pulled towards the prior; both labels count the same in all."""
+    w = PRIOR.copy()
+    share = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (share * (y - p)) - pull * (w - PRIOR)
+        h = (x * (share * p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w))
+        step = np.linalg.solve(h, g)
+        w = w + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def fit(pages: DataFrame, html_col: str = "html", sample: int = 1_000) -> np.ndarray:
+    """The classifier's weights from the pages' own structure: blocks whose markup says content (in an
+    article or main part) against blocks whose markup says boilerplate. ``sample`` bounds the pages,
+    those of smallest hash; at most 200 blocks of a page are taken, spread over it."""
+    chosen = pages.select(F.col(html_col).alias("html"), F.xxhash64(html_col).alias("h")).where("html is not null").orderBy("h").limit(sample).select("html")
+    schema, arrow = schemas([("y", T.DoubleType()), ("x", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pieces(batches, 0):
+            y, x = [], []
+            for page in part.column(0).to_pylist():
+                known = [b for b in blocks(page) if evidence(b[2]) >= 3.0 or evidence(b[2]) <= -6.0]
+                for b in known[::max(1, -(-len(known) // 200))]:
+                    y.append(float(evidence(b[2]) > 0))
+                    x.append([float(v) for v in features(*b[:2])])
+            yield batch_of(arrow, y=y, x=x)
+
+    rows = spread(chosen).mapInArrow(run, schema).collect()  # at most 200 small rows of each sampled page
+    y = np.array([r["y"] for r in rows])
+    if not len(y) or y.min() == y.max():
+        return PRIOR
+    return fitted(np.array([r["x"] for r in rows], float), y)
+
+
+def text_odds(found: list[tuple[str, int, _Element]], weights: np.ndarray) -> list[float]:
+    """The classifier: log odds of content of every block from its text and its own tag."""
+    own = np.clip(np.array([features(*b[:2]) for b in found], float) @ weights, -BOUND, BOUND)
+    return (own + np.array([TAG if b[2].tag == "p" or b[2].tag in _HEADINGS else 0.0 for b in found])).tolist()
 
 
 def minimum_cut(odds: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -410,30 +483,50 @@ def smoothness(elements: list[_Element]) -> list[tuple[int, int, float]]:
     return edges
 
 
-def main_text(page: str | None) -> str:
+def graph(found: list[tuple[str, int, _Element]], weights: np.ndarray) -> tuple[list[float], list[tuple[int, int, float]]]:
+    """Terminal log odds and edges: the blocks first, by their texts, then the elements that hold them
+    and the elements around those, by the markup. A block is tied to its element, an element to the
+    one around it, and neighbouring blocks to each other."""
+    odds = text_odds(found, weights)
+    edges = smoothness([b[2] for b in found])
+    node: dict[int, int] = {}
+    for i, (_, _, e) in enumerate(found):
+        own = e.number not in node
+        for x in (e, e.parent):
+            if x is not None and x.number not in node:
+                node[x.number] = len(odds)
+                odds.append(evidence(x))
+        edges.append((i, node[e.number], TIE))
+        if own and e.parent is not None:
+            edges.append((node[e.number], node[e.parent.number], AROUND))
+    return odds, edges
+
+
+def main_text(page: str | None, weights: np.ndarray = PRIOR) -> str:
     """Blocks of the page on the content side of the cut, in page order, joined by an empty line."""
     if not page:
         return ""
     found = blocks(page)
     if not found:
         return ""
-    keep = minimum_cut([log_odds(*b) for b in found], smoothness([b[2] for b in found]))
-    return "\n\n".join(b[0] for b, k in zip(found, keep, strict=True) if k)
+    keep = minimum_cut(*graph(found, weights))
+    return "\n\n".join(b[0] for b, k in zip(found, keep, strict=False) if k)
 
 
-def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:
-    """The rows of ``pages`` with the html replaced by the column of the main text.
+def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text", sample: int = 1_000) -> DataFrame:
+    """The classifier is fitted on at most ``sample`` pages (``fit``). The rows of ``pages`` with the html replaced by the column of the main text.
 
     Null, empty and textless pages have an empty text; whole pages are read, whatever their length.
     Other columns stay as they are (a column of the text's name is replaced); rows may repeat.
     """
     kept = [c for c in pages.columns if c not in (html_col, text_col)]
     rows = pages.select(*kept, html_col)
+    weights = fit(pages, html_col, sample)
     schema, arrow = schemas([*[(f.name, f.dataType) for f in rows.schema][:-1], (text_col, T.StringType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, len(kept)):
-            texts = [main_text(p) for p in part.column(len(kept)).to_pylist()]
+            texts = [main_text(p, weights) for p in part.column(len(kept)).to_pylist()]
             yield batch_of(arrow, **dict(zip(kept, part.columns, strict=False)), **{text_col: texts})
 
     return spread(rows).mapInArrow(run, schema)

@@ -95,3 +95,48 @@ def test_words_that_name_boilerplate_still_drop_it():
 
 def test_formulas_are_text():
     assert extract.main_text("<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>") == "So x=2 holds."
+
+
+def classifier_alone(page):
+    found = extract.blocks(page)
+    return "\n\n".join(b[0] for b, o in zip(found, extract.text_odds(found, extract.PRIOR), strict=True) if o > 0)
+
+
+def test_the_cut_overrules_the_classifier():
+    comments = "<p>I love this, really. What a great article, thanks to all of you.</p>" * 3
+    short = "<ul><li>Salt</li><li>Two eggs</li></ul>"
+    page = f"<main>{TEXT}{short}<div class='thread'>{comments}</div></main><footer><p>All the rights are ours, and we say so here. Do read the terms, please.</p></footer>"
+    want = WANT + "\n\nSalt\n\nTwo eggs"
+    assert extract.main_text(page) == want and classifier_alone(page) != want
+    assert "Salt" not in classifier_alone(page) and "I love this" in classifier_alone(page) and "rights are ours" in classifier_alone(page)
+    page = "<div><a href=a>Home</a> <a href=b>News</a></div><h1>Title</h1><p>%s</p><p>Short.</p><p>%s</p>" % (("This is a long paragraph of text, with commas. And sentences that go on. " * 3,) * 2)
+    assert [t.split()[0] for t in extract.main_text(page).split("\n\n")] == ["Title", "This", "Short.", "This"]
+
+
+def test_whole_pages_have_minimal_cuts():
+    rng = random.Random(5)
+    for _ in range(40):
+        parts = [rng.choice(["<p>A sentence of some words, here. And more.</p>", "<li>item", "<a href=x>link</a>", "<nav>menu</nav>", "<div>short</div>", "<article>body text</article>"]) for _ in range(rng.randrange(1, 5))]
+        page = "<div>" + "".join(parts) + "</div>"
+        odds, edges = extract.graph(extract.blocks(page), extract.PRIOR)
+        if len(odds) > 14:
+            continue
+        best = min(cost(x, odds, edges) for x in itertools.product([True, False], repeat=len(odds)))
+        assert cost(extract.minimum_cut(odds, edges), odds, edges) == best
+
+
+def test_weights_are_fitted_on_the_pages(spark):
+    page = "<nav><a href=x>Home page</a></nav><article>" + "<p>Some sentence of the text, with words. Another one follows it.</p>" * 3 + "</article><footer>Terms</footer>"
+    df = spark.createDataFrame([(i, page) for i in range(6)], "page_id long, html string")
+    w = extract.fit(df)
+    found = extract.blocks(page)
+    assert [o > 0 for o in extract.text_odds(found, w)] == [False, True, True, True, False]
+    assert (extract.fit(df.where("page_id < 0")) == extract.PRIOR).all()
+
+
+def test_deep_pages_take_linear_time():
+    began = time.process_time()
+    deep = extract.main_text("<article>" + "<div>" * 100_000 + "<p>deep words, and more of them." + "</span></div>" * 100_000)
+    extract.main_text("<p><button>" + "<div><li>" * 30_000 + "x")
+    extract.main_text("<table>" + "<tr><td><div>" * 30_000 + "</em>y")
+    assert deep == "deep words, and more of them." and time.process_time() - began < 20
