@@ -9,8 +9,9 @@ be near in some pass. The verified pairs of all passes are united into component
 The number of passes follows from each kind's own vectors: a sample is projected, and for probes of
 it and partners at the threshold the chance to meet in a window is taken from the angle between them
 as seen from the mean and from the runs of equal code prefixes; passes are added until such a pair
-is missed with probability MISS at most. A kind in which that many passes compare more pairs than
-there are (a small one, or one whose vectors the signs hardly split) is compared directly, every pair.
+is missed with probability MISS at most. In a kind of one window a single pass compares all pairs.
+Where the signs hardly split the vectors (several dense cones), so that neither MOST passes nor as
+many as would compare every pair reach MISS, all pairs are compared instead: that is exact.
 
 Links are then counted exactly inside each component, in blocks of a bounded number of vectors that
 are compared with each other, so a group far larger than a window is counted in full, and no list
@@ -43,6 +44,8 @@ SIDE, TILE = 4096, 512
 #: Vectors compared with one vector in a pass; vectors, probes and passes that the estimate looks at.
 COMPARED = (BLOCK + WINDOW) ** 2 // BLOCK
 SAMPLE, PROBES, TRIALS = 4096, 512, 8
+#: Passes that a kind is given at least before all its pairs are compared instead.
+MOST = 64
 
 
 def passes(largest: int, threshold: float = THRESHOLD) -> int:
@@ -81,16 +84,17 @@ def _classes(vectors: DataFrame) -> DataFrame:
 
 
 def needed(x: np.ndarray, mean: np.ndarray, n: int, threshold: float = THRESHOLD) -> int:
-    """Passes for a kind of n vectors of which the unit vectors x are a sample; 0: compare all pairs.
+    """Passes for a kind of n vectors of which the unit vectors x are a sample; 0: no number of passes
+    up to MOST, or up to that which compares all pairs, is enough.
 
     A probe's partner is at the threshold, in a random direction. In a pass their codes agree in
     their first d bits with probability agree ** d. d is taken from the vectors that share the
     probe's prefix, at the rate of its own halvings where the sample holds too few of them.
     """
-    most = (n - 1) // 2 // COMPARED
+    most = max(MOST, (n - 1) // 2 // COMPARED)
+    if n <= WINDOW + 1 or len(x) < 2:
+        return 1
     count = passes(n, threshold)
-    if count > most or len(x) < 2:
-        return 0
     rng = np.random.default_rng([21, x.shape[1]])
     probe = rng.permutation(len(x))[:PROBES]
     aside = rng.standard_normal((len(probe), x.shape[1]))
@@ -129,10 +133,10 @@ def needed(x: np.ndarray, mean: np.ndarray, n: int, threshold: float = THRESHOLD
 def _plans(classes: DataFrame) -> DataFrame:
     """``label, dim, size, kind, passes, mean``: how the classes of each label and dimension meet.
 
-    Only kinds large enough for passes are sampled; the others have no passes and no mean.
+    Kinds beyond a window are sampled; the others need one pass and no mean.
     """
     kinds = stored(classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("size")).withColumn("kind", F.monotonically_increasing_id()), "kinds")
-    large = kinds.where(F.col("size") > 2 * COMPARED)
+    large = kinds.where(F.col("size") > WINDOW + 1)
     picked = classes.select("label", "dim", "node", "v").join(large, ["label", "dim"]).where(F.expr(f"pmod(xxhash64(node, 'sample'), size) < {SAMPLE}"))
     schema, arrow = schemas([("kind", T.LongType()), ("passes", T.IntegerType()), ("mean", T.ArrayType(T.DoubleType()))])
 
@@ -143,12 +147,14 @@ def _plans(classes: DataFrame) -> DataFrame:
             yield batch_of(arrow, kind=[table.column(0)[0].as_py()], passes=[needed(x, mean, table.column(1)[0].as_py())], mean=[mean.tolist()])
 
     plans = picked.select("kind", "size", "v", "node").repartition("kind").sortWithinPartitions("kind", "node").mapInArrow(run, schema)
-    return stored(kinds.join(plans, "kind", "left").withColumn("passes", F.coalesce("passes", F.lit(0))), "plans")
+    zero = F.array_repeat(F.lit(0.0), F.col("dim"))
+    return stored(kinds.join(plans, "kind", "left").withColumns({
+        "passes": F.coalesce("passes", (F.col("size") > 1).cast("int")), "mean": F.coalesce("mean", zero)}), "plans")
 
 
 def _coded(classes: DataFrame) -> DataFrame:
-    """A row for every class and pass of its kind, with its code."""
-    fields = [("pass", T.IntegerType()), ("kind", T.LongType()), ("code", T.LongType()), ("node", T.LongType()), ("v", classes.schema["v"].dataType)]
+    """A row for every class and pass of its kind, with its code and without its vector."""
+    fields = [("pass", T.IntegerType()), ("kind", T.LongType()), ("code", T.LongType()), ("node", T.LongType())]
     schema, arrow = schemas(fields)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +171,7 @@ def _coded(classes: DataFrame) -> DataFrame:
                     code[dim == d] = (x @ projections(number, int(d)) > 0) @ weight
                 at = np.flatnonzero(count > number)
                 rows = batch.take(pa.array(at))
-                yield batch_of(arrow, **{"pass": np.full(len(at), number, np.int32)}, kind=rows.column(1), code=code[at], node=rows.column(0), v=rows.column(2))
+                yield batch_of(arrow, **{"pass": np.full(len(at), number, np.int32)}, kind=rows.column(1), code=code[at], node=rows.column(0))
 
     return spread(classes.where("passes > 0").select("node", "kind", "v", "passes", "mean")).mapInArrow(run, schema)
 
@@ -238,11 +244,11 @@ def _forest(node: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarra
 _EDGE, _EDGE_ARROW = schemas([("a", T.LongType()), ("b", T.LongType())])
 
 
-def _edges(ranked: DataFrame) -> DataFrame:
-    """Verified pairs of neighbours, thinned to a forest of each block."""
+def _edges(ranked: DataFrame, classes: DataFrame) -> DataFrame:
+    """Verified pairs of neighbours, thinned to a forest of each block. The vectors join the ranks here."""
     block = F.floor(F.col("rank") / BLOCK).cast("long")
     copies = F.when(F.col("rank") % BLOCK >= BLOCK - WINDOW, F.array(block, block + 1)).otherwise(F.array(block))
-    rows = (ranked.withColumn("block", F.explode(copies)).select("block", "rank", "node", "pass", "kind", "v")
+    rows = (ranked.join(classes.select("node", "v"), "node").withColumn("block", F.explode(copies)).select("block", "rank", "node", "pass", "kind", "v")
             .repartition("block").sortWithinPartitions("block", "rank"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,9 +341,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = vectors.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
     classes = stored(_classes(rows), "classes")
     met = classes.select("node", "label", "dim", "v").join(_plans(classes), ["label", "dim"])
-    found = _pairs(met)
-    if not met.where("passes > 0").isEmpty():
-        found = found.unionByName(_edges(_ranked(_coded(met))))
+    found = _edges(_ranked(_coded(met)), classes).unionByName(_pairs(met))
     graph = stored(components(stored(found, "edges")), "graph")
     members = classes.join(graph, "node").select("component", "node", "n", "v", "least")
     links = _counts(members.select("component", "node", "n", "v"))
