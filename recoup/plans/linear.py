@@ -9,7 +9,7 @@ from recoup.functions import dist
 from recoup.functions.columns import n_rows, rnd
 from recoup.functions.keys import fold
 from recoup.operators import bands, evaluate, features, frame, gram, logit, profile, ranks, sampling
-from recoup.plans.fixture_sql import md
+from recoup.plans.fixture_sql import md, un
 from recoup.plans.registry import query
 from recoup.session import stored
 
@@ -90,12 +90,13 @@ def l3b(t):
                     "term string, estimate double, se double, t double, p double, low double, high double, contains_zero boolean")
 
 
-@query("l4_scale_invariance")
+@query("l4_scale_invariance", f"""
+WITH {FIT2} SELECT round(max(abs(b0+b1*TOA+b2*NoPay - (b0+(b1*1000)*(TOA/1000)+b2*NoPay))),6) AS largest_difference FROM rs, ff""")
 def l4(t):
     d = regression_set(t).withColumn("TOAk", F.col("TOA") / 1000)
     m = gram.moments(d, ["TOA", "TOAk", "NoPay", "Pay712log"])
     a, b = gram.ols(m, "Pay712log", ["TOA", "NoPay"]), gram.ols(m, "Pay712log", ["TOAk", "NoPay"])
-    return d.agg(F.max(F.abs(a.prediction() - b.prediction())).alias("largest_difference"))
+    return d.agg(rnd(F.max(F.abs(a.prediction() - b.prediction()))).alias("largest_difference"))
 
 
 @query("l5_nested_f_test")
@@ -105,6 +106,15 @@ def l5(t):
     return frame_of(t, [tuple(float(v) for v in r.values())], "df double, df_resid double, f double, p double")
 
 
+@query("l5_nested_f_test_two", f"""
+WITH {FIT2} SELECT 1e0 AS df, n-3 AS df_resid, round((tss-s1y*s1y/s11-rss)/(rss/(n-3)),4) AS f FROM ff""")
+def l5b(t):
+    """The test of one added column, in closed form on the other side."""
+    m = gram.moments(regression_set(t), ["TOA", "NoPay", "Pay712log"])
+    r = gram.nested_f(gram.ols(m, "Pay712log", ["TOA"]), gram.ols(m, "Pay712log", ["TOA", "NoPay"]))
+    return frame_of(t, [(float(r["df"]), float(r["df_resid"]), round(float(r["f"]), 4))], "df double, df_resid double, f double")
+
+
 @query("l6_factor_interaction_polynomial")
 def l6(t):
     d = regression_set(t)
@@ -385,6 +395,29 @@ def l22(t):
                     "term string, estimate double, se double, z double, p double, low double, high double, odds_ratio double")
 
 
+# The scoring set, and its sums that a logistic fit with a constant has to meet.
+SCORING = """sc AS (SELECT l.*, 1 - Principal/LoanAmount AS Repayment, cast(Gender = 'FEMALE' as int) AS IfWoman, Suc
+ FROM loans AS l JOIN (SELECT CaseId, Suc FROM success6) USING (CaseId) WHERE LoanAmount >= Principal)"""
+
+
+@query("l22_score_equations", f"WITH {SCORING} " + " UNION ALL ".join(
+    f"SELECT '{c}' AS term, round(cast(sum({x}*Suc) as double),2) AS observed, 1e0 AS ratio FROM sc" for c, x in [("(Intercept)", "1"), *[(c, c) for c in LX]]))
+def l22b(t):
+    """At the fit the fitted probabilities add up to the ones, weighted by every column."""
+    d = stored(scoring_set(t), "scoring")
+    p = logit.fit(d, "Suc", LX).probability()
+    terms = [("(Intercept)", F.lit(1.0)), *[(c, F.col(c).cast("double")) for c in LX]]
+    r = d.withColumn("_p", p).agg(*[f for i, (_, x) in enumerate(terms) for f in (F.sum(x * F.col("Suc")).alias(f"y{i}"), F.sum(x * F.col("_p")).alias(f"p{i}"))]).first()
+    return frame_of(t, [(c, round(r[f"y{i}"], 2), round(r[f"p{i}"] / r[f"y{i}"], 5)) for i, (c, _) in enumerate(terms)], "term string, observed double, ratio double")
+
+
+@query("l23_mean_scores", f"WITH {SCORING} SELECT count(*) AS n, round(avg(Suc),6) AS rate, round(avg(Suc),6) AS linear, round(avg(Suc),6) AS logistic FROM sc")
+def l23b(t):
+    """Both fits have the mean of the target."""
+    d = l23(t)
+    return d.agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("Suc")).alias("rate"), rnd(F.avg("linear")).alias("linear"), rnd(F.avg("logistic")).alias("logistic"))
+
+
 @query("l23_linear_and_logistic")
 def l23(t):
     d = stored(scoring_set(t), "scoring")
@@ -450,6 +483,13 @@ def l29(t):
     return logit.effect_curves(trn, tst, logit.fit_additive(trn, "Suc", SMOOTH, ["IfWoman", "Bailiff"]))
 
 
+@query("e15_fold_sizes", f"WITH {SCORING} SELECT cast({un('CaseId', 'cv')} % 10 as int) AS fold, count(*) AS n, cast(sum(Suc) as bigint) AS ones FROM sc GROUP BY 1")
+def e15b(t):
+    """Rows and ones that the models of the folds are scored on."""
+    d = scoring_set(t).withColumn("fold", fold("CaseId", "cv", 10))
+    return d.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("Suc").cast("bigint").alias("ones"))
+
+
 @query("e15_cross_validated_roc")
 def e15(t):
     d = stored(scoring_set(t).withColumn("fold", fold("CaseId", "cv", 10)), "scoring")

@@ -33,6 +33,12 @@ def measured(t, name, model, trn, tst):
                     "model string, train_accuracy double, test_accuracy double")
 
 
+# Labels of the hold-out of the target sets.
+HOLD = f"""h AS (SELECT CaseId, Suc, row_number() OVER (ORDER BY {md('CaseId', 'trn')}, CaseId) <= (SELECT floor(0.6*count(*)+1e-9) FROM loans) AS trn
+ FROM loans JOIN (SELECT CaseId, Suc FROM success6) USING (CaseId))
+SELECT cast(Suc as double) AS label, count(*) AS n FROM h WHERE NOT trn GROUP BY 1"""
+
+
 @query("s7_model_round_trip")
 def s7(t):
     trn, tst = target_sets(t)
@@ -43,6 +49,12 @@ def s7(t):
     return PipelineModel.load(path).transform(tst).select("CaseId", "label", "prediction")
 
 
+@query("s7_labels", f"WITH {HOLD}")
+def s7b(t):
+    """The reloaded model scores every row of the hold-out once."""
+    return s7(t).where("prediction IN (0, 1)").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("t1_tree_gini")
 def t1(t):
     trn, tst = target_sets(t)
@@ -73,6 +85,11 @@ def t4(t):
     return s.join(plain, "CaseId").groupBy("label", "prediction", "by_threshold").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("t4_labels", f"WITH {HOLD}")
+def t4b(t):
+    return t4(t).groupBy("label").agg(F.sum("n").alias("n"))
+
+
 @query("t5_bagging")
 def t5(t):
     trn, tst = target_sets(t)

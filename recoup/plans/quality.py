@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from recoup.functions.columns import n_rows, rnd
 from recoup.operators import bands, features, profile, quality
-from recoup.plans.fixture_sql import u, un
+from recoup.plans.fixture_sql import md, u, un
 from recoup.plans.registry import query
 
 
@@ -171,3 +171,16 @@ def q14(t):
 def q15(t):
     _, held = quality.model_fill(t.cases, "PopulationInCity", "CaseId", FILL)
     return profile.histogram(held, "deviation", 20)
+
+
+_KNOWN = " AND ".join(f"{c} IS NOT NULL" for c in FILL)
+
+
+@query("q15_hold_out", f"""
+WITH k AS (SELECT CaseId, PopulationInCity FROM cases WHERE PopulationInCity IS NOT NULL AND {_KNOWN}),
+h AS (SELECT *, row_number() OVER (ORDER BY {md('CaseId', 'fill')}, CaseId) <= (SELECT floor(0.6*count(*)+1e-9) FROM k) AS trn FROM k)
+SELECT count(*) AS n, cast(sum(CaseId) as bigint) AS ids, round(avg(PopulationInCity),6) AS actual FROM h WHERE NOT trn""")
+def q15b(t):
+    """The rows on which the fill is judged."""
+    _, held = quality.model_fill(t.cases, "PopulationInCity", "CaseId", FILL, trees=20)
+    return held.where("predicted IS NOT NULL").agg(F.count(F.lit(1)).alias("n"), F.sum("CaseId").cast("bigint").alias("ids"), rnd(F.avg("actual")).alias("actual"))
