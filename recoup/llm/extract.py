@@ -337,7 +337,12 @@ def fit(pages: DataFrame, html_col: str = "html", sample: int = 1_000) -> np.nda
     """The classifier's weights from the pages' own structure: blocks whose markup says content (in an
     article or main part) against blocks whose markup says boilerplate. ``sample`` bounds the pages,
     those of smallest hash; at most 200 blocks of a page are taken, spread over it."""
-    chosen = pages.select(F.col(html_col).alias("html"), F.xxhash64(html_col).alias("h")).where("html is not null").orderBy("h").limit(sample).select("html")
+    hashed = pages.select(F.col(html_col).alias("html"), F.xxhash64(html_col).alias("h")).where("html is not null")
+    # the hashes alone are sorted; equal pages are one, joined before they are shuffled
+    last = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    if last is None:
+        return PRIOR
+    chosen = hashed.where(F.col("h") <= last).groupBy("h").agg(F.any_value("html").alias("html")).select("html")
     schema, arrow = schemas([("y", T.DoubleType()), ("x", T.ArrayType(T.DoubleType()))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
