@@ -8,7 +8,6 @@ two smallest sums are too close is rejected.
 from __future__ import annotations
 
 import re
-import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -35,14 +34,20 @@ UNKNOWN = "und"
 SHORT_BYTES = 256
 ROTATIONS = 12
 
-#: Number signs that are no letters (superscripts, fractions, Roman numerals) part words like digits.
-_NUMBERS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-_GAPS = re.compile(rf"[\W\d_{_NUMBERS}]+")
+_GAPS = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str | None) -> bytes:
-    """The words of letters in lower case, one space between them."""
-    return _GAPS.sub(" ", text.lower()).strip().encode() if text else b""
+    """The words of letters in lower case, one space between them; number signs that are no letters
+    (superscripts, fractions, Roman numerals) part words like digits."""
+    if not text:
+        return b""
+    low = _GAPS.sub(" ", text.lower()).strip()
+    if not low.isascii():
+        signs = {ord(c): " " for c in set(low) if c != " " and not c.isalpha()}
+        if signs:
+            low = " ".join(low.translate(signs).split())
+    return low.encode()
 
 
 def blocks(raw: bytes) -> list[bytes]:
