@@ -51,3 +51,11 @@ def test_a_text_longer_than_a_piece():
     long = "ab cd " * 400_000
     w = text.words(pa.array([long, "ab"], pa.string()))
     assert len(w.hash) == 800_001 and w.hash[0] == w.hash[2] == w.hash[-1] and w.hash[1] != w.hash[0]
+
+
+def test_short_hash_tells_words_of_every_length_apart():
+    words = ["x" * k + end for k in range(140) for end in ("a", "b", "é")] + ["y" * k + "x" * (139 - k) for k in range(139)]
+    w = text.words(pa.array([" ".join(words), " " + " ".join(reversed(words))], pa.string()), text.short_hash)
+    h = w.hash.tolist()
+    assert h[:len(words)] == h[len(words):][::-1]
+    assert len(set(h)) == len(set(words))
