@@ -3,6 +3,7 @@ import re
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -102,3 +103,16 @@ def test_awkward_rows(spark, awkward, nothing):
     assert result(spelling.spelling_variants(awkward)) == brute(rows)
     assert result(spelling.spelling_variants(nothing)) == {}
     assert spelling.spelling_variants(awkward).columns == ["word", "n", "n_near", "form", "form_n", "root"]
+
+
+def test_query_equals_sql_where_forms_are_null(spark):
+    from recoup.llm.queries import oracle_sql, queries
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet'")
+    columns = ["word", "n", "n_near", "form", "form_n", "root"]
+    want = con.sql(f"select {', '.join(columns)} from ({oracle_sql()['op12_spelling']})").fetchall()
+    got = [tuple(r) for r in queries()["op12_spelling"](spark, folder).select(*columns).collect()]
+    assert sorted(got, key=lambda r: r[0]) == sorted(want, key=lambda r: r[0])
+    assert len({r[0] for r in got}) == len(got) and any(r[3] is None for r in got)
