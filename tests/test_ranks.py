@@ -125,3 +125,11 @@ def test_supplied_edges_keep_low_values(spark):
 def test_lookup_is_open_at_both_ends(spark):
     df = spark.createDataFrame([(-5.0,), (1.0,), (7.0,)], "x double")
     assert [r[0] for r in df.select(bands.lookup("x", [(1.0, "lo"), (5.0, "mid"), (None, "hi")])).collect()] == ["lo", "mid", "hi"]
+
+
+def test_totals_named_like_the_summed_columns_but_for_case(spark):
+    df = spark.createDataFrame([(i % 3, i * 0.5, i % 2, 1 - i % 2) for i in range(200)], "f long, s double, g long, b long")
+    whole = ranks.cumulate(df, "s", {"G": "g", "B": "b"}, ["f"], descending=True)
+    cut = ranks.cumulate(df, "s", {"G": "g", "B": "b"}, ["f"], descending=True, rows_per_bucket=20)
+    assert cut.columns == whole.columns == ["f", "s", "G", "B"]
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect()))
